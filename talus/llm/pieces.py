@@ -6,6 +6,7 @@ independently of their neighbours, and frequent pieces are encoded once per work
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -30,6 +31,8 @@ class Cache(dict):
 
     def __init__(self, compute, bound: int = CACHE_PIECES):
         super().__init__()
+        # The entries live long and hold no cycles: collecting young garbage often only walks over them.
+        gc.set_threshold(200_000, 50, 1000)
         self.compute, self.bound, self.fresh = compute, bound, []
 
     def learn(self, wanted: set[str]) -> None:

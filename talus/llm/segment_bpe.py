@@ -25,7 +25,10 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Symbols of a word up to which its tree is a row of a matrix; longer words get a tree of their own.
 WIDEST = 64
 #: Pieces that a worker keeps decoded and encoded (about 350 bytes each), and words likewise.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 250_000
+
+#: Marks that often close a word; any others take the general way.
+MARKS = ".,"
 
 _INF = np.int64(1) << 60
 
@@ -256,17 +259,33 @@ class SegmentTreeBpe:
         """Without a decoder the library joins the tokens' names by one blank."""
         return " ".join([names[i] for i in ids])
 
+    def _plain(self, piece: str) -> tuple[str, str] | None:
+        """Word and closing mark of a piece that is one word with at most one mark; else none."""
+        word, mark = (piece[:-1], piece[-1]) if piece and piece[-1] in MARKS else (piece, "")
+        if not word.isalpha() or "Σ" in word or not (word.isascii() or unicodedata.is_normalized("NFC", word)):
+            return None
+        word = word.lower()
+        return (word, mark) if word.isalpha() else None
+
     def _encode_pieces(self, pieces: list[str]) -> list[tuple[int, str, str]]:
-        parts = [self._parts(p) for p in pieces]
-        self.known.learn({w for p in parts for w in p if isinstance(w, str)})
-        out = []
-        for p in parts:
-            got = [self.known[w] if isinstance(w, str) else (1, str(w), self.names[w]) for w in p]
-            if len(got) == 1:
-                out.append(got[0])
+        plain = [self._plain(p) for p in pieces]
+        parts = {p: self._parts(p) for p, x in zip(pieces, plain) if x is None}
+        wanted = {x[0] for x in plain if x}.union(MARKS)
+        wanted.update(w for p in parts.values() for w in p if isinstance(w, str))
+        self.known.learn(wanted)
+        known, out = self.known, []
+        marks = {m: known[m] for m in MARKS}
+        for p, x in zip(pieces, plain):
+            if x:
+                n, ids, decoded = got = known[x[0]]
+                if x[1]:
+                    m = marks[x[1]]
+                    got = (n + m[0], f"{ids} {m[1]}", f"{decoded} {m[2]}")
+                out.append(got)
             else:
-                out.append((sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])))
-        self.known.trim()
+                got = [known[w] if isinstance(w, str) else (1, str(w), self.names[w]) for w in parts[p]]
+                out.append((sum([y[0] for y in got]), " ".join([y[1] for y in got]), " ".join([y[2] for y in got])))
+        known.trim()
         return out
 
     def texts(self, texts: list[str]) -> list[tuple[int, str, str]]:
