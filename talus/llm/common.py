@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = STEP
         if batch.nbytes <= limit:
             yield batch
             continue
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
         a, size = 0, 0
         for i, s in enumerate(sizes):
             s = s or 0

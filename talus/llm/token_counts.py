@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from talus.llm.common import documents, keyed_text, slices
@@ -47,7 +48,7 @@ def token_counts(docs: DataFrame, path: Callable[[], str] = _default_path, limit
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.compute.binary_length(batch.column(1)).cast(pa.int64()),
+                    pc.binary_length(batch.column(1)).cast(pa.int64()),
                     pa.array(n, pa.int64()),
                     pa.array([k > limit for k in n], pa.bool_()),
                 ],
