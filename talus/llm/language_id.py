@@ -187,6 +187,25 @@ def predict(docs: DataFrame, model: EcocModel, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, PREDICTED)
 
 
+def accepted(docs: DataFrame, model: EcocModel, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is known and not ambiguous; no row moves."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in slices(batches, at):
+            texts = batch.column(at).to_pylist()
+            known = [i for i, t in enumerate(texts) if model.languages and t and _LETTER.search(t)]
+            keep = [False] * len(texts)
+            for a in range(0, len(known), 512):
+                some = known[a : a + 512]
+                _, _, doubts = model.decode(np.array([counts(texts[i]) for i in some], np.float32))
+                for i, doubt in zip(some, doubts.tolist()):
+                    keep[i] = not doubt
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, **columns) -> DataFrame:
     """Fit on the labelled rows that are not held out and predict all rows."""
     model = fit(docs, **columns)

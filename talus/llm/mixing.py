@@ -99,6 +99,31 @@ def mix(
     return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows that the mix takes, with all their columns: one row a repetition.
+
+    A document of which the mix takes no word goes (one without words stays as it is, once, and
+    costs nothing); the last row of one taken in part holds its first words, blanks between them.
+    Ids are taken as unique; rows that share an id share what is taken of their sizes.
+    """
+    names = docs.columns
+    taken = mix(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(
+        F.max("taken").alias("__taken")
+    )
+    size = F.when(F.col("__size") > 0, F.col("__size"))
+    whole = F.coalesce(F.floor(F.col("__taken") / size), F.lit(1)).cast("int")
+    part = F.coalesce(F.col("__taken") % size, F.lit(0)).cast("int")
+    rows = docs.withColumn("__n", word_count(F.col(text_col))).join(
+        taken, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size"))
+    )
+    rows = rows.withColumn("__whole", whole).withColumn("__part", part).where((F.col("__whole") > 0) | (F.col("__part") > 0))
+    copies = F.sequence(F.lit(1), F.col("__whole") + F.when(F.col("__part") > 0, 1).otherwise(0))
+    rows = rows.withColumn("__copy", F.explode(copies))
+    first_words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col("__part"), F.lit(1))), " ")
+    text = F.when(F.col("__copy") <= F.col("__whole"), F.col(text_col)).otherwise(first_words)
+    return rows.withColumn(text_col, text).select(*names)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 

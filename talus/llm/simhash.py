@@ -189,6 +189,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that stand for their component: those of its least id.
+
+    Rows that repeat an id count as one document, of which one row stays; rows of null id stay.
+    """
+    chosen = simhash_components(docs, id_col, text_col).select("doc_id", "component_id").where(F.col("doc_id") == F.col("component_id"))
+    chosen = stored(chosen.select(F.col("doc_id").alias("__kept")).distinct(), "simhash-kept")
+    kept = docs.join(chosen, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    if docs.groupBy(id_col).count().where((F.col("count") > 1) & F.col(id_col).isNotNull()).limit(1).count():
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
