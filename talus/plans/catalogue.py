@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("point_queries",)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return import_module("talus.plans.point_queries").flagship(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: q for m in MODULES for k, q in import_module(f"talus.plans.{m}").QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in MODULES for k, q in import_module(f"talus.plans.{m}").ORACLES.items()}
