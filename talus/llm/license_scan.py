@@ -93,9 +93,15 @@ def _hashes(words: Column) -> Column:
 
 
 def _bands(shingles: Column) -> Column:
-    """One hash a band over the least hashes of its rows."""
-    rows = lambda b: [F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(b * ROWS + r)))) for r in range(ROWS)]
-    return F.array(*[F.xxhash64(F.lit(b), *rows(b)) for b in range(BANDS)])
+    """One hash a band over the least hashes of its rows; loops of lambdas, so that the plan stays small."""
+    least = lambda seed: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, seed)))
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[least(b * ROWS + r) for r in range(ROWS)]))
+
+
+def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column behind a generator.  The optimiser moves plain projections into the lambdas
+    that use them, where they would be computed again for every element."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def template_frame(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -120,9 +126,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, similar
     # Lossless: without a gate word no template reaches the share that a match needs.
     # The text is lower-cased once, as the variable of a lambda.
     hit = F.exists(F.array(F.lower(F.col(text_col))), lambda t: reduce(or_, [F.contains(t, F.lit(word)) for word in gate]))
-    rows = docs.where(hit).select(F.col(id_col).cast("long").alias("doc_id"), _words(F.col(text_col)).alias("words"))
+    rows = docs.where(hit).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(F.array(_words(F.col(text_col)))).alias("words"))
     places = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.element_at(F.col("words"), i).isin(gate))
-    rows = rows.where(F.size("words") >= SHINGLE).withColumn("gates", places).where(F.size("gates") > 0).withColumn("hashes", _hashes(F.col("words")))
+    rows = _settled(rows.where(F.size("words") >= SHINGLE), "gates", places)
+    rows = _settled(rows.where(F.size("gates") > 0), "hashes", _hashes(F.col("words"))).select("doc_id", "gates", "hashes")
     windows = []
     reach = max(sizes) * 2
     for size in sizes:
