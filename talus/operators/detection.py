@@ -70,7 +70,6 @@ def ransac_plane(points: DataFrame, max_dist: float, iterations: int, stop_at: i
     # Rounds are a parameter, so a group's points meet a bounded number of planes, all in one pass.
     counted = points.select(group, "x", "y", "z").join(candidates, group).groupBy(group, "t").agg(F.count_if(_off_plane() < max_dist).alias("n_inliers"))
     if stop_at is not None:
-        counted = counted.withColumn("place", F.when(F.col("n_inliers") >= stop_at, F.struct(F.lit(0).cast("long").alias("a"), F.col("t"))).otherwise(F.struct((F.lit(1) - F.col("n_inliers") + F.lit(0)).cast("long").alias("a"), F.col("t"))))
         counted = counted.withColumn("place", F.struct(F.when(F.col("n_inliers") >= stop_at, 0).otherwise(1).alias("late"), F.when(F.col("n_inliers") >= stop_at, F.lit(0)).otherwise(-F.col("n_inliers")).alias("fewer"), F.col("t")))
     else:
         counted = counted.withColumn("place", F.struct((-F.col("n_inliers")).alias("fewer"), F.col("t")))
@@ -219,22 +218,23 @@ def dart_cells(raster: DataFrame, centre_row: int, centre_col: int, res: float,
     return raster.withColumn("ring", ring).withColumn("sector", sector)
 
 
-def dart_ground(points: DataFrame, res: float = 1.0, res_z: float = 10.0, lam: float = 2.0, delta: float = 0.05, delta_circle: float = 0.5, min_z: float | None = None) -> DataFrame:
+def dart_ground(points: DataFrame, cut, res: float = 1.0, res_z: float = 10.0, lam: float = 2.0, delta: float = 0.05, delta_circle: float = 0.5, min_z: float | None = None) -> DataFrame:
     """Ring-and-sector ground detection on the bird's-eye image: adds `ground`.
 
     Seeds are low pixels around the empty circle of the scanner; every (ring, sector) cell gives a
     lowest height, flat zones that hold a seed are ground, and zones of the lowest levels extend it.
-    Squares of pixels stand for the hexagonal elements of other libraries.
+    Squares of pixels stand for the hexagonal elements of other libraries.  `cut` materialises the
+    images between the steps where all executors can read them.
     """
-    px = P.linear_pixels(points, res, res)
-    floor_z = min_z if min_z is not None else -1e9
-    images = R.height_images(px, floor_z, res_z) if min_z is not None else None
-    if images is None:
+    if min_z is None:
         raise ValueError("min_z is needed: take it from histogram_floor")
+    px = P.linear_pixels(points, res, res)
+    floor_z = min_z
+    images = R.height_images(px, floor_z, res_z)
     sizes = P.bounding_box(points, res, res)
     full = R.dense(images.select(*R.PIXEL, "im_min", "im_max", "im_acc"), sizes, im_min=0, im_max=0, im_acc=0)
     box = sizes.select("scan_id", "width", F.floor(-F.col("xmin") * res).cast("long").alias("r0"), F.floor(-F.col("ymin") * res).cast("long").alias("c0"))
-    full = full.join(box, "scan_id")
+    full = cut(full.join(box, "scan_id"))
     half = round(5.5 * res)
     window = (F.abs(F.col("row") - F.col("r0")) <= half) & (F.abs(F.col("col") - F.col("c0")) <= half)
     circle = full.withColumn("inside", (window & (F.col("im_acc") == 0)).cast("int"))
@@ -251,11 +251,13 @@ def dart_ground(points: DataFrame, res: float = 1.0, res_z: float = 10.0, lam: f
     full = full.join(lows, ["scan_id", "ring", "sector"], "left")
     full = full.withColumn("filled", F.when(F.col("im_acc") > 0, F.col("im_max")).otherwise(F.coalesce("cell_min", F.lit(0))))
     full = full.withColumn("obj", F.when(F.col("im_acc") > 0, F.col("im_max") - F.col("cell_min")).otherwise(0))
+    full = cut(full)
     number = lambda: (F.col("row") * (1 << 20) + F.col("col")).cast("long")
     zones = G.flat_zones(full, "filled", lam, 1 << 20).withColumnRenamed("cc", "zone")
     at = full.withColumn("node_id", number()).join(zones, ["scan_id", "node_id"]).join(seeds, R.PIXEL, "left")
     good = at.where(F.col("seed")).select("scan_id", "zone").distinct().withColumn("hit", F.lit(True))
     base = at.join(good, ["scan_id", "zone"], "left").withColumn("base", F.coalesce("hit", F.lit(False)) & (F.col("obj") <= 3) & (F.col("im_acc") > 0))
+    base = cut(base)
     low_zones = G.flat_zones(base.where(F.col("im_acc") > 0), "im_min", 1.0, 1 << 20).withColumnRenamed("cc", "low_zone")
     both = base.join(low_zones, ["scan_id", "node_id"], "left")
     reach = both.where(F.col("base")).select("scan_id", "low_zone").distinct().withColumn("near", F.lit(True))
@@ -282,7 +284,7 @@ def image_model_ground(points: DataFrame, model, res_yaw: int, res_pitch: int, f
         return pa.table({"scan_id": table.column("scan_id"), "row": table.column("row"), "col": table.column("col"), "score": pa.array(score[row, col])})
 
     scored = image.groupBy("scan_id").applyInArrow(run, "scan_id long, row long, col long, score double")
-    own = px.join(scored.withColumnRenamed("score", "pixel_score"), R.PIXEL)
-    shared = transfer_labels(own, "pixel_score").withColumnRenamed("score", "near_score")
+    own = px.join(scored.withColumnRenamed("score", "pixel_score"), R.PIXEL, "left")
+    shared = transfer_labels(own.where(F.col("lidx") >= 0), "pixel_score").withColumnRenamed("score", "near_score")
     out = own.join(shared, ["scan_id", "point_id"], "left")
-    return out.withColumn("ground", F.coalesce("near_score", "pixel_score") > cut).select(*points.columns, "ground")
+    return out.withColumn("ground", F.coalesce("near_score", "pixel_score", F.lit(0.0)) > cut).select(*points.columns, "ground")

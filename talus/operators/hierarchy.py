@@ -79,38 +79,45 @@ def linkage_tree(linkage: DataFrame, sizes: DataFrame) -> DataFrame:
     return inner.unionByName(leaves).join(children, ["tree_id", "node_id"], "left").select("tree_id", "node_id", F.coalesce("parent", F.lit(-1)).alias("parent"), "height", "size")
 
 
-def ancestors(tree: DataFrame, most_depth: int) -> DataFrame:
-    """`tree_id, node_id, ancestor, steps` including the node itself, by doubling: as many joins as bits in the depth."""
-    up = tree.where(F.col("parent") >= 0).select("tree_id", "node_id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("steps"))
-    closure = tree.select("tree_id", "node_id", F.col("node_id").alias("ancestor"), F.lit(0).cast("long").alias("steps"))
-    # closure holds all ancestors within `reach` steps, hop the ancestors at exactly that distance.
-    hop, reach = up, 1
-    while True:
-        step = hop.select("tree_id", F.col("node_id").alias("ancestor"), F.col("ancestor").alias("far"), F.col("steps").alias("more"))
-        further = closure.join(step, ["tree_id", "ancestor"]).select("tree_id", "node_id", F.col("far").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"))
-        closure = closure.unionByName(further)
-        if reach > most_depth:
-            return closure
-        hop = hop.join(step, ["tree_id", "ancestor"]).select("tree_id", "node_id", F.col("far").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"))
-        reach *= 2
-
-
-def depths(tree: DataFrame, most_depth: int) -> DataFrame:
-    return ancestors(tree, most_depth).groupBy("tree_id", "node_id").agg(F.max("steps").alias("depth"))
-
-
-def lowest_common(queries: DataFrame, tree: DataFrame, most_depth: int) -> DataFrame:
+def ancestors(tree: DataFrame) -> DataFrame:
+    """`tree_id, node_id, ancestor, steps` including the node itself; one task walks up one tree, all nodes at once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, parent = np.asarray(table.column("node_id")), np.asarray(table.column("parent"))
+        order = np.argsort(ids)
+        ids, parent = ids[order], parent[order]
+        up = np.where(parent >= 0, np.searchsorted(ids, parent), -1)
+        node, at, steps, out = np.arange(len(ids)), np.arange(len(ids)), 0, []
+        while len(node):
+            out.append((node, at, np.full(len(node), steps)))
+            above = up[at]
+            node, at, steps = node[above >= 0], above[above >= 0], steps + 1
+            if steps > len(ids):
+                raise ValueError("the parents run in a circle")
+        node, at, far = (np.concatenate(x) for x in zip(*out))
+        scan = np.full(len(node), np.asarray(table.column("tree_id"))[0])
+        return pa.table({"tree_id": pa.array(scan, pa.int64()), "node_id": pa.array(ids[node]), "ancestor": pa.array(ids[at]), "steps": pa.array(far.astype(np.int64))})
+
+    rows = tree.select(*[F.col(c).cast("long").alias(c) for c in ("tree_id", "node_id", "parent")])
+    return rows.groupBy("tree_id").applyInArrow(run, "tree_id long, node_id long, ancestor long, steps long")
+
+
+def depths(tree: DataFrame) -> DataFrame:
+    return ancestors(tree).groupBy("tree_id", "node_id").agg(F.max("steps").alias("depth"))
+
+
+def lowest_common(queries: DataFrame, tree: DataFrame) -> DataFrame:
     """`queries(tree_id, a, b)` with their lowest common ancestor `lca`."""
-    up = ancestors(tree, most_depth)
+    up = ancestors(tree)
     a = up.select("tree_id", F.col("node_id").alias("a"), "ancestor", F.col("steps").alias("up_a"))
     b = up.select("tree_id", F.col("node_id").alias("b"), "ancestor")
     met = queries.join(a, ["tree_id", "a"]).join(b, ["tree_id", "b", "ancestor"])
     return met.groupBy(*queries.columns).agg(F.min_by("ancestor", "up_a").alias("lca"))
 
 
-def dasgupta_cost(edges: DataFrame, tree: DataFrame, most_depth: int) -> DataFrame:
+def dasgupta_cost(edges: DataFrame, tree: DataFrame) -> DataFrame:
     """Sum over edges (tree_id, a, b, w) of w times the number of leaves under the ends' common ancestor."""
-    met = lowest_common(edges, tree, most_depth).join(tree.select("tree_id", F.col("node_id").alias("lca"), "size"), ["tree_id", "lca"])
+    met = lowest_common(edges, tree).join(tree.select("tree_id", F.col("node_id").alias("lca"), "size"), ["tree_id", "lca"])
     return met.groupBy("tree_id").agg(F.sum(F.col("w") * F.col("size")).alias("cost"))
 
 

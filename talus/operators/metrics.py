@@ -27,27 +27,27 @@ def binary_scores(df: DataFrame, truth: Column, predicted: Column, by: list[str]
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, labels: list[int]) -> DataFrame:
-    """`true, pred, n` for all pairs of the listed labels; rows of other labels do not count."""
+    """`truth, pred, n` for all pairs of the listed labels; rows of other labels do not count."""
     spark = df.sparkSession
-    one = spark.createDataFrame([(x,) for x in labels], "true int")
+    one = spark.createDataFrame([(x,) for x in labels], "truth int")
     # The listed labels are a parameter: their grid is small by construction.
     grid = one.withColumn("pred", F.explode(F.array(*[F.lit(x) for x in labels])))
     rows = df.where(F.col(truth).isin(labels) & F.col(predicted).isin(labels))
-    counts = rows.groupBy(F.col(truth).cast("int").alias("true"), F.col(predicted).cast("int").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
-    return grid.join(counts, ["true", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = rows.groupBy(F.col(truth).cast("int").alias("truth"), F.col(predicted).cast("int").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(counts, ["truth", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def condense(cm: DataFrame, groups: DataFrame) -> DataFrame:
     """A confusion matrix between groups of labels (`groups`: label, grp)."""
-    t = groups.select(F.col("label").alias("true"), F.col("grp").alias("t"))
+    t = groups.select(F.col("label").alias("truth"), F.col("grp").alias("t"))
     p = groups.select(F.col("label").alias("pred"), F.col("grp").alias("p"))
-    joined = cm.join(t, "true").join(p, "pred")
-    return joined.groupBy(F.col("t").alias("true"), F.col("p").alias("pred")).agg(F.sum("n").alias("n"))
+    joined = cm.join(t, "truth").join(p, "pred")
+    return joined.groupBy(F.col("t").alias("truth"), F.col("p").alias("pred")).agg(F.sum("n").alias("n"))
 
 
 def normalized(cm: DataFrame) -> DataFrame:
     """Share of each row's total in per cent to two decimals; a row without support is 0."""
-    total = F.sum("n").over(Window.partitionBy("true"))
+    total = F.sum("n").over(Window.partitionBy("truth"))
     return cm.withColumn("share", F.round(_share(F.lit(100.0) * F.col("n"), total), 2) + F.lit(0.0))
 
 
