@@ -41,7 +41,9 @@ def yaw(x: Column, y: Column) -> Column:
 
 def pitch(x: Column, y: Column, z: Column) -> Column:
     """Angle to the vertical axis; null at the origin, where it is undefined."""
-    return F.acos(F.least(F.greatest(z / F.nullif(norm(x, y, z), F.lit(0.0)), F.lit(-1.0)), F.lit(1.0)))
+    # least and greatest skip nulls, so the origin is kept out before.
+    n = norm(x, y, z)
+    return F.when(n > 0, F.acos(F.least(F.greatest(z / F.nullif(n, F.lit(0.0)), F.lit(-1.0)), F.lit(1.0))))
 
 
 def logistic(x: Column, x0: float, scale: float, k: float) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -19,7 +20,7 @@ def _names(path: str) -> tuple[str | None, int]:
     parts = path.split("/")
     sequence = parts[parts.index("sequences") + 1] if "sequences" in parts[:-1] else None
     stem = parts[-1].rsplit(".", 1)[0]
-    return sequence, int(stem) if stem.isdigit() else abs(hash(stem)) % (1 << 31)
+    return sequence, int(stem) if stem.isdigit() else zlib.crc32(stem.encode())
 
 
 def _files(spark: SparkSession, paths: str | list[str], extension: str) -> DataFrame:
