@@ -101,7 +101,8 @@ def segments(texts: list[bytes], width: int = WIDTH, anchor: int = ANCHOR) -> It
         rows = zip(owner[first].tolist(), (at[first] - begins[owner[first]]).tolist(), counts.tolist(), least[first].astype(np.int64).tolist())
         for o, start, n, key in rows:
             k, offset, part = batch[o]
-            digest = xxhash.xxh3_64_intdigest(part[start : start + n + width - 1])
+            # The digest stands for the length as well.
+            digest = xxhash.xxh3_64_intdigest(part[start : start + n + width - 1], n)
             yield k, offset + start, n, key, digest - (1 << 63)
 
 
@@ -259,11 +260,16 @@ class Repeats:
         #: One narrow row a document: size and digest of its whole text.
         self.whole = cut.where(F.col("key").isNull()).select("uid", "doc_id", "n_bytes", "sha256")
         runs = cut.where(F.col("key").isNotNull()).select("uid", "start", "n", "key", "seg")
-        # Copies of a segment become one row with a count before anything meets by minimizer.
-        kinds = runs.groupBy("key", "seg", "n").agg(F.count(F.lit(1)).alias("copies"), F.min("uid").alias("holder"))
-        shared = kinds.groupBy("key").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("kinds")).where(F.col("total") > 1)
-        flagged = stored(kinds.join(shared, "key").select("key", "seg", "n", (F.col("copies") > 1).alias("whole"), "holder", "kinds"), "repeats-flagged")
-        marks = runs.join(flagged, ["key", "seg", "n"]).groupBy("uid").agg(
+        # Counts meet by minimizer, not rows: all but the repeated minimizers end here.
+        shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.min("seg").alias("a"), F.max("seg").alias("b"))
+        shared = shared.where(F.col("total") > 1).select("key", (F.col("a") != F.col("b")).alias("mixed"))
+        runs = stored(runs.join(shared, "key"), "repeats-shared")
+        # Copies of a segment become one row with a count; a minimizer's different segments are counted.
+        kinds = runs.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min("uid").alias("holder"), F.first("n").alias("n"), F.first("mixed").alias("mixed"))
+        many = kinds.where("mixed").groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
+        kinds = kinds.join(many, "key", "left").select("key", "seg", "n", (F.col("copies") > 1).alias("whole"), "holder", F.coalesce("kinds", F.lit(1).cast("long")).alias("kinds"))
+        flagged = stored(kinds, "repeats-flagged")
+        marks = runs.select("uid", "start", "n", "key", "seg").join(flagged.drop("n"), ["key", "seg"]).groupBy("uid").agg(
             F.collect_list(F.struct("start", "n", "key", "seg", "whole", "holder", "kinds")).alias("marks")
         )
         #: Texts with at least one flagged run; the texts move once.

@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Names up to which the recursion goes on symbol by symbol.
+RECURSE = 2000
+
 # ---- inducing over few buckets, on whole arrays ------------------------------------------------
 
 
@@ -136,7 +139,7 @@ def suffix_array(symbols: np.ndarray, size: int) -> np.ndarray:
     order = order[is_lms[order]]
     places, names, n_names = _names(s, is_s, order)
     if n_names < len(places):
-        order = places[np.array(_sort_names(names.tolist(), n_names), np.int64)]
+        order = places[np.array(_sort_names(names.tolist(), n_names), np.int64) if len(names) <= RECURSE else _rank_names(names)]
     return _induce(s, is_s, order, size)[1:]
 
 
@@ -206,6 +209,23 @@ def _sort_names(s: list[int], size: int) -> list[int]:
     return induce(order)
 
 
+def _rank_names(names: np.ndarray) -> np.ndarray:
+    """The same order by doubling: ranks of twice the length from pairs of ranks, until all differ."""
+    n, rank, reach = len(names), names, 1
+    while True:
+        key = rank * np.int64(n + 1)
+        key[:-reach] += rank[reach:] + 1
+        order = np.argsort(key)
+        sorted_ = key[order]
+        step = np.zeros(n, np.int64)
+        step[1:] = sorted_[1:] != sorted_[:-1]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(step)
+        if rank[order[-1]] == n - 1:
+            return order
+        reach *= 2
+
+
 # ---- common prefixes ---------------------------------------------------------------------------
 
 
