@@ -25,7 +25,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Symbols of a word up to which its tree is a row of a matrix; longer words get a tree of their own.
 WIDEST = 64
 #: Pieces that a worker keeps decoded and encoded (about 350 bytes each), and words likewise.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 120_000
 
 #: Marks that often close a word; any others take the general way.
 MARKS = ".,"
