@@ -190,8 +190,8 @@ CUT = PAIR + ", sv as (select tree_id, a, b from pr where w < 0.06e0 and tree_id
 
 @register("single_linkage_cut", _vec(CUT + " select tree_id, node as id, min(seen) as cc from rc group by 1,2"))
 def single_linkage_cut(spark, d):
-    e = disc_pairs(spark, d).where((F.col("w") < 0.06) & (F.col("tree_id") < 20)).select(F.col("tree_id").alias("scan_id"), F.col("a").alias("src"), F.col("b").alias("dst"), "w")
-    nodes = disc(spark, d).where(F.col("tree_id") < 20).select(F.col("tree_id").alias("scan_id"), F.col("id").alias("node_id"))
+    e = disc_pairs(spark, d).where(F.col("w") < 0.06).select(F.col("tree_id").alias("scan_id"), F.col("a").alias("src"), F.col("b").alias("dst"), "w")
+    nodes = disc(spark, d).select(F.col("tree_id").alias("scan_id"), F.col("id").alias("node_id"))
     return G.connected_components(e, nodes).select(F.col("scan_id").alias("tree_id"), F.col("node_id").alias("id"), "cc")
 
 
