@@ -16,10 +16,11 @@ EDGE = ["scan_id", "src", "dst"]
 # ---- nearest neighbours --------------------------------------------------------------------------
 
 
-def knn(points: DataFrame, k: int, coords=("x", "y", "z"), group: str = "scan_id", node: str = "point_id") -> DataFrame:
+def knn(points: DataFrame, k: int, coords=("x", "y", "z"), group: str = "scan_id", node: str = "point_id", loop: bool = False) -> DataFrame:
     """`group, src, dst, d, rank`: the k nearest others of every point in its group, ties to the lower id.
 
     One task works on one group (a scan), with a sweep along the first axis instead of all pairs.
+    With `loop` the point itself counts as one of the k, at distance 0.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -28,6 +29,12 @@ def knn(points: DataFrame, k: int, coords=("x", "y", "z"), group: str = "scan_id
         ids = ids[order]
         p = np.stack([np.asarray(table.column(f"c{i}")) for i in range(len(coords))], axis=1)[order]
         who, far = kernels.nearest(p, k)
+        if loop:
+            who = np.concatenate([np.arange(len(p))[:, None], who], axis=1)
+            far = np.concatenate([np.zeros((len(p), 1)), far], axis=1)
+            # Other points at distance 0 may have lower ids.
+            near = np.lexsort((who, far))[:, :k]
+            who, far = np.take_along_axis(who, near, 1), np.take_along_axis(far, near, 1)
         n, m = who.shape
         return pa.table(
             {

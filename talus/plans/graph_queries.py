@@ -40,7 +40,7 @@ def knn_graph(spark, d):
 
 @register("knn_batch_loop", _pts("s as (select * from points where point_id % 4 = 0) select * from (select a.scan_id, a.point_id as src, b.point_id as dst, row_number() over (partition by a.scan_id, a.point_id order by " + DIST + ", b.point_id) as rank from s a join s b on a.scan_id = b.scan_id) where rank <= 5"))
 def knn_batch_loop(spark, d):
-    return G.knn_window(points(spark, d).where(F.col("point_id") % 4 == 0), 5, loop=True).select("scan_id", "src", "dst", "rank")
+    return G.knn(points(spark, d), 5, loop=True).select("scan_id", "src", "dst", "rank")
 
 
 @register("knn_graph_symmetric", _pts(knn_sql(10) + ", e as (select scan_id, src, dst, 1e0 as w from kn), " + sym_sql("e", "s") + " select * from s"))

@@ -31,3 +31,31 @@ def test_single_linkage_cut_keeps_all_trees(spark):
     got = {(r.tree_id, r.id): r.cc for r in QUERIES["single_linkage_cut"](spark, LARGER).toPandas().itertuples()}
     assert max(t for t, _ in want) >= 20
     assert got == want
+
+
+def test_knn_batch_loop_takes_all_points(spark, sf_dir):
+    want = []
+    for scan, t in fixtures.points(spark, sf_dir).toPandas().sort_values("point_id").groupby("scan_id"):
+        p, ids = t[["x", "y", "z"]].to_numpy(), t["point_id"].to_numpy()
+        for i, own in enumerate(ids):
+            d2 = np.zeros(len(p))
+            for axis in range(3):
+                diff = p[i, axis] - p[:, axis]
+                d2 += diff * diff
+            near = np.lexsort((ids, np.sqrt(d2)))[:5]
+            want += [(scan, own, ids[n], r) for r, n in enumerate(near, 1)]
+    got = QUERIES["knn_batch_loop"](spark, sf_dir).toPandas()
+    assert set(got[["scan_id", "src", "dst", "rank"]].itertuples(index=False, name=None)) == set(want)
+    assert len(got) == len(want)
+
+
+def test_knn_with_loop_keeps_ties_and_lone_points(spark):
+    from talus.operators import graph as G
+
+    rows = [(0, 7, 1.0), (0, 3, 1.0), (0, 5, 1.0), (0, 9, 2.0), (1, 4, 0.0)]
+    p = spark.createDataFrame(rows, "scan_id long, point_id long, x double").selectExpr("*", "0.0D as y", "0.0D as z")
+    got = G.knn(p, 2, loop=True).toPandas()
+    pairs = {(r.src, r.rank): (r.dst, r.d) for r in got.itertuples()}
+    assert pairs[7, 1] == (3, 0.0) and pairs[7, 2] == (5, 0.0)
+    assert pairs[9, 1] == (9, 0.0) and pairs[9, 2] == (3, 1.0)
+    assert pairs[4, 1] == (4, 0.0) and (4, 2) not in pairs
