@@ -47,26 +47,31 @@ def single_linkage(weighted: DataFrame, tree: str = "tree_id") -> DataFrame:
     return rows.groupBy("tree_id").applyInArrow(run, "tree_id long, step int, left long, right long, dist double, cnt long")
 
 
-def linkage_cuts(weighted: DataFrame, ks: list[int]) -> DataFrame:
-    """`tree_id, k, id, cc`: the clusters left when the k - 1 last merges are dropped, named by their least id."""
+def linkage_cuts(weighted: DataFrame, ks: list[int] | str) -> DataFrame:
+    """`tree_id, k, id, cc`: the clusters left when the k - 1 last merges are dropped, named by their least id.
+
+    `ks` are the numbers of clusters, or the column with the greatest of each tree, from 1 on.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         a, b, w = np.asarray(table.column("a")), np.asarray(table.column("b")), np.asarray(table.column("w"))
         nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
         n, src, dst = len(nodes), flat[: len(a)], flat[len(a) :]
         kept = kernels.spanning_tree(n, src, dst, w)
+        tried = list(range(1, table.column("most")[0].as_py() + 1)) if isinstance(ks, str) else ks
         out = []
-        for k in ks:
+        for k in tried:
             some = np.array(kept[: max(n - k, 0)], np.int64)
             out.append(nodes[kernels.components(n, src[some], dst[some])])
         return pa.table(
             {
-                "tree_id": pa.array(np.full(n * len(ks), np.asarray(table.column("tree_id"))[0]), pa.int64()), "k": pa.array(np.repeat(ks, n), pa.int32()),
-                "id": pa.array(np.tile(nodes, len(ks)), pa.int64()), "cc": pa.array(np.concatenate(out), pa.int64()),
+                "tree_id": pa.array(np.full(n * len(tried), np.asarray(table.column("tree_id"))[0]), pa.int64()), "k": pa.array(np.repeat(tried, n), pa.int32()),
+                "id": pa.array(np.tile(nodes, len(tried)), pa.int64()), "cc": pa.array(np.concatenate(out), pa.int64()),
             }
         )
 
-    rows = weighted.select("tree_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("w").cast("double").alias("w"))
+    most = [F.col(ks).cast("int").alias("most")] if isinstance(ks, str) else []
+    rows = weighted.select("tree_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("w").cast("double").alias("w"), *most)
     return rows.groupBy("tree_id").applyInArrow(run, "tree_id long, k int, id long, cc long")
 
 

@@ -93,8 +93,8 @@ def mutual_information(df: DataFrame, truth: str, cluster: str, by: list[str] =
 
 def adjusted_rand(df: DataFrame, truth: str, cluster: str, by: list[str] = ()) -> DataFrame:
     pairs = lambda n: F.sum(n * (n - 1) / 2)
-    cells = contingency(df, truth, cluster, by).withColumn("k", F.lit(0))
-    keys = [*by, "k"]
+    cells = contingency(df, truth, cluster, by).withColumn("__all", F.lit(0))
+    keys = [*by, "__all"]
     both = cells.groupBy(*keys).agg(pairs(F.col("n")).alias("both"), F.sum("n").alias("n"))
     t = cells.groupBy(*keys, "t").agg(F.sum("n").alias("n")).groupBy(*keys).agg(pairs(F.col("n")).alias("pt"))
     c = cells.groupBy(*keys, "c").agg(F.sum("n").alias("n")).groupBy(*keys).agg(pairs(F.col("n")).alias("pc"))

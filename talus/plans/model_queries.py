@@ -197,7 +197,9 @@ def single_linkage_cut(spark, d):
 
 @register("best_k")
 def best_k(spark, d):
-    cuts = T.linkage_cuts(disc_pairs(spark, d), list(range(1, 11)))
+    # As many clusters as classes, numbered from 0, and up to four more.
+    most = disc(spark, d).groupBy("tree_id").agg((F.max("cls") + 5).alias("most"))
+    cuts = T.linkage_cuts(disc_pairs(spark, d).join(most, "tree_id"), "most")
     rows = cuts.join(disc(spark, d).select("tree_id", "id", "cls"), ["tree_id", "id"])
     ari = M.adjusted_rand(rows, "cls", "cc", ["tree_id", "k"])
     return ari.groupBy("tree_id").agg(F.max_by("k", F.struct(F.round("ari", 9), -F.col("k"))).alias("k"), r6(F.max("ari")).alias("ari"))

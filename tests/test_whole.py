@@ -59,3 +59,33 @@ def test_knn_with_loop_keeps_ties_and_lone_points(spark):
     assert pairs[7, 1] == (3, 0.0) and pairs[7, 2] == (5, 0.0)
     assert pairs[9, 1] == (9, 0.0) and pairs[9, 2] == (3, 1.0)
     assert pairs[4, 1] == (4, 0.0) and (4, 2) not in pairs
+
+
+def _rand(a, b):
+    """Adjusted Rand index of two labellings."""
+    pairs = lambda n: float((n * (n - 1) / 2).sum())
+    both = np.array([[np.sum((a == x) & (b == y)) for y in np.unique(b)] for x in np.unique(a)])
+    ab, pa, pb, every = pairs(both), pairs(both.sum(1)), pairs(both.sum(0)), len(a) * (len(a) - 1) / 2
+    most, chance = (pa + pb) / 2, pa * pb / every
+    return 1.0 if most == chance else (ab - chance) / (most - chance)
+
+
+def test_best_k_tries_four_more_than_the_classes(spark):
+    d = "/root/testdata/sf0.01"
+    want = {}
+    for tree, t in fixtures.disc(spark, d).toPandas().groupby("tree_id"):
+        p, y = t[["x", "y"]].to_numpy(), t["cls"].to_numpy()
+        far = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+        label, scores = np.arange(len(p)), {}
+        while True:
+            scores[len(np.unique(label))] = round(_rand(y, label), 9)
+            apart = np.where(label[:, None] != label[None], far, np.inf)
+            if not np.isfinite(apart).any():
+                break
+            i, j = np.unravel_index(apart.argmin(), apart.shape)
+            label[label == label[j]] = label[i]
+        want[tree] = max((scores[k], -k) for k in range(1, y.max() + 6))
+    got = QUERIES["best_k"](spark, d).toPandas()
+    assert any(-k > 10 for _, k in want.values())
+    assert {r.tree_id: r.k for r in got.itertuples()} == {t: -k for t, (_, k) in want.items()}
+    assert {r.tree_id: r.ari for r in got.itertuples()} == pytest.approx({t: s for t, (s, _) in want.items()}, abs=2e-6)
