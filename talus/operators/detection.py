@@ -142,25 +142,45 @@ def hybrid_ground(points: DataFrame, edges: DataFrame, threshold: float, k_norma
     return merge_labels(points, labels, min_size, max_dist, iterations, share)
 
 
-def iterative_ground(points: DataFrame, edges: DataFrame, threshold: float, min_size: int, most: int, cut, rounds: int = 10, enough: int = 20) -> DataFrame:
-    """Components linked to their nearest ones and cut again, until few are left; the lowest large ones are ground.
+def iterative_step(points: DataFrame, edges: DataFrame, threshold: float, cut, k: int, k_normals: int) -> DataFrame:
+    """Flat zones of height weights on the k-NN graph and `edges`, whose separate parts are linked to their nearest ones.
 
-    `cut` materialises the labels of a round where all executors can read them.
+    `cut` after each step: the graph is used three times, and the plan of all steps together is too large for a driver.
     """
     nodes = points.select("scan_id", F.col("point_id").alias("node_id"))
-    labels = cut(G.quasi_flat_zones(edges, threshold, nodes))
+    normals = cut(pca_normals(points, k_normals))
+    graph = cut(G.merge_graphs(edges, G.knn_graph(points, k)))
+    parts = cut(G.connected_components(graph, nodes).join(points.select("scan_id", F.col("point_id").alias("node_id"), "x", "y", "z"), ["scan_id", "node_id"]))
+    every = cut(graph.select(*G.EDGE).unionByName(G.connect_components(parts).select(*G.EDGE)).distinct())
+    return cut(G.quasi_flat_zones(G.height_weights(every, points, normals), threshold, nodes))
+
+
+def iterative_ground(points: DataFrame, edges: DataFrame, threshold: float, min_size: int, most: int, cut, rounds: int = 10, enough: int = 20, k: int = 10, k_normals: int = 30) -> DataFrame:
+    """Flat zones of the lowest large components, again and again until few are left; the first zones of what is left are ground.
+
+    Every scan stops by itself, when it has at most `enough` components.  A scan without a
+    component above `min_size` has no ground.  `cut` materialises the labels of a round where all
+    executors can read them.
+    """
+    points, edges = cut(points.select("scan_id", "point_id", "x", "y", "z")), cut(edges)
+    first = labels = iterative_step(points, edges, threshold, cut, k, k_normals)
+    left = []
     for _ in range(rounds):
-        left = labels.select("scan_id", "cc").distinct().groupBy("scan_id").count().agg(F.max("count")).first()[0] or 0
-        if left <= enough:
-            break
-        at = labels.join(points.select("scan_id", F.col("point_id").alias("node_id"), "x", "y", "z"), ["scan_id", "node_id"])
-        linked = G.connect_components(at)
-        edges = G.merge_graphs(edges, G.threshold_edges(linked, threshold))
-        labels = cut(G.quasi_flat_zones(edges, threshold, nodes))
-        if (labels.select("scan_id", "cc").distinct().groupBy("scan_id").count().agg(F.max("count")).first()[0] or 0) == left:
+        more = labels.groupBy("scan_id").agg(F.count_distinct("cc").alias("n")).where(F.col("n") > enough).select("scan_id")
+        left.append(labels.join(more, "scan_id", "left_anti").select("scan_id", "node_id"))
+        labels = labels.join(more, "scan_id", "left_semi")
+        if labels.isEmpty():
             break
-    low = G.lowest_components(labels, points, min_size, most).select("scan_id", "cc").withColumn("ground", F.lit(True))
-    return labels.join(low, ["scan_id", "cc"], "left").select("scan_id", F.col("node_id").alias("point_id"), F.coalesce("ground", F.lit(False)).alias("ground"))
+        low = G.lowest_components(labels, points, min_size, most)
+        nodes = cut(labels.join(low, ["scan_id", "cc"], "left_semi").select("scan_id", "node_id"))
+        some = cut(points.join(nodes.withColumnRenamed("node_id", "point_id"), ["scan_id", "point_id"], "left_semi"))
+        labels = iterative_step(some, cut(G.subgraph(edges, nodes)), threshold, cut, k, k_normals)
+    left.append(labels.select("scan_id", "node_id"))
+    stay = left[0]
+    for other in left[1:]:
+        stay = stay.unionByName(other)
+    ground = first.join(stay, ["scan_id", "node_id"], "left_semi").select("scan_id", "cc").distinct().withColumn("ground", F.lit(True))
+    return first.join(ground, ["scan_id", "cc"], "left").select("scan_id", F.col("node_id").alias("point_id"), F.coalesce("ground", F.lit(False)).alias("ground"))
 
 
 def cloth_ground(points: DataFrame, res: float = 1.0, res_z: float = 10.0, rigidness: int = 3, delta: float = 0.2, mass: float = 1.0, low_share: float = 0.005) -> DataFrame:

@@ -12,7 +12,7 @@ from talus.operators import hierarchy as T
 from talus.operators import metrics as M
 from talus.operators import points as P
 from talus.plans.fixtures import VECTORS, disc, points, r6
-from talus.plans.graph_queries import checkpointed, knn_sql, near_edges, near_labels
+from talus.plans.graph_queries import checkpointed, knn_sql, near_labels, sphere_edges
 from talus.plans.point_queries import _pts, images, pixels_sql
 
 QUERIES, ORACLES = {}, {}
@@ -497,7 +497,7 @@ def hybrid_ground(spark, d):
 
 @register("iterative_ground")
 def iterative_ground(spark, d):
-    return D.iterative_ground(points(spark, d), near_edges(spark, d), 3.0, 3, 10, checkpointed, rounds=3)
+    return D.iterative_ground(points(spark, d), sphere_edges(spark, d), 0.2, 20, 20, checkpointed)
 
 
 @register("csf_ground")

@@ -89,3 +89,76 @@ def test_best_k_tries_four_more_than_the_classes(spark):
     assert any(-k > 10 for _, k in want.values())
     assert {r.tree_id: r.k for r in got.itertuples()} == {t: -k for t, (_, k) in want.items()}
     assert {r.tree_id: r.ari for r in got.itertuples()} == pytest.approx({t: s for t, (s, _) in want.items()}, abs=2e-6)
+
+
+def _step(p, edges, threshold, k, k_normals):
+    """Labels of one round, all pairs compared."""
+    n = len(p)
+    far = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    near = np.argsort(far + np.where(np.eye(n, dtype=bool), -1, 0), axis=1, kind="stable")
+    links = edges.copy()
+    for i in range(n):
+        links[i, near[i, 1 : k + 1]] = links[near[i, 1 : k + 1], i] = True
+
+    def zones(joined):
+        label = np.arange(n)
+        while True:
+            new = np.where(joined | np.eye(n, dtype=bool), label[None], n).min(1)
+            if (new == label).all():
+                return label
+            label = new
+
+    parts = zones(links)
+    names = np.unique(parts)
+    for a in names:
+        own = np.flatnonzero(parts == a)
+        others = sorted((far[np.ix_(own, parts == b)].min(), b) for b in names if b != a)[:3]
+        for _, b in others:
+            there = np.flatnonzero(parts == b)
+            i, j = np.unravel_index(far[np.ix_(own, there)].argmin(), (len(own), len(there)))
+            s = own[np.argsort(far[own, there[j]], kind="stable")][: max(min(30, len(own) - 1), 1)]
+            t = there[np.argsort(far[there, own[i]], kind="stable")][: max(min(30, len(there) - 1), 1)]
+            for x in s:
+                for y in t:
+                    if far[x, y] < 12.0:
+                        links[x, y] = links[y, x] = True
+    nz = np.empty(n)
+    for i in range(n):
+        q = p[near[i, : k_normals + 1]]
+        nz[i] = abs(np.linalg.eigh(np.cov(q.T, bias=True) if len(q) > 1 else np.zeros((3, 3)))[1][2, 0])
+    r = (p[:, 2] - p[:, 2].min()) * (1 + np.exp(-32 * (nz - 0.7)))
+    return zones(links & (np.abs(r[:, None] - r[None]) < threshold))
+
+
+def _iterative(p, edges, threshold, min_size, most, k, k_normals):
+    first = label = _step(p, edges, threshold, k, k_normals)
+    left, rounds = np.arange(len(p)), 0
+    while len(np.unique(label)) > 20 and rounds < 10:
+        large = [c for c in np.unique(label) if (label == c).sum() > min_size]
+        low = sorted(large, key=lambda c: (round(p[left][label == c, 2].mean(), 9), c))[:most]
+        left = left[np.isin(label, low)]
+        label = _step(p[left], edges[np.ix_(left, left)], threshold, k, k_normals) if len(left) else label[:0]
+        rounds += 1
+    return np.isin(first, first[left]), rounds
+
+
+def test_iterative_ground_goes_on_in_every_scan_by_itself(spark):
+    from talus.operators import detection as D
+    from talus.plans.graph_queries import checkpointed
+
+    draw = np.random.default_rng(5)
+    scans, want, rounds = [], {}, []
+    for scan, (n, spread) in enumerate([(220, 0.02), (300, 0.6), (260, 1.5), (240, 0.3)]):
+        p = np.c_[draw.uniform(-20, 20, (n, 2)), draw.normal(0, spread, n)]
+        edges = np.zeros((n, n), bool)
+        edges[np.arange(n - 1), np.arange(1, n)] = np.abs(np.diff(p[:, 2])) < 0.1
+        edges |= edges.T
+        ground, took = _iterative(p, edges, 0.2, 3, 10, 4, 8)
+        rounds.append(took)
+        want |= {(scan, i): bool(g) for i, g in enumerate(ground)}
+        scans.append((scan, p, edges))
+    points = spark.createDataFrame([(s, i, *map(float, q)) for s, p, _ in scans for i, q in enumerate(p)], "scan_id long, point_id long, x double, y double, z double")
+    edges = spark.createDataFrame([(s, int(i), int(j), 1.0) for s, _, e in scans for i, j in np.argwhere(e)], "scan_id long, src long, dst long, w double")
+    got = D.iterative_ground(points, edges, 0.2, 3, 10, checkpointed, k=4, k_normals=8).toPandas()
+    assert len(set(rounds)) > 1, rounds
+    assert {(r.scan_id, r.point_id): r.ground for r in got.itertuples()} == want
