@@ -238,11 +238,30 @@ def dart_cells(raster: DataFrame, centre_row: int, centre_col: int, res: float,
     return raster.withColumn("ring", ring).withColumn("sector", sector)
 
 
+def dart_board(raster: DataFrame, res: float) -> DataFrame:
+    """Adds ring, sector and `cell` (a zone of one ring and sector) of every pixel of images with r0, c0, height and width.
+
+    Rings lie between the ground distances of the scan lines, of which those outside the image are left out.
+    """
+    import math
+
+    radii = [abs(round(SCANNER_HEIGHT * math.tan(math.radians(90 + k * SPAN / LINES)) * res)) for k in range(LINES)]
+    dr, dc = (F.col("row") - F.col("r0")).cast("double"), (F.col("col") - F.col("c0")).cast("double")
+    r, size = F.floor(F.sqrt(dr * dr + dc * dc)), F.greatest("height", "width")
+    ring = F.coalesce(*[F.when((F.lit(radii[k]) < size) & (F.lit(radii[k]) < r), F.lit(k + 1)) for k in range(1, LINES)], F.lit(LINES + 1))
+    sector = F.when((dr == 0) & (dc == 0), F.lit(0)).otherwise(F.rint(F.lit(180.0) + F.lit(180.0) * F.atan2(dr, dc) / F.lit(2 * math.pi)).cast("int"))
+    board = raster.withColumn("ring", ring).withColumn("sector", sector)
+    same = G.image_graph(board, ["ring", "sector"]).where(F.col("w") < 0.5)
+    cells = G.pixel_components(same, board, 1 << 20).withColumnRenamed("cc", "cell")
+    return board.withColumn("node_id", (F.col("row") * (1 << 20) + F.col("col")).cast("long")).join(cells, ["scan_id", "node_id"]).drop("node_id")
+
+
 def dart_ground(points: DataFrame, cut, res: float = 1.0, res_z: float = 10.0, lam: float = 2.0, delta: float = 0.05, delta_circle: float = 0.5, min_z: float | None = None) -> DataFrame:
     """Ring-and-sector ground detection on the bird's-eye image: adds `ground`.
 
-    Seeds are low pixels around the empty circle of the scanner; every (ring, sector) cell gives a
-    lowest height, flat zones that hold a seed are ground, and zones of the lowest levels extend it.
+    Seeds are low pixels around the empty circle of the scanner, at more than one pixel a metre opened
+    by 2 x 2 pixels; every cell of `dart_board` gives a lowest height, flat zones that hold a seed are
+    ground, and zones of the lowest levels extend it.
     Squares of pixels stand for the hexagonal elements of other libraries.  `cut` materialises the
     images between the steps where all executors can read them.
     """
@@ -253,22 +272,22 @@ def dart_ground(points: DataFrame, cut, res: float = 1.0, res_z: float = 10.0, l
     images = R.height_images(px, floor_z, res_z)
     sizes = P.bounding_box(points, res, res)
     full = R.dense(images.select(*R.PIXEL, "im_min", "im_max", "im_acc"), sizes, im_min=0, im_max=0, im_acc=0)
-    box = sizes.select("scan_id", "width", F.floor(-F.col("xmin") * res).cast("long").alias("r0"), F.floor(-F.col("ymin") * res).cast("long").alias("c0"))
+    box = sizes.select("scan_id", "height", "width", F.floor(-F.col("xmin") * res).cast("long").alias("r0"), F.floor(-F.col("ymin") * res).cast("long").alias("c0"))
     full = cut(full.join(box, "scan_id"))
     half = round(5.5 * res)
     window = (F.abs(F.col("row") - F.col("r0")) <= half) & (F.abs(F.col("col") - F.col("c0")) <= half)
     circle = full.withColumn("inside", (window & (F.col("im_acc") == 0)).cast("int"))
-    ring = R.dilate(circle.withColumn("wide", F.col("inside")), "wide", max(1, int(res))).where((F.col("wide") == 1) & (F.col("im_max") > 0))
-    least = ring.groupBy("scan_id").agg(F.min("im_max").alias("m"))
+    wide = R.dilate(circle.withColumn("wide", F.col("inside")), "wide", max(1, int(res))).withColumn("around", (F.col("wide") == 1) & (F.col("im_max") > 0))
+    least = wide.where(F.col("around")).groupBy("scan_id").agg(F.min("im_max").alias("m"))
     top = F.least(F.lit(255), F.col("m") + int(delta_circle * res_z))
-    seeds = ring.join(least, "scan_id").where((F.col("im_max") <= top) & (F.col("im_max") - F.col("im_min") <= round(0.3 * res_z))).select(*R.PIXEL, F.lit(True).alias("seed"))
-    import math
-
-    dr, dc = (F.col("row") - F.col("r0")).cast("double"), (F.col("col") - F.col("c0")).cast("double")
-    full = full.withColumn("sector", F.floor(F.lit(180.0) + F.lit(180.0) * F.atan2(dr, dc) / F.lit(2 * math.pi) + 0.5).cast("int"))
-    full = full.withColumn("ring", F.floor(F.sqrt(F.sqrt(dr * dr + dc * dc)) * 4).cast("int"))
-    lows = full.where(F.col("im_acc") > 0).groupBy("scan_id", "ring", "sector").agg(F.min("im_max").alias("cell_min"))
-    full = full.join(lows, ["scan_id", "ring", "sector"], "left")
+    low = F.col("around") & (F.col("im_max") <= top) & (F.col("im_max") - F.col("im_min") <= round(0.3 * res_z))
+    seeds = wide.join(least, "scan_id").withColumn("seed", low.cast("int"))
+    if res > 1:
+        seeds = R.opened_square(seeds, "seed")
+    seeds = seeds.where(F.col("seed") == 1).select(*R.PIXEL, F.lit(True).alias("seed"))
+    full = cut(dart_board(full, res))
+    lows = full.where(F.col("im_acc") > 0).groupBy("scan_id", "cell").agg(F.min("im_max").alias("cell_min"))
+    full = full.join(lows, ["scan_id", "cell"], "left")
     full = full.withColumn("filled", F.when(F.col("im_acc") > 0, F.col("im_max")).otherwise(F.coalesce("cell_min", F.lit(0))))
     full = full.withColumn("obj", F.when(F.col("im_acc") > 0, F.col("im_max") - F.col("cell_min")).otherwise(0))
     full = cut(full)

@@ -175,6 +175,11 @@ def opened(raster: DataFrame, value: str, radius: int = 1) -> DataFrame:
     return dilate(erode(raster, value, radius), value, radius)
 
 
+def opened_square(raster: DataFrame, value: str, size: int = 2) -> DataFrame:
+    """Opening by a square of `size` pixels, which may be even: what no whole square fits into goes."""
+    return _separable(_separable(raster, value, F.min, (0, size - 1), (0, size - 1)), value, F.max, (1 - size, 0), (1 - size, 0))
+
+
 def closed(raster: DataFrame, value: str, radius: int = 1) -> DataFrame:
     return erode(dilate(raster, value, radius), value, radius)
 

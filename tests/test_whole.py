@@ -162,3 +162,50 @@ def test_iterative_ground_goes_on_in_every_scan_by_itself(spark):
     got = D.iterative_ground(points, edges, 0.2, 3, 10, checkpointed, k=4, k_normals=8).toPandas()
     assert len(set(rounds)) > 1, rounds
     assert {(r.scan_id, r.point_id): r.ground for r in got.itertuples()} == want
+
+
+def _board(height, width, r0, c0, res):
+    """Cells of the dart board, ring by ring from the outermost radius."""
+    size, radii = max(height, width), []
+    for i in range(64):
+        r = round(abs(1.73 * np.tan(np.radians(90 + i * 26.9 / 64)) * res))
+        radii.append(size if r > height + width else r)
+    index = next(i for i in range(64) if radii[i] < size)
+    rings, r = {}, height + width
+    while r > 0 and index < 64:
+        while r > radii[index]:
+            rings[r] = index + 1
+            r -= 1
+        index += 1
+    rings |= {x: 65 for x in range(r + 1)}
+    row, col = np.mgrid[:height, :width]
+    ring = np.vectorize(rings.get)(np.sqrt((row - r0) ** 2 + (col - c0) ** 2).astype(int))
+    sector = np.round(180 + 180 * np.arctan2(row - r0, col - c0) / (2 * np.pi)).astype(int)
+    sector[r0, c0] = 0
+    return ring, sector
+
+
+def test_dart_board_has_the_rings_of_the_scan_lines(spark):
+    from talus.operators import detection as D
+
+    for height, width, r0, c0, res in ((40, 40, 20, 20, 0.5), (90, 70, 41, 30, 2.0)):
+        ring, sector = _board(height, width, r0, c0, res)
+        pixels = [(0, i, j, r0, c0, height, width) for i in range(height) for j in range(width)]
+        got = D.dart_board(spark.createDataFrame(pixels, "scan_id long, row long, col long, r0 long, c0 long, height long, width long"), res).toPandas()
+        assert len(got) == height * width
+        assert (got["ring"] == ring[got["row"], got["col"]]).all()
+        assert (got["sector"] == sector[got["row"], got["col"]]).all()
+        cells = np.zeros((height, width), np.int64)
+        cells[got["row"], got["col"]] = got["cell"]
+        for a, b in ((np.s_[1:], np.s_[:-1]), (np.s_[:, 1:], np.s_[:, :-1])):
+            assert ((cells[a] == cells[b]) == ((ring[a] == ring[b]) & (sector[a] == sector[b]))).all()
+
+
+def test_opened_square_drops_thin_parts(spark):
+    from talus.operators import raster as R
+
+    image = np.zeros((6, 7), int)
+    image[1:3, 1:3] = image[4, 1:6] = image[1:5, 5] = 1
+    rows = spark.createDataFrame([(0, i, j, int(image[i, j])) for i in range(6) for j in range(7)], "scan_id long, row long, col long, v int")
+    got = {(r.row, r.col) for r in R.opened_square(rows, "v").toPandas().itertuples() if r.v}
+    assert got == {(1, 1), (1, 2), (2, 1), (2, 2)}
