@@ -57,4 +57,5 @@ def clamp(x: Column, low, high) -> Column:
 
 def lcg_rank(seed: Column, n: Column) -> Column:
     """A reproducible pseudo-random number in [0, n): integer arithmetic that any SQL engine repeats."""
-    return ((seed * 1103515245 + 12345) % 2147483648) % n
+    # Only the seed's lowest 31 bits count: without the rest the product stays within 64 bits.
+    return ((F.pmod(seed, F.lit(2147483648)) * 1103515245 + 12345) % 2147483648) % n

@@ -37,22 +37,25 @@ def transfer_labels(points: DataFrame, value: str, k: int = 3) -> DataFrame:
     return rows.groupBy("scan_id").applyInArrow(run, "scan_id long, point_id long, score double")
 
 
-def planes(points: DataFrame, iterations: int, group: str = "scan_id") -> DataFrame:
-    """Candidate planes (group, t, nx, ny, nz, px, py, pz): three points a round, picked by integer arithmetic on rank."""
-    order = Window.partitionBy(group).orderBy("point_id")
-    ranked = points.select(group, "x", "y", "z", (F.row_number().over(order) - 1).cast("long").alias("r"))
-    sizes = ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 3)
+def planes(points: DataFrame, iterations: int, group: tuple[str, ...] = ("scan_id",)) -> DataFrame:
+    """Candidate planes (group, t, nx, ny, nz, px, py, pz): three points a round, picked by integer arithmetic on rank.
+
+    The last column of the group seeds the choice.
+    """
+    order = Window.partitionBy(*group).orderBy("point_id")
+    ranked = points.select(*group, "x", "y", "z", (F.row_number().over(order) - 1).cast("long").alias("r"))
+    sizes = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 3)
     rounds = sizes.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
     for k, name in enumerate("abc"):
-        rounds = rounds.withColumn(name, lcg_rank(F.col("t") * 3 + F.lit(k) + F.col(group) * 7919, F.col("n")))
+        rounds = rounds.withColumn(name, lcg_rank(F.col("t") * 3 + F.lit(k) + F.pmod(group[-1], F.lit(1 << 31)) * 7919, F.col("n")))
     rounds = rounds.where((F.col("a") != F.col("b")) & (F.col("b") != F.col("c")) & (F.col("a") != F.col("c")))
     for name in "abc":
-        corner = ranked.select(group, F.col("r").alias(name), *[F.col(c).alias(f"{name}{c}") for c in "xyz"])
-        rounds = rounds.join(corner, [group, name])
+        corner = ranked.select(*group, F.col("r").alias(name), *[F.col(c).alias(f"{name}{c}") for c in "xyz"])
+        rounds = rounds.join(corner, [*group, name])
     u = [F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"]
     v = [F.col(f"c{c}") - F.col(f"a{c}") for c in "xyz"]
     n = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
-    out = rounds.select(group, "t", n[0].alias("nx"), n[1].alias("ny"), n[2].alias("nz"), *[F.col(f"a{c}").alias(f"p{c}") for c in "xyz"])
+    out = rounds.select(*group, "t", n[0].alias("nx"), n[1].alias("ny"), n[2].alias("nz"), *[F.col(f"a{c}").alias(f"p{c}") for c in "xyz"])
     return out.where(_length() >= 1e-12)
 
 
@@ -64,17 +67,17 @@ def _off_plane():
     return F.abs(F.col("nx") * (F.col("x") - F.col("px")) + F.col("ny") * (F.col("y") - F.col("py")) + F.col("nz") * (F.col("z") - F.col("pz"))) / _length()
 
 
-def ransac_plane(points: DataFrame, max_dist: float, iterations: int, stop_at: int | None = None, group: str = "scan_id") -> DataFrame:
+def ransac_plane(points: DataFrame, max_dist: float, iterations: int, stop_at: int | None = None, group: tuple[str, ...] = ("scan_id",)) -> DataFrame:
     """The plane with most points nearer than `max_dist` in each group; ties, and the first to reach `stop_at`, by round."""
     candidates = planes(points, iterations, group)
     # Rounds are a parameter, so a group's points meet a bounded number of planes, all in one pass.
-    counted = points.select(group, "x", "y", "z").join(candidates, group).groupBy(group, "t").agg(F.count_if(_off_plane() < max_dist).alias("n_inliers"))
+    counted = points.select(*group, "x", "y", "z").join(candidates, list(group)).groupBy(*group, "t").agg(F.count_if(_off_plane() < max_dist).alias("n_inliers"))
     if stop_at is not None:
         counted = counted.withColumn("place", F.struct(F.when(F.col("n_inliers") >= stop_at, 0).otherwise(1).alias("late"), F.when(F.col("n_inliers") >= stop_at, F.lit(0)).otherwise(-F.col("n_inliers")).alias("fewer"), F.col("t")))
     else:
         counted = counted.withColumn("place", F.struct((-F.col("n_inliers")).alias("fewer"), F.col("t")))
-    best = counted.groupBy(group).agg(F.min_by(F.struct("t", "n_inliers"), "place").alias("best")).select(group, "best.*")
-    return best.join(candidates, [group, "t"])
+    best = counted.groupBy(*group).agg(F.min_by(F.struct("t", "n_inliers"), "place").alias("best")).select(*group, "best.*")
+    return best.join(candidates, [*group, "t"])
 
 
 def ransac_ground(points: DataFrame, min_height: float, max_height: float, max_dist: float, iterations: int, stop_at: int | None = None) -> DataFrame:
@@ -97,12 +100,11 @@ def merge_labels(points: DataFrame, labels: DataFrame, min_size: int, max_dist:
     first = sizes.where(F.col("rank") == 1).select("scan_id", F.col("cc").alias("big"))
     others = sizes.where((F.col("rank") > 1) & (F.col("n") > min_size)).select("scan_id", F.col("cc").alias("other"))
     pairs = first.join(others, "scan_id")
-    # A pair's key is its smaller component: names are node ids, unique in a scan.
     at = points.join(labels.select("scan_id", F.col("node_id").alias("point_id"), "cc"), ["scan_id", "point_id"])
     both = at.join(pairs.withColumn("cc", F.explode(F.array("big", "other"))), ["scan_id", "cc"])
-    both = both.withColumn("pair", F.col("scan_id") * (1 << 31) + F.col("other"))
-    best = ransac_plane(both, max_dist, iterations, group="pair").drop("t", "n_inliers")
-    inside = both.where(F.col("cc") == F.col("other")).join(best, "pair")
+    # The smaller component names its pair with the largest one of the scan.
+    best = ransac_plane(both, max_dist, iterations, group=("scan_id", "other")).drop("t", "n_inliers")
+    inside = both.where(F.col("cc") == F.col("other")).join(best, ["scan_id", "other"])
     joins = inside.groupBy("scan_id", "other").agg(F.avg((_off_plane() < max_dist).cast("double")).alias("inlier_share")).where(F.col("inlier_share") > share)
     ground = first.select("scan_id", F.col("big").alias("cc")).unionByName(joins.select("scan_id", F.col("other").alias("cc"))).withColumn("ground", F.lit(True))
     return at.join(ground, ["scan_id", "cc"], "left").select("scan_id", "point_id", F.coalesce("ground", F.lit(False)).alias("ground"))
@@ -183,8 +185,18 @@ def iterative_ground(points: DataFrame, edges: DataFrame, threshold: float, min_
     return first.join(ground, ["scan_id", "cc"], "left").select("scan_id", F.col("node_id").alias("point_id"), F.coalesce("ground", F.lit(False)).alias("ground"))
 
 
-def cloth_ground(points: DataFrame, res: float = 1.0, res_z: float = 10.0, rigidness: int = 3, delta: float = 0.2, mass: float = 1.0, low_share: float = 0.005) -> DataFrame:
-    """Cloth simulation: adds `ground`.  The lowest level counts from the 0.5-percent height of each scan."""
+def cloth_ground(
+    points: DataFrame, res: float = 1.0, res_z: float = 10.0, rigidness: int = 3, delta: float = 0.2, low_share: float = 0.005,
+    avg_mode: str = "all", mass_mode: str = "one", local_rigidness: float = 1.0, max_iter: int = 200, epsilon: float = 0.01,
+) -> DataFrame:
+    """Cloth simulation: adds `ground`.  The lowest level counts from the 0.5-percent height of each scan.
+
+    `avg_mode`: neighbours of all pixels, or only those that hold points (`mask`), pull at the cloth;
+    `mass_mode`: mass 1, or that of a square of one metre (`res_x`).
+    """
+    if avg_mode not in ("all", "mask") or mass_mode not in ("one", "res_x"):
+        raise ValueError("avg_mode is all or mask, mass_mode is one or res_x")
+    mass = 1.0 if mass_mode == "one" else 1 / (res * res)
     px = P.linear_pixels(points, res, res)
     base = points.groupBy("scan_id").agg(F.percentile("z", F.lit(low_share)).alias("min_z"))
     px = px.join(base, "scan_id")
@@ -198,7 +210,7 @@ def cloth_ground(points: DataFrame, res: float = 1.0, res_z: float = 10.0, rigid
         row, col, low = (np.asarray(table.column(c)) for c in ("row", "col", "im_min"))
         image, mask = np.full(shape, 255.0), np.zeros(shape, bool)
         image[row, col], mask[row, col] = low, True
-        rest = kernels.cloth(image, mask, step, rigidness)
+        rest = kernels.cloth(image, mask, step, rigidness, local_rigidness, max_iter, epsilon, avg_mode == "mask")
         # Heights were cut to whole levels; the cloth lies on levels above 0.
         ground = np.trunc(rest[row, col])
         return pa.table({"scan_id": table.column("scan_id"), "row": table.column("row"), "col": table.column("col"), "im_min": pa.array(ground.astype(np.int64)), "is_ground": pa.array(ground > 0)})

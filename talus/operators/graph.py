@@ -208,20 +208,23 @@ def quasi_flat_zones(edges: DataFrame, threshold: float, nodes: DataFrame | None
 
 
 def spanning_forest(edges: DataFrame, additive: bool = False) -> DataFrame:
-    """Edges of a minimum spanning forest of every scan."""
+    """Edges of a minimum spanning forest of every scan: `scan_id, src, dst, w, step, n_src, n_dst`.
+
+    Edges come in by weight, then ends, `step` by step; `n_src` and `n_dst` are the sizes of the
+    sets that the edge joined.  `additive`: the weight is multiplied by the smaller of both.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         scan, nodes, src, dst, w = _grouped_edges(table)
-        kept = np.array(kernels.spanning_tree(len(nodes), src, dst, w, additive), np.int64)
-        return pa.table(
-            {
-                "scan_id": pa.array(np.full(len(kept), scan), pa.int64()), "src": pa.array(nodes[src[kept]], pa.int64()),
-                "dst": pa.array(nodes[dst[kept]], pa.int64()), "w": pa.array(w[kept], pa.float64()),
-            }
-        )
+        kept, sizes = kernels.spanning_tree(len(nodes), src, dst, w)
+        kept, sizes = np.array(kept, np.int64), np.array(sizes, np.int64).reshape(-1, 2)
+        weight = w[kept] * sizes.min(1, initial=len(nodes)) if additive else w[kept]
+        columns = [np.full(len(kept), scan), nodes[src[kept]], nodes[dst[kept]], weight, np.arange(len(kept)), sizes[:, 0], sizes[:, 1]]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["scan_id", "src", "dst", "w", "step", "n_src", "n_dst"])
 
     rows = undirected(edges).select(*[F.col(c).cast("long").alias(c) for c in EDGE], F.col("w").cast("double").alias("w"))
-    return rows.groupBy("scan_id").applyInArrow(run, "scan_id long, src long, dst long, w double")
+    return rows.groupBy("scan_id").applyInArrow(run, "scan_id long, src long, dst long, w double, step long, n_src long, n_dst long")
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

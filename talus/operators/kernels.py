@@ -88,42 +88,24 @@ def components(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return label
 
 
-def spanning_tree(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, additive: bool = False) -> list[int]:
-    """Numbers of the edges of a minimum spanning forest (by weight, then ends).
-
-    Additive: edges in order of weight times the smaller size of the sets that they join, the
-    sizes being those at the time (edges are taken from a heap and put back when sizes have grown).
-    """
-    forest, kept = Forest(n), []
-    order = np.lexsort((dst, src, w)).tolist()
-    if not additive:
-        for e in order:
-            if forest.union(int(src[e]), int(dst[e])):
-                kept.append(e)
-                if len(kept) == n - 1:
-                    break
-        return kept
-    import heapq
-
-    heap = [(float(w[e]), int(src[e]), int(dst[e]), e) for e in order]
-    heapq.heapify(heap)
-    while heap and len(kept) < n - 1:
-        cost, a, b, e = heapq.heappop(heap)
-        x, y = forest.find(a), forest.find(b)
-        if x == y:
-            continue
-        now = float(w[e]) * min(forest.size[x], forest.size[y])
-        if now > cost:
-            heapq.heappush(heap, (now, a, b, e))
-            continue
-        forest.union(x, y)
-        kept.append(e)
-    return kept
+def spanning_tree(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
+    """A minimum spanning forest: numbers of its edges in order (by weight, then ends), and for each the sizes
+    of the two sets that it joined, that of its first end first."""
+    forest, kept, sizes = Forest(n), [], []
+    for e in np.lexsort((dst, src, w)).tolist():
+        a, b = forest.find(int(src[e])), forest.find(int(dst[e]))
+        both = forest.size[a], forest.size[b]
+        if forest.union(a, b):
+            kept.append(e)
+            sizes.append(both)
+            if len(kept) == n - 1:
+                break
+    return kept, sizes
 
 
 def merge_tree(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Single linkage: rows (left, right, height, size), one a merge; node n + k is made by merge k."""
-    kept = spanning_tree(n, src, dst, w)
+    kept, _ = spanning_tree(n, src, dst, w)
     forest, name, out = Forest(n), list(range(n)), []
     size = [1] * (2 * n)
     for k, e in enumerate(kept):
@@ -136,16 +118,27 @@ def merge_tree(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> np.nd
     return np.array(out).reshape(-1, 4)
 
 
-#: The twelve neighbours of a cloth particle.
-CLOTH_NEIGHBOURS = ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1), (-2, 0), (2, 0), (0, -2), (0, 2))
+#: The neighbours of a cloth particle: all at one or two steps along the axes.
+CLOTH_NEIGHBOURS = [(dr, dc) for dr in range(-2, 3) for dc in range(-2, 3) if 1 <= abs(dr) + abs(dc) <= 2]
+
 
+def cloth(low: np.ndarray, mask: np.ndarray, step: float, rigidness: int = 3, local: float = 1.0, most: int = 200, eps: float = 0.01, masked: bool = False) -> np.ndarray:
+    """Heights of a cloth that rises until it meets `low`; outside the image a neighbour counts as the cell itself.
 
-def cloth(low: np.ndarray, mask: np.ndarray, step: float, rigidness: int = 3, local: float = 0.5, most: int = 200, eps: float = 0.01) -> np.ndarray:
-    """Heights of a cloth that rises until it meets `low`; outside the image a neighbour counts as the cell itself."""
+    `masked`: only neighbours in `mask` count, and a cell without any is pulled to 0.
+    """
     now = np.zeros(low.shape)
     before = now.copy()
     fixed = np.zeros(low.shape, bool)
     h, w = low.shape
+    rows, cols = np.arange(h)[:, None], np.arange(w)[None, :]
+    # Places of the neighbours, and whether they count.
+    sides = []
+    for dr, dc in CLOTH_NEIGHBOURS:
+        inside = (rows + dr >= 0) & (rows + dr < h) & (cols + dc >= 0) & (cols + dc < w)
+        at = np.where(inside, (rows + dr) * w + cols + dc, rows * w + cols)
+        sides.append((at, mask.ravel()[at] if masked else np.ones(low.shape, bool)))
+    count = np.sum([use for _, use in sides], axis=0)
     for _ in range(most):
         new = np.where(fixed, now, 2 * now - before + step)
         hit = new >= low
@@ -153,11 +146,10 @@ def cloth(low: np.ndarray, mask: np.ndarray, step: float, rigidness: int = 3, lo
         fixed |= hit
         for _ in range(rigidness):
             total = np.zeros(low.shape)
-            padded = np.pad(new, 2, constant_values=np.nan)
-            for dr, dc in CLOTH_NEIGHBOURS:
-                other = padded[2 + dr : 2 + dr + h, 2 + dc : 2 + dc + w]
-                total += np.where(np.isnan(other), new, other)
-            mean = total / len(CLOTH_NEIGHBOURS)
+            flat = new.ravel()
+            for at, use in sides:
+                total += np.where(use, flat[at], 0.0)
+            mean = total / np.maximum(count, 1)
             new = np.where(fixed, new, new + local * (mean - new))
         move = np.abs(now - new)[mask].max(initial=0.0)
         before, now = now, new

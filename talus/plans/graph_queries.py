@@ -38,7 +38,7 @@ def knn_graph(spark, d):
     return G.knn(points(spark, d), 10).withColumn("d", F.round("d", 9) + F.lit(0.0))
 
 
-@register("knn_batch_loop", _pts("s as (select * from points where point_id % 4 = 0) select * from (select a.scan_id, a.point_id as src, b.point_id as dst, row_number() over (partition by a.scan_id, a.point_id order by " + DIST + ", b.point_id) as rank from s a join s b on a.scan_id = b.scan_id) where rank <= 5"))
+@register("knn_batch_loop", _pts("s as (select * from points) select * from (select a.scan_id, a.point_id as src, b.point_id as dst, row_number() over (partition by a.scan_id, a.point_id order by " + DIST + ", b.point_id) as rank from s a join s b on a.scan_id = b.scan_id) where rank <= 5"))
 def knn_batch_loop(spark, d):
     return G.knn(points(spark, d), 5, loop=True).select("scan_id", "src", "dst", "rank")
 
@@ -173,12 +173,13 @@ def components_global(spark, d):
 
 
 def checkpointed(df):
-    """A checkpoint in the cluster's folder; where none is set, one of this session's own."""
+    """A checkpoint in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="talus-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -240,7 +241,7 @@ def mst_total_weight(spark, d):
 @register("mst_additive")
 def mst_additive(spark, d):
     t = G.spanning_forest(near_edges(spark, d), additive=True)
-    return t.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n_edges"), r6(F.sum("w")).alias("weight"))
+    return t.select("scan_id", "src", "dst", "step", "n_src", "n_dst", r6("w").alias("w"))
 
 
 # ---- image graphs --------------------------------------------------------------------------------

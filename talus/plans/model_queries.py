@@ -12,7 +12,7 @@ from talus.operators import hierarchy as T
 from talus.operators import metrics as M
 from talus.operators import points as P
 from talus.plans.fixtures import VECTORS, disc, points, r6
-from talus.plans.graph_queries import checkpointed, knn_sql, near_labels, sphere_edges
+from talus.plans.graph_queries import KCC, checkpointed, knn_sql, near_labels, sphere_edges
 from talus.plans.point_queries import _pts, images, pixels_sql
 
 QUERIES, ORACLES = {}, {}
@@ -185,7 +185,7 @@ def single_linkage(spark, d):
     return T.single_linkage(disc_pairs(spark, d))
 
 
-CUT = PAIR + ", sv as (select tree_id, a, b from pr where w < 0.06e0 and tree_id < 20), be as (select tree_id, a as s, b as t from sv union all select tree_id, b, a from sv), rc as (select tree_id, id as node, id as seen from disc where tree_id < 20 union select rc.tree_id, rc.node, be.t from rc join be on be.tree_id = rc.tree_id and be.s = rc.seen)"
+CUT = PAIR + ", sv as (select tree_id, a, b from pr where w < 0.06e0), be as (select tree_id, a as s, b as t from sv union all select tree_id, b, a from sv), rc as (select tree_id, id as node, id as seen from disc union select rc.tree_id, rc.node, be.t from rc join be on be.tree_id = rc.tree_id and be.s = rc.seen)"
 
 
 @register("single_linkage_cut", _vec(CUT + " select tree_id, node as id, min(seen) as cc from rc group by 1,2"))
@@ -453,27 +453,55 @@ def rri(spark, d):
 LCG = "((({s})*1103515245 + 12345) % 2147483648)"
 
 
-def _ransac_sql(iterations: int, where: str, dist: float) -> str:
-    pick = lambda k: LCG.format(s=f"t*3 + {k} + scan_id*7919") + " % n"
-    return f"""pp as (select * from points where {where}), rk as (select *, row_number() over (partition by scan_id order by point_id) - 1 as r from pp), nn as (select scan_id, count(*) as n from pp group by 1 having count(*) >= 3),
-tt as (select scan_id, n, t, {pick(0)} as a, {pick(1)} as b, {pick(2)} as c from nn, range(0, {iterations}) q(t)), tu as (select * from tt where a <> b and b <> c and a <> c),
-ab as (select tu.scan_id, t, a.x as px, a.y as py, a.z as pz, b.x-a.x as ux, b.y-a.y as uy, b.z-a.z as uz, c.x-a.x as vx, c.y-a.y as vy, c.z-a.z as vz from tu join rk a on a.scan_id = tu.scan_id and a.r = tu.a join rk b on b.scan_id = tu.scan_id and b.r = tu.b join rk c on c.scan_id = tu.scan_id and c.r = tu.c),
-pl as (select *, uy*vz-uz*vy as nx, uz*vx-ux*vz as ny, ux*vy-uy*vx as nz from ab), pk as (select *, sqrt(nx*nx+ny*ny+nz*nz) as nl from pl where sqrt(nx*nx+ny*ny+nz*nz) >= 1e-12),
-ct as (select k.scan_id, t, count(*) filter (abs(nx*(x-px)+ny*(y-py)+nz*(z-pz))/nl < {dist}e0) as n_inliers from pp join pk k using (scan_id) group by 1,2),
-bs as (select scan_id, arg_min(t, (-n_inliers, t)) as t, max(n_inliers) as n_inliers from ct group by 1)"""
-
-
-@register("ransac_plane", _pts(_ransac_sql(60, "true", 0.2) + " select scan_id, t, n_inliers from bs"))
+def _ransac_sql(iterations: int, source: str, dist: float, group: str = "scan_id") -> str:
+    """Planes of groups of points; the last column of the group seeds the choice."""
+    seed = group.split(", ")[-1]
+    pick = lambda k: LCG.format(s=f"t*3 + {k} + {seed}*7919") + " % n"
+    corner = lambda x: f"join (select {group}, r as {x}, x as {x}1, y as {x}2, z as {x}3 from rk) using ({group}, {x})"
+    return f"""pp as ({source}),
+rk as (select *, row_number() over (partition by {group} order by point_id) - 1 as r from pp),
+nn as (select {group}, count(*) as n from pp group by all having count(*) >= 3),
+tt as (select {group}, n, t, {pick(0)} as a, {pick(1)} as b, {pick(2)} as c from nn, range(0, {iterations}) q(t)),
+tu as (select * from tt where a <> b and b <> c and a <> c),
+ab as (
+  select {group}, t, a1 as px, a2 as py, a3 as pz, b1-a1 as ux, b2-a2 as uy, b3-a3 as uz, c1-a1 as vx, c2-a2 as vy, c3-a3 as vz
+  from tu {corner("a")} {corner("b")} {corner("c")}
+),
+pl as (select *, uy*vz-uz*vy as nx, uz*vx-ux*vz as ny, ux*vy-uy*vx as nz from ab),
+pk as (select *, sqrt(nx*nx+ny*ny+nz*nz) as nl from pl where sqrt(nx*nx+ny*ny+nz*nz) >= 1e-12),
+ct as (
+  select {group}, t, count(*) filter (abs(nx*(x-px)+ny*(y-py)+nz*(z-pz))/nl < {dist}e0) as n_inliers
+  from pp join pk using ({group}) group by all
+),
+bs as (select {group}, arg_min(t, (-n_inliers, t)) as t, max(n_inliers) as n_inliers from ct group by all)"""
+
+
+@register("ransac_plane", _pts(_ransac_sql(60, "select * from points", 0.2) + " select scan_id, t, n_inliers from bs"))
 def ransac_plane(spark, d):
     return D.ransac_plane(points(spark, d), 0.2, 60).select("scan_id", "t", "n_inliers")
 
 
-@register("naive_ransac", _pts(_ransac_sql(60, "z > -4e0 and z < -1e0", 0.2) + " select p.scan_id, p.point_id, p.z > -4e0 and p.z < -1e0 and abs(nx*(x-px)+ny*(y-py)+nz*(z-pz))/nl < 0.2e0 as ground from points p join bs on bs.scan_id = p.scan_id join pk k on k.scan_id = bs.scan_id and k.t = bs.t"))
+@register("naive_ransac", _pts(_ransac_sql(60, "select * from points where z > -4e0 and z < -1e0", 0.2) + " select p.scan_id, p.point_id, p.z > -4e0 and p.z < -1e0 and abs(nx*(x-px)+ny*(y-py)+nz*(z-pz))/nl < 0.2e0 as ground from points p join bs on bs.scan_id = p.scan_id join pk k on k.scan_id = bs.scan_id and k.t = bs.t"))
 def naive_ransac(spark, d):
     return D.ransac_ground(points(spark, d), -4.0, -1.0, 0.2, 60).select("scan_id", "point_id", "ground")
 
 
-@register("merge_labels")
+MERGE = (
+    KCC
+    + """, lp as (select p.*, cc from points p join rc r on r.scan_id = p.scan_id and r.node_id = p.point_id),
+cs as (select *, row_number() over (partition by scan_id order by n desc, cc) as rank from (select scan_id, cc, count(*) as n from rc group by all)),
+pq as (select f.scan_id, f.cc as big, o.cc as other from cs f join cs o on o.scan_id = f.scan_id and f.rank = 1 and o.rank > 1 and o.n > 3), """
+    + _ransac_sql(40, "select q.other, a.* from pq q join lp a on a.scan_id = q.scan_id and a.cc in (q.big, q.other)", 0.3, "scan_id, other")
+    + """, js as (
+  select scan_id, other as cc from pp join bs using (scan_id, other) join pk using (scan_id, other, t) where cc = other
+  group by all having avg((abs(nx*(x-px)+ny*(y-py)+nz*(z-pz))/nl < 0.3e0)::int) > 0.5e0
+)
+select a.scan_id, point_id, rank = 1 or js.cc is not null as ground
+from lp a join cs on cs.scan_id = a.scan_id and cs.cc = a.cc left join js on js.scan_id = a.scan_id and js.cc = a.cc"""
+)
+
+
+@register("merge_labels", _pts(MERGE))
 def merge_labels(spark, d):
     return D.merge_labels(points(spark, d), near_labels(spark, d), 3, 0.3, 40, 0.5)
 
@@ -502,7 +530,12 @@ def iterative_ground(spark, d):
 
 @register("csf_ground")
 def csf_ground(spark, d):
-    return D.cloth_ground(points(spark, d), res=0.5).select("scan_id", "point_id", "ground")
+    return D.cloth_ground(points(spark, d), res=0.5, local_rigidness=0.5).select("scan_id", "point_id", "ground")
+
+
+@register("csf_ground_mask")
+def csf_ground_mask(spark, d):
+    return D.cloth_ground(points(spark, d), res=0.5, avg_mode="mask").select("scan_id", "point_id", "ground")
 
 
 @register("dart_ground")

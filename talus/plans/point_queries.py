@@ -296,10 +296,11 @@ def accumarray(spark, d):
     return one.join(two, "idx").join(R.accumulate(rows, "idx", "v", "and").withColumnRenamed("v", "every"), "idx")
 
 
-@register("label_image", _pts(pixels_sql() + ", im as (select scan_id, row, col, max(z) as v, max(label) as region from px group by 1,2,3) select scan_id, row, col, round(avg(v) over (partition by scan_id, region), 6) + 0e0 as v_mean from im"))
+@register("label_image", _pts(pixels_sql() + ", im as (select scan_id, row, col, max(floor((z+2)*100000))::bigint as v, max(label) as region from px group by 1,2,3) select scan_id, row, col, avg(v) over (partition by scan_id, region) as v_mean from im"))
 def label_image(spark, d):
-    im = R.rasterize(pixels(spark, d), v=F.max("z"), region=F.max("label"))
-    return R.region_mean(im, "region", "v").select("scan_id", "row", "col", r6("v_mean").alias("v_mean"))
+    # Whole levels: their sums are exact, whatever the order.
+    im = R.rasterize(pixels(spark, d), v=F.max(F.floor((F.col("z") + 2) * 100000)), region=F.max("label"))
+    return R.region_mean(im, "region", "v").select("scan_id", "row", "col", "v_mean")
 
 
 def _measure(name: str, sql: str):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import reduce
+from operator import and_
 from pathlib import Path
 
 import numpy as np
@@ -66,13 +68,31 @@ def read_labels(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def labelled_scans(points: DataFrame, labels: DataFrame, check: bool = True) -> DataFrame:
-    """Points with their labels; a scan whose files differ in length raises."""
+    """Points with their labels, by sequence, scan and point; a scan whose files differ in length raises.
+
+    File numbers repeat from sequence to sequence: `unique_scans` numbers the scans of several ones.
+    """
+    alike = lambda a, b, names: reduce(and_, [a[c].eqNullSafe(b[c]) for c in names])
+    scan = ["sequence", "scan_id"]
     if check:
-        n = points.groupBy("scan_id").agg(F.count(F.lit(1)).alias("a")).join(labels.groupBy("scan_id").agg(F.count(F.lit(1)).alias("b")), "scan_id", "full")
-        odd = n.where(~F.col("a").eqNullSafe(F.col("b"))).limit(1).collect()
+        a = points.groupBy(*scan).agg(F.count(F.lit(1)).alias("n_points"))
+        b = labels.groupBy(*scan).agg(F.count(F.lit(1)).alias("n_labels"))
+        n = a.join(b, alike(a, b, scan), "full").select(F.coalesce(a["sequence"], b["sequence"]).alias("sequence"), F.coalesce(a["scan_id"], b["scan_id"]).alias("scan_id"), "n_points", "n_labels")
+        odd = n.where(~F.col("n_points").eqNullSafe(F.col("n_labels"))).limit(1).collect()
         if odd:
-            raise ValueError(f"scan {odd[0]['scan_id']}: {odd[0]['a']} points, {odd[0]['b']} labels")
-    return points.join(labels.select("scan_id", "point_id", "label", "instance"), ["scan_id", "point_id"])
+            raise ValueError(f"sequence {odd[0]['sequence']}, scan {odd[0]['scan_id']}: {odd[0]['n_points']} points, {odd[0]['n_labels']} labels")
+    return points.join(labels, alike(points, labels, [*scan, "point_id"])).select(*[points[c] for c in points.columns], labels["label"], labels["instance"])
+
+
+def unique_scans(frame: DataFrame) -> DataFrame:
+    """The frame with scan ids that tell sequences apart: the file number and, above it, the sequence's own number
+    plus one, or a hash where it has none.
+
+    Operators group by `scan_id` alone; without a sequence the id stays as it is.
+    """
+    number = F.when(F.col("sequence").rlike(r"^\d{1,6}$"), F.col("sequence").cast("long") + 1)
+    high = F.coalesce(number, F.pmod(F.xxhash64("sequence"), F.lit(1 << 30)) + (1 << 20))
+    return frame.withColumn("scan_id", F.when(F.col("sequence").isNull(), F.col("scan_id")).otherwise(high * (1 << 32) + F.col("scan_id")))
 
 
 def sequence_files(folder: str, start: int = 0, end: int | None = None, step: int = 1, extension: str = ".bin") -> list[str]:

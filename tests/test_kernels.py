@@ -27,14 +27,15 @@ def test_components_match_a_forest(edges):
 @given(EDGES)
 def test_thresholded_tree_has_the_components_of_the_thresholded_graph(edges):
     src, dst, w = _columns(edges)
-    kept = np.array([e for e in K.spanning_tree(15, src, dst, w) if w[e] < 3], np.int64)
+    kept = np.array([e for e in K.spanning_tree(15, src, dst, w)[0] if w[e] < 3], np.int64)
     low = w < 3
     assert (K.components(15, src[kept], dst[kept]) == K.components(15, src[low], dst[low])).all()
 
 
 def test_golden_spanning_tree():
     src, dst, w = np.array([0, 0, 1, 1, 2]), np.array([1, 3, 2, 3, 3]), np.array([8.0, 3, 2, 5, 6])
-    kept = K.spanning_tree(4, src, dst, w)
+    kept, sizes = K.spanning_tree(4, src, dst, w)
+    assert sizes == [(1, 1), (1, 1), (2, 2)]
     assert sorted((int(src[e]), int(dst[e])) for e in kept) == [(0, 3), (1, 2), (1, 3)]
     assert w[kept].sum() == 10
 
@@ -60,6 +61,40 @@ def test_merge_tree_is_ultrametric():
     assert (np.diff(z[:, 2]) >= 0).all()
 
 
+def _cloth(low, mask, step, rigidness, local, masked, most=200, eps=0.01):
+    """The cloth cell by cell."""
+    h, w = low.shape
+    now, before, fixed = np.zeros((h, w)), np.zeros((h, w)), np.zeros((h, w), bool)
+    for _ in range(most):
+        new = np.where(fixed, now, 2 * now - before + step)
+        for i, j in np.ndindex(h, w):
+            if new[i, j] >= low[i, j]:
+                fixed[i, j], new[i, j] = True, low[i, j]
+        for _ in range(rigidness):
+            old = new.copy()
+            for i, j in np.ndindex(h, w):
+                total = n = 0
+                for di, dj in ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1), (2, 0), (-2, 0), (0, 2), (0, -2)):
+                    a, b = (i + di, j + dj) if 0 <= i + di < h and 0 <= j + dj < w else (i, j)
+                    if mask[a, b] or not masked:
+                        total, n = total + old[a, b], n + 1
+                if not fixed[i, j]:
+                    new[i, j] += local * ((total / n if n else 0.0) - old[i, j])
+        move = np.abs(now - new)[mask].max()
+        before, now = now, new
+        if move <= eps:
+            break
+    return now
+
+
+def test_cloth_matches_the_loop():
+    rng = np.random.default_rng(8)
+    for masked in (False, True):
+        mask = rng.random((9, 7)) < 0.6
+        low = np.where(mask, rng.integers(1, 20, (9, 7)), 255).astype(float)
+        assert np.allclose(K.cloth(low, mask, 0.4, 3, 0.7, masked=masked), _cloth(low, mask, 0.4, 3, 0.7, masked))
+
+
 def test_cloth_rests_on_a_flat_floor():
     low, mask = np.full((8, 8), 5.0), np.ones((8, 8), bool)
     assert np.allclose(K.cloth(low, mask, 0.4), 5.0)

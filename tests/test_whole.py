@@ -209,3 +209,52 @@ def test_opened_square_drops_thin_parts(spark):
     rows = spark.createDataFrame([(0, i, j, int(image[i, j])) for i in range(6) for j in range(7)], "scan_id long, row long, col long, v int")
     got = {(r.row, r.col) for r in R.opened_square(rows, "v").toPandas().itertuples() if r.v}
     assert got == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+@pytest.mark.parametrize("additive", [False, True])
+def test_spanning_forest_matches_merging_by_hand(spark, additive):
+    from talus.operators import graph as G
+
+    draw = np.random.default_rng(6)
+    rows, want = [], {}
+    for scan in range(3):
+        edges = sorted({(float(draw.integers(1, 9)), *sorted(map(int, draw.choice(12, 2, replace=False)))) for _ in range(18)}, key=lambda e: e)
+        least = {}
+        for w, a, b in edges:
+            least[a, b] = min(w, least.get((a, b), w))
+        rows += [(scan, *((a, b) if draw.random() < 0.5 else (b, a)), w) for (a, b), w in least.items()]
+        sets = [{i} for i in range(12)]
+        step = 0
+        for w, a, b in sorted((w, a, b) for (a, b), w in least.items()):
+            x, y = (next(s for s in sets if i in s) for i in (a, b))
+            if x is not y:
+                want[scan, a, b] = (w * min(len(x), len(y)) if additive else w, step, len(x), len(y))
+                sets = [s for s in sets if s is not x and s is not y] + [x | y]
+                step += 1
+    got = G.spanning_forest(spark.createDataFrame(rows, "scan_id long, src long, dst long, w double"), additive).collect()
+    assert {(r.scan_id, r.src, r.dst): (r.w, r.step, r.n_src, r.n_dst) for r in got} == want
+
+
+def test_ransac_picks_do_not_overflow(spark):
+    from talus.operators import detection as D
+
+    rows = [(s, o, i, float(i % 5), float(i // 5), 0.0) for s, o in ((7, 3), (1 << 40, (1 << 60) + 5)) for i in range(20)]
+    p = spark.createDataFrame(rows, "scan_id long, other long, point_id long, x double, y double, z double")
+    got = D.ransac_plane(p, 0.1, 10, group=("scan_id", "other")).collect()
+    assert {(r.scan_id, r.other, r.n_inliers) for r in got} == {(7, 3, 20), (1 << 40, (1 << 60) + 5, 20)}
+
+
+def test_labels_of_several_sequences_stay_apart(spark, tmp_path):
+    from talus.sources import scans as S
+
+    for sequence in ("00", "01"):
+        for kind in ("velodyne", "labels"):
+            (tmp_path / "sequences" / sequence / kind).mkdir(parents=True)
+        np.arange(16, dtype="<f4").tofile(tmp_path / "sequences" / sequence / "velodyne" / "000003.bin")
+        np.full(4, int(sequence) + 40, "<u4").tofile(tmp_path / "sequences" / sequence / "labels" / "000003.label")
+    points, labels = S.read_scans(spark, f"file://{tmp_path}"), S.read_labels(spark, f"file://{tmp_path}")
+    got = S.unique_scans(S.labelled_scans(points, labels))
+    assert got.count() == 8 and got.select("scan_id").distinct().count() == 2
+    assert {(r.sequence, r.label) for r in got.collect()} == {("00", 40), ("01", 41)}
+    with pytest.raises(ValueError, match="sequence 01, scan 3"):
+        S.labelled_scans(points, labels.where("sequence <> '01' or point_id > 0"))
