@@ -50,6 +50,39 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of the heavy side of `split_join` at most, and rows of a key up to which it is never heavy.
+HEAVY, LIGHT = 20_000, 1000
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join by equal columns whose task sizes do not follow the most frequent key.
+
+    `right` is a stored table with one row a key, whose column `weight` (not returned) tells the
+    rows of `left` with that key.  Keys of over `LIGHT` rows that hold over 1 in `HEAVY` of all
+    rows, which can be no more than `HEAVY` keys, are broadcast; all others are joined by a shuffle.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    limit = max(LIGHT, total // HEAVY)
+    heavy, light = right.where(F.col(weight) > limit).drop(weight), right.where(F.col(weight) <= limit).drop(weight)
+    if not heavy.limit(1).count():
+        return left.join(light, on)
+    rest = left.join(F.broadcast(heavy.select(*on)), on, "left_anti")
+    return left.join(F.broadcast(heavy), on).unionByName(rest.join(light, on))
+
+
+def unused(df: DataFrame, *bases: str) -> list[str]:
+    """A name for each base that no column of `df` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for base in bases:
+        name = base
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def by_bytes(texts: list[str], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs [a, b) of about `limit` characters, at least one text each."""
     a, size = 0, 0

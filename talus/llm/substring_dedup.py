@@ -5,8 +5,9 @@ substrings picks (its minimizer), so equal strings meet whatever document and pl
 in.  Neighbouring strings with one minimizer travel together as a segment.  Minimizers that
 occur once need no comparison; equal segments of a minimizer are counted, not expanded; the
 different segments of a minimizer go to one shard, whose suffix array finds the repeated
-strings.  Minimizers of very many different segments are split over several shards, and the
-distinct strings of these shards are counted across them by a 128-bit digest.
+strings.  Where a minimizer has more different segments than a shard shall hold, its segments
+are cut anew by the minimizers of longer anchors, until groups fit; the last anchor is the
+string itself, whose group is one segment.
 """
 
 import hashlib
@@ -14,16 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import documents, slices, stored
+from talus.llm.common import documents, slices, split_join, stored, unused
 from talus.llm.suffix_array import repeated_windows
 
-#: Bytes of a string, and of the substrings whose least hash picks its shard.
-WIDTH, ANCHOR = 200, 64
-#: Bytes of segments in a shard, about; different segments of a minimizer up to which one shard takes all.
-SHARD_BYTES, CROWD = 2 << 20, 2000
+#: Bytes of a string, and of the substrings whose least hash picks its shard: at first, and for groups too large.
+WIDTH, ANCHORS = 200, (64, 136, 176, 192, 200)
+#: Bytes of segments in a shard, about; different segments of a minimizer up to which they are one group.
+SHARD_BYTES, CROWD = 1 << 20, 2000
 #: Window starts hashed at a time.
 STEP = 1 << 17
 
@@ -38,7 +40,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def minimizers(data: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
+def minimizers(data: np.ndarray, width: int = WIDTH, anchor: int = ANCHORS[0]) -> tuple[np.ndarray, np.ndarray]:
     """For each start of a string of `width` bytes the least hash of its `anchor`-byte substrings,
     and whether the first of these has it."""
     n = len(data)
@@ -76,17 +78,18 @@ def _pieces(texts: list[bytes], width: int) -> Iterator[list[tuple[int, int, byt
         yield batch
 
 
-def segments(texts: list[bytes], width: int = WIDTH, anchor: int = ANCHOR) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, start, number of strings, minimizer, digest) of every run of strings with one minimizer.
+def segments(texts: list[bytes], width: int = WIDTH, anchor: int = ANCHORS[0]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays (text, start, number of strings, minimizer, digest) of all runs of strings with one minimizer.
 
     The leftmost place of the least hash is the same for a whole run, so two equal strings are
     never of one run, not even in periodic text.
     """
     import xxhash
 
+    digest = xxhash.xxh3_64_intdigest
     for batch in _pieces(texts, width):
-        joined = np.frombuffer(b"".join(p for _, _, p in batch), np.uint8)
-        least, leading = minimizers(joined, width, anchor)
+        joined = b"".join(p for _, _, p in batch)
+        least, leading = minimizers(np.frombuffer(joined, np.uint8), width, anchor)
         sizes = np.array([len(p) for _, _, p in batch])
         ends = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(batch)), sizes)[: len(least)]
@@ -96,14 +99,13 @@ def segments(texts: list[bytes], width: int = WIDTH, anchor: int = ANCHOR) -> It
         new = np.ones(len(at), bool)
         new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | leading[:-1]
         first = np.flatnonzero(new)
-        counts = np.diff(np.append(first, len(at)))
-        begins = ends - sizes
-        rows = zip(owner[first].tolist(), (at[first] - begins[owner[first]]).tolist(), counts.tolist(), least[first].astype(np.int64).tolist())
-        for o, start, n, key in rows:
-            k, offset, part = batch[o]
-            # The digest stands for the length as well.
-            digest = xxhash.xxh3_64_intdigest(part[start : start + n + width - 1], n)
-            yield k, offset + start, n, key, digest - (1 << 63)
+        if not len(first):
+            continue
+        n, owner, at = np.diff(np.append(first, len(least))), owner[first], at[first]
+        # The digest stands for the length as well.
+        seg = np.array([digest(joined[a : a + m + width - 1], m) for a, m in zip(at.tolist(), n.tolist())], np.uint64)
+        text, offset = (np.array([p[i] for p in batch], np.int64) for i in (0, 1))
+        yield text[owner], at - (ends - sizes)[owner] + offset[owner], n, least[first].astype(np.int64), seg.astype(np.int64)
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -131,44 +133,74 @@ def _cut(width: int, anchor: int):
             none = [None] * n
             columns = [uids, ids, [len(x) for x in data], [hashlib.sha256(x).hexdigest() for x in data], none, none, none, none]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RUNS_SCHEMA)], schema=_RUNS_SCHEMA)
-            rows = list(segments(data, width, anchor))
-            if rows:
-                k, start, m, key, seg = zip(*rows)
-                none = [None] * len(rows)
-                columns = [[uids[i] for i in k], none, none, none, start, m, key, seg]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RUNS_SCHEMA)], schema=_RUNS_SCHEMA)
+            for k, *runs in segments(data, width, anchor):
+                none = [pa.nulls(len(k), f.type) for f in list(_RUNS_SCHEMA)[1:4]]
+                columns = [batch.column(0).take(pa.array(k)), *none, *runs]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type, safe=False) for c, f in zip(columns, _RUNS_SCHEMA)], schema=_RUNS_SCHEMA)
 
     return run
 
 
-PARTS = "uid long, start long, key long, seg long, whole boolean, data binary, shard long, crowded boolean"
-_PARTS_SCHEMA = pa.schema([("uid", pa.int64()), ("start", pa.int64()), ("key", pa.int64()), ("seg", pa.int64()), ("whole", pa.bool_()), ("data", pa.binary()), ("shard", pa.int64()), ("crowded", pa.bool_())])
+REFINED = "uid long, start long, n int, key long, seg long, again boolean"
+_REFINED_SCHEMA = pa.schema([*[_RUNS_SCHEMA.field(c) for c in ("uid", "start", "n", "key", "seg")], ("again", pa.bool_())])
+
+PARTS = "uid long, start long, again boolean, data binary, shard long"
+_PARTS_SCHEMA = pa.schema([("uid", pa.int64()), ("start", pa.int64()), ("again", pa.bool_()), ("data", pa.binary()), ("shard", pa.int64())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Row numbers and fields of the structs of a column of lists; a null list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    fields = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+    return np.repeat(np.arange(len(column)), sizes), fields
+
+
+def _compared(batch: pa.RecordBatch, width: int, crowd: int, crowded: bool) -> tuple[np.ndarray, dict[str, np.ndarray], list[bytes]]:
+    """Row numbers, fields and bytes of the segments of several kinds, in groups of up to or of more than `crowd`;
+    of equal ones only one."""
+    row, m = _listed(batch.column("marks"))
+    kinds = m["kinds"]
+    pick = np.flatnonzero((kinds > 1) & ((kinds > crowd) == crowded) & (m["stands"] | ~m["again"]))
+    row, m = row[pick], {k: v[pick] for k, v in m.items()}
+    texts = batch.column("text")
+    data = {i: texts[i].as_py().encode() for i in np.unique(row).tolist()}
+    return row, m, [data[i][a : a + n + width - 1] for i, a, n in zip(row.tolist(), m["start"].tolist(), m["n"].tolist())]
 
 
 def _extract(width: int, n_shards: int, crowd: int):
-    """The bytes of all segments that must be compared, from texts with their flagged runs."""
+    """The bytes of the segments whose minimizers are one group, with the shard that takes the group."""
+
+    def run(batches):
+        for batch in slices(batches, 1):
+            row, m, data = _compared(batch, width, crowd, False)
+            columns = [batch.column(0).take(pa.array(row)), m["start"], m["again"], data, m["key"] % n_shards]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PARTS_SCHEMA)], schema=_PARTS_SCHEMA)
+
+    return run
+
+
+def _refine(width: int, anchor: int, crowd: int):
+    """The segments of larger groups, cut anew; their minimizers are told apart by those before."""
 
     def run(batches):
         for batch in slices(batches, 1):
-            rows = []
-            for uid, text, marks in zip(*(batch.column(c).to_pylist() for c in ("uid", "text", "marks"))):
-                data, seen = text.encode(), set()
-                for m in marks:
-                    if m["kinds"] < 2 or (m["whole"] and (m["holder"] != uid or m["seg"] in seen)):
-                        continue
-                    if m["whole"]:
-                        seen.add(m["seg"])
-                    groups = -(-m["kinds"] // crowd)
-                    shard = (m["key"] % n_shards) if groups == 1 else n_shards + (m["key"] + m["seg"] % groups * 0x9E3779B1) % (1 << 40)
-                    rows.append((uid, m["start"], m["key"], m["seg"], m["whole"], data[m["start"] : m["start"] + m["n"] + width - 1], shard, groups > 1))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PARTS_SCHEMA)], schema=_PARTS_SCHEMA)
+            row, m, data = _compared(batch, width, crowd, True)
+            for k, start, n, key, seg in segments(data, width, anchor):
+                key = (key.astype(np.uint64) ^ (m["key"][k].astype(np.uint64) * np.uint64(_ODD))).astype(np.int64)
+                columns = [batch.column(0).take(pa.array(row[k])), m["start"][k] + start, n, key, seg, m["again"][k]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type, safe=False) for c, f in zip(columns, _REFINED_SCHEMA)], schema=_REFINED_SCHEMA)
 
     return run
 
 
-FOUND = "uid long, a long, b long, h1 long, h2 long"
-_FOUND_SCHEMA = pa.schema([("uid", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+FOUND = "uid long, a long, b long"
+_FOUND_SCHEMA = pa.schema([("uid", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -179,35 +211,36 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def _compare(width: int):
     def run(table: pa.Table) -> pa.Table:
-        """Repeated strings of a shard's once-occurring segments; of crowded minimizers also all its distinct strings."""
+        """Runs of repeated strings of a shard's segments, but for segments that are repeated as a whole."""
         rows = table.to_pylist()
-        again, first = repeated_windows([r["data"] for r in rows], width)
         out = []
-        for r, repeated, leads in zip(rows, again, first):
-            if not r["whole"]:
-                out += [(r["uid"], r["start"] + a, r["start"] + b, None, None) for a, b in _spans(repeated)]
-            if r["crowded"]:
-                for p in np.flatnonzero(leads).tolist():
-                    h = hashlib.blake2b(r["data"][p : p + width], digest_size=16).digest()
-                    h1, h2 = (int.from_bytes(x, "little", signed=True) for x in (h[:8], h[8:]))
-                    # A string that is settled already is named by no place; it only counts for other shards.
-                    at = None if r["whole"] or repeated[p] else r["start"] + p
-                    out.append((r["uid"], at, at, h1, h2))
-        columns = zip(*out) if out else [[]] * len(_FOUND_SCHEMA)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND_SCHEMA)], schema=_FOUND_SCHEMA)
+        for r, repeated in zip(rows, repeated_windows([r["data"] for r in rows], width)):
+            if not r["again"]:
+                out += [(r["uid"], r["start"] + a, r["start"] + b) for a, b in _spans(repeated)]
+        return pa.Table.from_batches([_batch(out, _FOUND_SCHEMA)])
 
     return run
 
 
-def removed_spans(spans: list[dict], width: int) -> list[tuple[int, int]]:
-    """Maximal byte runs [a, b) covered by strings that start within the given first and last starts."""
-    out: list[list[int]] = []
-    for a, b in sorted((s["a"], s["b"] + width) for s in spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def removed_spans(batch: pa.RecordBatch, sizes: np.ndarray, width: int) -> dict[int, list[tuple[int, int]]]:
+    """By row the maximal byte runs [a, b) covered by the strings that start in repeated segments or within found starts."""
+    row, m = _listed(batch.column("marks"))
+    whole = m["again"]
+    more, f = _listed(batch.column("found"))
+    # All texts on one line, a byte apart.
+    base = np.concatenate([[0], np.cumsum(sizes + 1)])
+    row = np.concatenate([row[whole], more])
+    a = base[row] + np.concatenate([m["start"][whole], f["a"]])
+    b = base[row] + np.concatenate([m["start"][whole] + m["n"][whole] - 1, f["b"]]) + width
+    by = np.argsort(a)
+    a, b = a[by], np.maximum.accumulate(b[by])
+    new = np.flatnonzero(np.append(True, a[1:] > b[:-1])) if len(a) else np.empty(0, np.int64)
+    a, b = a[new], b[np.append(new[1:], len(b)) - 1] if len(new) else b
+    row = np.searchsorted(base, a, "right") - 1
+    out: dict[int, list[tuple[int, int]]] = {}
+    for i, x, y in zip(row.tolist(), (a - base[row]).tolist(), (b - base[row]).tolist()):
+        out.setdefault(i, []).append((x, y))
+    return out
 
 
 def _whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -224,66 +257,86 @@ def _whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[i
 
 
 CHANGED = "uid long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+_CHANGED_SCHEMA = pa.schema([("uid", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
 def _remove(width: int, with_text: bool):
+    def kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+        edges = [0, *(x for s in spans for x in s), len(data)]
+        return b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2])])
+
     def run(batches):
         for batch in slices(batches, 1):
-            rows = []
-            for uid, text, marks, found in zip(*(batch.column(c).to_pylist() for c in ("uid", "text", "marks", "found"))):
-                data = text.encode()
-                spans = [{"a": m["start"], "b": m["start"] + m["n"] - 1} for m in marks if m["whole"]]
-                spans = removed_spans(spans + (found or []), width)
-                if not spans:
-                    continue
-                edges = [0, *(x for s in spans for x in s), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                shown = None
-                if with_text:
-                    edges = [0, *(x for s in _whole_characters(data, spans) for x in s), len(data)]
-                    shown = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
-                rows.append((uid, len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), shown))
-            columns = zip(*rows) if rows else [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["uid", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            data = [t.encode() for t in batch.column("text").to_pylist()]
+            uids, rows = batch.column("uid").to_pylist(), []
+            for i, spans in removed_spans(batch, np.array([len(x) for x in data], np.int64), width).items():
+                left = kept(data[i], spans)
+                shown = kept(data[i], _whole_characters(data[i], spans)).decode() if with_text else None
+                rows.append((uids[i], len(data[i]) - len(left), len(spans), hashlib.sha256(left).hexdigest(), shown))
+            yield _batch(rows, _CHANGED_SCHEMA)
 
     return run
 
 
+def _marked(runs: DataFrame) -> DataFrame:
+    """The repeated ones of `uid, start, n, key, seg, again`, with what is known of their groups.
+
+    `again`: the segment occurs more than once (known of some before); `stands`: it is the one
+    of its equals that is compared; `kinds`: different segments of its minimizer.
+    """
+    weight = F.when(F.col("again"), 2).otherwise(1)
+    # Counts meet by minimizer, not rows: all but the repeated minimizers end here.
+    shared = runs.groupBy("key").agg(F.sum(weight).alias("total"), F.count(F.lit(1)).alias("rows"), F.min("seg").alias("a"), F.max("seg").alias("b"))
+    shared = stored(shared.where(F.col("total") > 1).select("key", "rows", (F.col("a") != F.col("b")).alias("mixed")), "repeats-keys")
+    place = F.xxhash64("uid", "start")
+    runs = stored(split_join(runs, shared, ["key"], "rows"), "repeats-shared")
+    # Copies of a segment become one row with a count; a minimizer's different segments are counted.
+    kinds = runs.groupBy("key", "seg").agg(F.sum(weight).alias("copies"), F.count(F.lit(1)).alias("rows"), F.min(place).alias("holder"), F.max("mixed").alias("mixed"))
+    kinds = stored(kinds.select("key", "seg", "rows", "mixed", "holder", (F.col("copies") > 1).alias("whole")), "repeats-kinds")
+    many = stored(kinds.where("mixed").groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).withColumn("rows", F.col("kinds")), "repeats-many")
+    alone = kinds.where(~F.col("mixed")).withColumn("kinds", F.lit(1).cast("long"))
+    kinds = stored(split_join(kinds.where("mixed").withColumnRenamed("rows", "copies"), many, ["key"], "rows").withColumnRenamed("copies", "rows").unionByName(alone).drop("mixed"), "repeats-flagged")
+    marked = split_join(runs.drop("mixed"), kinds, ["key", "seg"], "rows")
+    return marked.select("uid", "start", "n", "key", "kinds", "again", "whole", (place == F.col("holder")).alias("stands"))
+
+
 class Repeats:
-    """The steps of the operator on one table; `found` starts them."""
+    """The steps of the operator on one table."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR, crowd: int = CROWD, shard_bytes: int = SHARD_BYTES):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchors: tuple[int, ...] = ANCHORS, crowd: int = CROWD, shard_bytes: int = SHARD_BYTES):
+        if anchors[-1] != width or list(anchors) != sorted(anchors):
+            raise ValueError("anchors grow up to the width, where no group has two segments")
         self.docs = _identified(docs, id_col, text_col)
         self.width = width
-        cut = stored(self.docs.select("uid", "doc_id", "text").mapInArrow(_cut(width, anchor), RUNS), "repeats-runs")
+        cut = stored(self.docs.select("uid", "doc_id", "text").mapInArrow(_cut(width, anchors[0]), RUNS), "repeats-runs")
         #: One narrow row a document: size and digest of its whole text.
         self.whole = cut.where(F.col("key").isNull()).select("uid", "doc_id", "n_bytes", "sha256")
-        runs = cut.where(F.col("key").isNotNull()).select("uid", "start", "n", "key", "seg")
-        # Counts meet by minimizer, not rows: all but the repeated minimizers end here.
-        shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.min("seg").alias("a"), F.max("seg").alias("b"))
-        shared = shared.where(F.col("total") > 1).select("key", (F.col("a") != F.col("b")).alias("mixed"))
-        runs = stored(runs.join(shared, "key"), "repeats-shared")
-        # Copies of a segment become one row with a count; a minimizer's different segments are counted.
-        kinds = runs.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min("uid").alias("holder"), F.first("n").alias("n"), F.first("mixed").alias("mixed"))
-        many = kinds.where("mixed").groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
-        kinds = kinds.join(many, "key", "left").select("key", "seg", "n", (F.col("copies") > 1).alias("whole"), "holder", F.coalesce("kinds", F.lit(1).cast("long")).alias("kinds"))
-        flagged = stored(kinds, "repeats-flagged")
-        marks = runs.select("uid", "start", "n", "key", "seg").join(flagged.drop("n"), ["key", "seg"]).groupBy("uid").agg(
-            F.collect_list(F.struct("start", "n", "key", "seg", "whole", "holder", "kinds")).alias("marks")
-        )
-        #: Texts with at least one flagged run; the texts move once.
-        self.marked = stored(self.docs.select("uid", "text").join(marks, "uid"), "repeats-marked")
-        bytes_ = flagged.where(F.col("kinds") > 1).agg(F.sum(F.col("n") + width)).first()[0] or 0
-        n_shards = max(1, -(-bytes_ // shard_bytes))
-        parts = self.marked.mapInArrow(_extract(width, n_shards, crowd), PARTS)
-        found = stored(parts.groupBy("shard").applyInArrow(_compare(width), FOUND), "repeats-found")
-        across = found.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(
-            F.count(F.lit(1)).alias("shards"), F.collect_list(F.when(F.col("a").isNotNull(), F.struct("uid", "a", "b"))).alias("places")
-        )
-        # A string is listed once a shard, so the lists are as short as a minimizer has shards.
-        across = across.where(F.col("shards") > 1).select(F.explode("places").alias("p")).select("p.uid", "p.a", "p.b")
-        spans = found.where(F.col("h1").isNull()).select("uid", "a", "b").unionByName(across)
+        runs = cut.where(F.col("key").isNotNull()).select("uid", "start", "n", "key", "seg", F.lit(False).alias("again"))
+        texts, found = self.docs, []
+        for anchor in anchors[1:] + (None,):
+            flags = _marked(runs)
+            if found:
+                # Of the first cut these are read from the marks of the texts.
+                found.append(stored(flags.where(F.col("whole") & ~F.col("again")).select("uid", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1).alias("b")), "repeats-found"))
+                flags = flags.where(F.col("kinds") > 1)
+            again = (F.col("again") | F.col("whole")).alias("again")
+            marks = flags.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "key", again, "stands", "kinds")).alias("marks"))
+            # Texts with at least one flagged run.
+            marked = stored(texts.select("uid", "text").join(marks, "uid"), "repeats-marked")
+            if texts is self.docs:
+                self.marked = marked
+            each = marked.select(F.explode("marks").alias("m")).where((F.col("m.kinds") > 1) & (F.col("m.stands") | ~F.col("m.again")))
+            sums = each.agg(F.sum(F.when(F.col("m.kinds") <= crowd, F.col("m.n") + width)).alias("bytes"), F.count_if(F.col("m.kinds") > crowd).alias("crowded")).first()
+            n_shards = max(1, -(-(sums["bytes"] or 0) // shard_bytes))
+            parts = marked.mapInArrow(_extract(width, n_shards, crowd), PARTS)
+            found.append(stored(parts.groupBy("shard").applyInArrow(_compare(width), FOUND), "repeats-found"))
+            if anchor is None or not sums["crowded"]:
+                break
+            texts = marked.where(F.exists("marks", lambda m: m["kinds"] > crowd))
+            runs = stored(texts.mapInArrow(_refine(width, anchor, crowd), REFINED), "repeats-refined")
+        spans = found[0]
+        for more in found[1:]:
+            spans = spans.unionByName(more)
         self.spans = spans.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("found"))
 
     def changed(self, with_text: bool = False) -> DataFrame:
@@ -318,14 +371,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unique; where they are not, the rows are numbered first.  A row of null text keeps it.
     """
     schema = docs.schema
-    marker = "__row"
+    marker, kept = unused(docs, "row", "kept")
     if docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count():
         docs = stored(docs.withColumn(marker, F.monotonically_increasing_id()), "numbered")
     else:
         docs = docs.withColumn(marker, F.col(id_col).cast("long"))
-    changed = Repeats(docs, marker, text_col, **options).changed(with_text=True).select(F.col("uid").alias(marker), F.col("kept_text").alias("__kept"))
+    changed = Repeats(docs, marker, text_col, **options).changed(with_text=True).select(F.col("uid").alias(marker), F.col("kept_text").alias(kept))
     joined = docs.join(stored(changed, "repeats-changed"), marker, "left")
-    return joined.withColumn(text_col, F.coalesce("__kept", text_col)).select(*schema.names)
+    return joined.withColumn(text_col, F.coalesce(kept, text_col)).select(*schema.names)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,19 @@
 
 Positions are L (greater than their right neighbour) or S; an S after an L is leftmost-smaller
 (LMS).  The substrings between LMS positions are sorted by inducing, named, and the string of
-names is sorted recursively; from the sorted LMS suffixes the whole array is induced in two
-linear passes.  The top level works bucket by bucket on whole arrays (a byte alphabet has few
-buckets); the levels below, whose alphabets are large, work symbol by symbol.
+names is sorted recursively, down to names that all differ; from the sorted LMS suffixes the
+whole array is induced in two passes.  A pass goes over groups of neighbouring buckets, with
+whole arrays: one bucket a group where the alphabet is small, a share of the names else.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Names up to which the recursion goes on symbol by symbol.
-RECURSE = 2000
+#: Groups of buckets that a pass over a large alphabet is cut into, and the alphabet up to which each bucket is one.
+GROUPS, SMALL = 16, 512
 
-# ---- inducing over few buckets, on whole arrays ------------------------------------------------
+# ---- inducing ----------------------------------------------------------------------------------
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -29,73 +29,104 @@ def _types(s: np.ndarray) -> np.ndarray:
     return rising[ends]
 
 
-class _Buckets:
-    """Queues of positions, one for each symbol, filled by chunks that keep their order."""
+def _groups(s: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each symbol's bucket, and whether a group is one bucket."""
+    counts = np.bincount(s, minlength=size)
+    share = 1 if size <= SMALL else max(1, len(s) // GROUPS)
+    raw = (np.cumsum(counts) - counts) // share
+    new = np.append(False, raw[1:] != raw[:-1])
+    group = np.cumsum(new)
+    single = np.bincount(group, counts > 0) <= 1
+    return group, single
 
-    def __init__(self, size: int):
-        self.chunks: list[list[np.ndarray]] = [[] for _ in range(size)]
 
-    def deal(self, positions: np.ndarray, symbols: np.ndarray) -> None:
-        if not len(positions):
-            return
-        by = np.argsort(symbols, kind="stable")
-        positions, symbols = positions[by], symbols[by]
-        cuts = np.flatnonzero(np.diff(symbols)) + 1
-        starts = [0, *cuts.tolist()]
-        for a, b in zip(starts, [*starts[1:], len(symbols)]):
-            self.chunks[symbols[a]].append(positions[a:b])
+def _inner_order(rounds: list[np.ndarray], key: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a group whose right neighbours are in it, in order, and their spots among the others.
 
-    def take(self, symbol: int) -> np.ndarray:
-        got, self.chunks[symbol] = self.chunks[symbol], []
-        return np.concatenate(got) if got else np.empty(0, np.int64)
+    Each round holds left neighbours of the one before; the first one's right neighbours have
+    known spots.  A position is the chain of spots up to such a neighbour; chains are compared
+    by ranks of twice the length until all are told apart.
+    """
+    inner = np.concatenate(rounds)
+    n, ends = len(inner), rounds[0] + 1
+    at = (key[inner].astype(np.int64) << 34) + (np.int64(1) << 32)
+    _, rank = np.unique(np.concatenate([at, spot[ends]]), return_inverse=True)
+    # Nodes: the inner positions, then the ends of their chains, which follow themselves.
+    by = np.argsort(inner)
+    follower = np.arange(n + len(ends))
+    follower[: len(ends)] += n
+    follower[len(ends) : n] = by[np.searchsorted(inner, inner[len(ends) :] + 1, sorter=by)]
+    while (follower[:n] < n).any():
+        _, rank = np.unique(rank * np.int64(len(rank)) + rank[follower], return_inverse=True)
+        follower = follower[follower]
+    by = np.argsort(rank[:n] * np.int64(len(rank)) + rank[follower[:n]])
+    return inner[by], at[by]
+
+
+def _pass(key: np.ndarray, follows: np.ndarray, seeds: np.ndarray, group: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """One inducing pass: the order of `seeds`, given sorted, and of all positions of flag `follows`.
+
+    A position of flag `follows` has a key at least that of its right neighbour; it comes before
+    the seeds of its bucket, in the order of the right neighbours.  Groups are worked off in
+    order.  In a group of several buckets, positions whose neighbour is in the same group are
+    ordered by themselves and put between the others and the seeds of their buckets.
+    """
+    of = group[key].astype(np.uint16)
+    cuts = np.searchsorted(of[seeds], np.arange(len(single) + 1))
+    queue: list[list[np.ndarray]] = [[] for _ in single]
+    spot = np.empty(len(key), np.int64)
+    out = []
+
+    def left_of(some: np.ndarray) -> np.ndarray:
+        before = some[some > 0] - 1
+        return before[follows[before]]
+
+    for g, lone in enumerate(single.tolist()):
+        dealt = np.concatenate(queue[g]) if queue[g] else np.empty(0, np.int64)
+        queue[g] = []
+        mine = seeds[cuts[g] : cuts[g + 1]]
+        if not len(dealt) and not len(mine):
+            continue
+        if lone:
+            parts, some = [dealt], dealt
+            # Those of the same bucket follow in it and are worked off next.
+            while len(some := left_of(some)) and len(some := some[of[some] == g]):
+                parts.append(some)
+            placed = np.concatenate([*parts, mine])
+        else:
+            known = np.concatenate([dealt, mine])
+            place = np.concatenate([np.arange(len(dealt)), (np.int64(2) << 32) + np.arange(len(mine))])
+            place += key[known].astype(np.int64) << 34
+            by = np.argsort(place)
+            placed, place, inner, some = known[by], place[by], [], known
+            while len(some := left_of(some)) and len(some := some[of[some] == g]):
+                inner.append(some)
+            if inner:
+                spot[placed] = place
+                more, at = _inner_order(inner, key, spot)
+                placed = np.insert(placed, np.searchsorted(place, at), more)
+        out.append(placed)
+        later = left_of(placed)
+        to = of[later]
+        away = to != g
+        later, to = later[away], to[away]
+        if len(later):
+            by = np.argsort(to, kind="stable")
+            later, to = later[by], to[by]
+            starts = np.flatnonzero(np.append(True, to[1:] != to[:-1])).tolist()
+            for a, b in zip(starts, [*starts[1:], len(to)]):
+                queue[to[a]].append(later[a:b])
+    return np.concatenate(out)
 
 
 def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
-    """The order of all suffixes induced from `lms`, which is sorted as far as it shall be."""
-    seeds = _Buckets(size)
-    seeds.deal(lms, s[lms])
-    lower = _Buckets(size)
-    left: list[np.ndarray] = []
-    for c in range(size):
-        done = []
-        batch = lower.take(c)
-        while len(batch):
-            done.append(batch)
-            before = batch[batch > 0] - 1
-            before = before[~is_s[before]]
-            symbols = s[before]
-            same = symbols == c
-            # Those of the same symbol follow in this bucket and are worked off next.
-            lower.deal(before[~same], symbols[~same])
-            batch = before[same]
-        left.append(np.concatenate(done) if done else batch)
-        batch = seeds.take(c)
-        if len(batch):
-            before = batch[batch > 0] - 1
-            before = before[~is_s[before]]
-            lower.deal(before, s[before])
-    upper = _Buckets(size)
-    right: list[np.ndarray] = [np.empty(0, np.int64)] * size
-    for c in range(size - 1, -1, -1):
-        done = []
-        batch = upper.take(c)
-        while len(batch):
-            done.append(batch)
-            before = batch[batch > 0] - 1
-            before = before[is_s[before]]
-            symbols = s[before]
-            same = symbols == c
-            upper.deal(before[~same], symbols[~same])
-            batch = before[same]
-        right[c] = np.concatenate(done)[::-1] if done else batch
-        batch = left[c][::-1]
-        if len(batch):
-            before = batch[batch > 0] - 1
-            before = before[is_s[before]]
-            upper.deal(before, s[before])
-    # The sentinel is of type S and has no successor that could induce it.
-    right[0] = np.array([len(s) - 1], np.int64)
-    return np.concatenate([x for pair in zip(left, right) for x in pair])
+    """The order of all suffixes induced from `lms`, which is sorted by symbol and as far as it shall be."""
+    group, single = _groups(s, size)
+    order = _pass(s, ~is_s, lms, group, single)
+    falling = order[~is_s[order]][::-1]
+    order = _pass(size - 1 - s, is_s, falling, (len(single) - 1 - group)[::-1], single[::-1])[::-1]
+    # The sentinel is of type S and has no right neighbour that could induce it.
+    return np.concatenate([[len(s) - 1], order[order != len(s) - 1]])
 
 
 def _names(s: np.ndarray, is_s: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -126,104 +157,27 @@ def _names(s: np.ndarray, is_s: np.ndarray, order: np.ndarray) -> tuple[np.ndarr
     return places, name_of[places], int(ranks[-1]) + 1
 
 
-def suffix_array(symbols: np.ndarray, size: int) -> np.ndarray:
-    """The suffix array of symbols in 1..size-1; a sentinel 0 is appended and left out of the result."""
-    if not len(symbols):
-        return np.empty(0, np.int64)
-    s = np.append(symbols.astype(np.int32), np.int32(0))
+def _sorted(s: np.ndarray, size: int) -> np.ndarray:
+    """The suffix array of symbols below `size` whose last one is the unique 0."""
+    if len(s) == 1:
+        return np.zeros(1, np.int64)
     is_s = _types(s)
     is_lms = np.zeros(len(s), bool)
     is_lms[1:] = is_s[1:] & ~is_s[:-1]
     lms = np.flatnonzero(is_lms)
+    lms = lms[np.argsort(s[lms], kind="stable")]
     order = _induce(s, is_s, lms, size)
     order = order[is_lms[order]]
     places, names, n_names = _names(s, is_s, order)
     if n_names < len(places):
-        order = places[np.array(_sort_names(names.tolist(), n_names), np.int64) if len(names) <= RECURSE else _rank_names(names)]
-    return _induce(s, is_s, order, size)[1:]
-
+        # The sentinel's substring has the least name, once: the names end like any other string.
+        order = places[_sorted(names, n_names)]
+    return _induce(s, is_s, order, size)
 
-# ---- inducing over many buckets, symbol by symbol ----------------------------------------------
 
-
-def _sort_names(s: list[int], size: int) -> list[int]:
-    """Suffix array of a list whose last symbol is the unique least one, 0."""
-    n = len(s)
-    if size == n:
-        out = [0] * n
-        for i, c in enumerate(s):
-            out[c] = i
-        return out
-    is_s = bytearray(n)
-    is_s[n - 1] = 1
-    nxt, t = s[n - 1], 1
-    for i in range(n - 2, -1, -1):
-        c = s[i]
-        if c != nxt:
-            t = 1 if c < nxt else 0
-            nxt = c
-        is_s[i] = t
-    lms = [i for i in range(1, n) if is_s[i] and not is_s[i - 1]]
-    ends, total = [0] * size, 0
-    for c in s:
-        ends[c] += 1
-    for c in range(size):
-        total += ends[c]
-        ends[c] = total
-
-    def induce(seeds: list[int]) -> list[int]:
-        out = [-1] * n
-        tail = ends[:]
-        for i in reversed(seeds):
-            c = s[i]
-            tail[c] -= 1
-            out[tail[c]] = i
-        head = [0, *ends[:-1]]
-        for j in out:
-            if j > 0 and not is_s[j - 1]:
-                c = s[j - 1]
-                out[head[c]] = j - 1
-                head[c] += 1
-        tail = ends[:]
-        for k in range(n - 1, -1, -1):
-            j = out[k]
-            if j > 0 and is_s[j - 1]:
-                c = s[j - 1]
-                tail[c] -= 1
-                out[tail[c]] = j - 1
-        return out
-
-    is_lms = bytearray(n)
-    for i in lms:
-        is_lms[i] = 1
-    order = [i for i in induce(lms) if is_lms[i]]
-    follow = dict(zip(lms, [*lms[1:], n - 1]))
-    name_of, name, last = {}, -1, None
-    for i in order:
-        part = s[i : follow[i] + 1]
-        if part != last:
-            name, last = name + 1, part
-        name_of[i] = name
-    if name + 1 < len(lms):
-        order = [lms[k] for k in _sort_names([name_of[i] for i in lms], name + 1)]
-    return induce(order)
-
-
-def _rank_names(names: np.ndarray) -> np.ndarray:
-    """The same order by doubling: ranks of twice the length from pairs of ranks, until all differ."""
-    n, rank, reach = len(names), names, 1
-    while True:
-        key = rank * np.int64(n + 1)
-        key[:-reach] += rank[reach:] + 1
-        order = np.argsort(key)
-        sorted_ = key[order]
-        step = np.zeros(n, np.int64)
-        step[1:] = sorted_[1:] != sorted_[:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(step)
-        if rank[order[-1]] == n - 1:
-            return order
-        reach *= 2
+def suffix_array(symbols: np.ndarray, size: int) -> np.ndarray:
+    """The suffix array of symbols in 1..size-1; a sentinel 0 is appended and left out of the result."""
+    return _sorted(np.append(symbols.astype(np.int32), np.int32(0)), size)[1:]
 
 
 # ---- common prefixes ---------------------------------------------------------------------------
@@ -271,9 +225,8 @@ def permuted_lcp(text: np.ndarray, order: np.ndarray, starts: np.ndarray, most:
 SEPARATOR = 0xFF
 
 
-def repeated_windows(segments: list[bytes], width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each segment and each of its windows of `width` bytes: does it start elsewhere in the shard too,
-    and is it the first of its equals in suffix order."""
+def repeated_windows(segments: list[bytes], width: int) -> list[np.ndarray]:
+    """For each segment and each of its windows of `width` bytes: does it start elsewhere in the shard too."""
     sizes = np.array([len(x) for x in segments], np.int64)
     text = np.frombuffer(b"".join(x + bytes([SEPARATOR]) for x in segments), np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64)
@@ -281,8 +234,6 @@ def repeated_windows(segments: list[bytes], width: int) -> tuple[list[np.ndarray
     most = int(sizes.max(initial=0)) + width + 8
     common = permuted_lcp(text, order, starts, most)[order] >= width
     after = np.append(common[1:], False)
-    again, first = np.empty(len(text), bool), np.empty(len(text), bool)
+    again = np.empty(len(text), bool)
     again[order] = common | after
-    first[order] = ~common
-    spans = [slice(a, a + max(0, n - width + 1)) for a, n in zip(starts.tolist(), sizes.tolist())]
-    return [again[x] for x in spans], [first[x] for x in spans]
+    return [again[a : a + max(0, n - width + 1)] for a, n in zip(starts.tolist(), sizes.tolist())]

@@ -114,28 +114,74 @@ def removed(texts, width):
 
 @pytest.mark.parametrize("crowd", [2, 2000])
 def test_substring_dedup_matches_brute_force(docs, all_texts, crowd):
-    got = ordered(substring_dedup.substring_dedup(docs, width=30, anchor=10, crowd=crowd))
+    got = ordered(substring_dedup.substring_dedup(docs, width=30, anchors=(10, 20, 26, 30), crowd=crowd))
     want = removed([t.encode() for t in all_texts], 30)
     assert [tuple(r) for r in got[["n_bytes", "n_removed", "n_spans", "kept_sha256"]].values.tolist()] == want
 
 
 def test_substring_dedup_counts_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(1, "q" * 10 + "abcdefgh" * 5), (1, "abcdefgh" * 5), (None, "short")], "doc_id long, text string")
-    rows = substring_dedup.substring_dedup(df, width=30, anchor=10).collect()
+    rows = substring_dedup.substring_dedup(df, width=30, anchors=(10, 30)).collect()
     assert len(rows) == 3 and sorted(r["n_removed"] for r in rows) == [0, 40, 40]
     assert substring_dedup.substring_dedup(df.limit(0)).count() == 0
-    kept = substring_dedup.without_repeats(df, width=30, anchor=10).collect()
+    kept = substring_dedup.without_repeats(df, width=30, anchors=(10, 30)).collect()
     assert sorted(r["text"] for r in kept) == ["", "q" * 10, "short"]
 
 
-def test_suffix_arrays_and_both_ways_to_order_names(monkeypatch):
+def removed_by_digest(texts, width):
+    """The same by the digests of all strings, for larger fixtures."""
+    seen = collections.Counter(hash(t[i : i + width]) for t in texts for i in range(len(t) - width + 1))
+    out = []
+    for t in texts:
+        hit = np.zeros(len(t) + 1, int)
+        for i in range(len(t) - width + 1):
+            if seen[hash(t[i : i + width])] > 1:
+                hit[i] += 1
+                hit[i + width] -= 1
+        gone = np.cumsum(hit)[:-1] > 0
+        kept = bytes(np.frombuffer(t, np.uint8)[~gone])
+        out.append((int(gone.sum()), int((np.diff(np.append(0, gone)) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_substring_dedup_of_very_long_texts_and_crowded_passages(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghé ") for _ in range(n))
+    passage, line, long = word(420), word(230), word(150_000)
+    texts = [word(rng.randint(20, 160)) + passage + word(rng.randint(20, 160)) for _ in range(600)]
+    texts += [word(90) + line + word(90) for _ in range(300)] + ["same " * 60] * 400
+    # A repeat over the border of two pieces, and a long text that holds most of another one.
+    texts += [long, word(50) + long[100_000:140_000] + word(50), long[131_000:131_300], "ab" * 70_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    want = removed_by_digest([t.encode() for t in texts], 200)
+    for crowd in (40, 100_000):
+        got = ordered(substring_dedup.substring_dedup(df, crowd=crowd))
+        assert [tuple(r) for r in got[["n_removed", "n_spans", "kept_sha256"]].values.tolist()] == want
+
+
+def test_without_repeats_keeps_whole_characters(spark):
+    shared = "é€𝄞ü" * 30
+    rows = [(1, "xé" + shared + "€y", 5, 6), (2, "q" + shared[1:] + "𝄞", 5, 6), (3, None, 5, 6), (4, "", 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int, kept int")
+    got = {r.doc_id: r for r in substring_dedup.without_repeats(df, width=30, anchors=(10, 30)).collect()}
+    assert got[3].text is None and got[4].text == "" and got[1].row == 5 and got[1].kept == 6
+    # Only whole characters go, and at most the three bytes before and after a removed run stay.
+    for i, text in ((1, rows[0][1]), (2, rows[1][1])):
+        n = substring_dedup.substring_dedup(df, width=30, anchors=(10, 30)).where(f"doc_id = {i}").first().n_removed
+        left = got[i].text
+        assert "\ufffd" not in left and 0 <= n - (len(text.encode()) - len(left.encode())) <= 6
+
+
+@pytest.mark.parametrize("groups, small", [(32, 512), (3, 1), (7, 1)])
+def test_suffix_arrays(monkeypatch, groups, small):
+    monkeypatch.setattr("talus.llm.suffix_array.GROUPS", groups)
+    monkeypatch.setattr("talus.llm.suffix_array.SMALL", small)
     rng = np.random.default_rng(5)
-    for limit in (0, 10**9):
-        monkeypatch.setattr("talus.llm.suffix_array.RECURSE", limit)
-        for _ in range(60):
-            t = rng.integers(1, rng.integers(2, 6), rng.integers(1, 80))
-            assert suffix_array(t, 257).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
-    assert repeated_windows([b"abcab", b"", b"xab"], 2)[0][0].tolist() == [True, False, False, True]
+    for k in range(80):
+        t = rng.integers(1, rng.integers(2, 9), rng.integers(0, 120))
+        t = np.tile(t[:5], 20) if k % 7 == 0 else t
+        assert suffix_array(t, 257).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    assert repeated_windows([b"abcab", b"", b"xab"], 2)[0].tolist() == [True, False, False, True]
 
 
 def test_token_files_match_the_library(docs, all_texts, empty, tmp_path):
