@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from talus.llm.common import documents, keyed_text, slices
-from talus.llm.pieces import Cache
+from talus.llm.pieces import Cache, library_tokenizer
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Symbols of a word up to which its tree is a row of a matrix; longer words get a tree of their own.
@@ -96,6 +96,8 @@ class SegmentTreeBpe:
         pairs = np.array([(vocab[a], vocab[b]) for a, b in merges], np.int64).reshape(-1, 2)
         self.table = PairTable(pairs, np.array([vocab[a + b] for a, b in merges], np.int32), len(self.names))
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.library = library_tokenizer(path)
+        self.byte_of = {c: b for b, c in enumerate(symbols)}
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
         self.known = Cache(self._encode_words, CACHE_PIECES)
         self.pieces = Cache(self._encode_pieces, CACHE_PIECES)
@@ -232,7 +234,14 @@ class SegmentTreeBpe:
     # ---- texts ----
 
     def split(self, text: str) -> list[str]:
-        """The words of a text without special strings: NFC, lower case by character, cut by the pattern."""
+        """The words of a text without special strings: NFC, lower case by character, cut by the pattern.
+
+        Code points that this Python's tables do not know may have a class in the library's: texts
+        that hold one are normalised and cut by the library itself.
+        """
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
+            text = self.library.normalizer.normalize_str(text)
+            return [bytes([self.byte_of[c] for c in w]).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
         text = unicodedata.normalize("NFC", text)
         # str.lower() treats a final capital sigma by its context; the library lowers each character alone.
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()

@@ -78,7 +78,7 @@ def test_vp_tree_is_exact_with_factor_one(spark):
     v = rng.normal(size=(400, 6)).astype("f4")
     v[50:60] = v[40]
     rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
-    rows += [(400, None, 1), (420, [0.0] * 6, 1), (440, [float("nan")] * 6, 1), (460, [1.0], 1), (None, v[0].tolist(), 1), rows[20]]
+    rows += [(400, None, 1), (420, [0.0] * 6, 1), (440, [float("nan")] * 6, 1), (None, v[0].tolist(), 1), rows[20]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
     got = vp_tree.nearest(df, F.col("vec_id") % 20 == 0, factor=1.0, shard_rows=100, block_rows=7, leaf=8).toPandas()
     s = v.astype(float) @ v.astype(float).T
@@ -90,12 +90,47 @@ def test_vp_tree_is_exact_with_factor_one(spark):
     few = vp_tree.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0).toPandas()
     assert sorted(few.vec_id) == [1, 2]
     assert vp_tree.nearest(df.limit(0), F.lit(True)).count() == 0
-
-
-def test_vp_tree_recall(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    odd = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="1 to 2 components"):
+        vp_tree.nearest(odd, F.lit(True))
+
+
+def test_vp_tree_prunes_shards_of_clusters(spark):
+    """Groups far apart: over a third of all shards are ruled out, and the result is still exact."""
+    rng = np.random.default_rng(9)
+    centres = np.eye(8)
+    v = centres[rng.integers(8, size=1200)] + rng.normal(0, 0.03, (1200, 8))
+    lifted = vp_tree._lifted(v, np.linalg.norm(v, axis=1).max())
+    top = vp_tree.Top(lifted[:256], 4, np.linalg.norm(v, axis=1).max())
+    shard = top.shard(lifted)
+    ranges = [top.ranges(s, lifted[shard == s]) if (shard == s).any() else (np.full(4, np.inf), np.full(4, -np.inf)) for s in range(16)]
+    order, least = top.order(v[:50], *(np.array(x) for x in zip(*ranges)))
+    far = np.sqrt(((lifted[:50, None, :-1] - lifted[None, :, :-1]) ** 2).sum(2) + lifted[None, :, -1] ** 2)
+    for s in range(16):
+        if (shard == s).any():
+            assert (far[:, shard == s].min(1) >= least[:, s] - 1e-9).all()
+    kth = np.sort(far, axis=1)[:, 20]
+    assert (least > kth[:, None]).mean() > 1 / 3
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = vp_tree.nearest(df, F.col("vec_id") % 20 == 0, factor=1.0, shard_rows=80, block_rows=16, leaf=8).toPandas()
+    s = v @ v.T
+    for q in range(0, 1200, 20):
+        others = np.array([i for i in range(1200) if i != q])
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == others[np.argsort(-s[q, others])][:20].tolist()
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_vp_tree_recall(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     key = F.col("vec_id") % 20 == 0
-    near, exact = (set(map(tuple, vp_tree.nearest(df, key, factor=f).select("query_id", "vec_id").collect())) for f in (vp_tree.FACTOR, 1.0))
+    near = set(map(tuple, vp_tree.nearest(df, key, shard_rows=256).select("query_id", "vec_id").collect()))
+    rows = df.toPandas().sort_values("vec_id")
+    v, ids = np.array(rows.embedding.tolist(), float), rows.vec_id.to_numpy()
+    exact = set()
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[i]
+        s[i] = -np.inf
+        exact |= {(ids[i], ids[j]) for j in np.lexsort((ids, -s))[:20]}
     assert len(near & exact) >= 0.9 * len(exact)
 
 
@@ -210,6 +245,19 @@ def test_segment_tree_bpe_matches_the_library(docs, all_texts, empty):
     assert segment_bpe.bpe_digest(empty).count() == 0
 
 
+def test_segment_tree_bpe_splits_every_code_point_like_the_library():
+    tk, m = library_tokenizer(public_tokenizers.path("word_bpe_49k.json")), segment_bpe.SegmentTreeBpe(public_tokenizers.path("word_bpe_49k.json"))
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200), *range(0x10FF00, 0x110000)]]
+    rng = random.Random(12)
+    texts = [f"a{c}a" for c in points] + ["".join(rng.choices(points, k=6)) for _ in range(20_000)] + ["Ȑ\U0003ec54"]
+    for a in range(0, len(texts), 1 << 14):
+        some = texts[a : a + (1 << 14)]
+        want = [" ".join(map(str, e.ids)) for e in tk.encode_batch_fast(some, add_special_tokens=False)]
+        got = m.texts(some)
+        assert [(t, x[1]) for t, x in zip(some, got)] == list(zip(some, want))
+        assert [x[2] for x in got] == tk.decode_batch([list(map(int, w.split())) for w in want], skip_special_tokens=False)
+
+
 def test_caches_forget_without_changing_results():
     m = segment_bpe.SegmentTreeBpe(public_tokenizers.path("word_bpe_49k.json"))
     whole = m.texts(corpus())
