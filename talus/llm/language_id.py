@@ -33,22 +33,25 @@ _LETTER = re.compile(r"[^\W\d_]")
 _KEEP = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
-def features(text: str) -> np.ndarray:
-    """Feature numbers of all byte 1- to 3-grams of the lower-cased text, runs of other bytes as one blank."""
-    data = b" ".join(text.lower().encode().translate(_KEEP).split())
-    b = np.frombuffer(b" " + data + b" ", np.uint8).astype(np.uint32)
-    two = (b[:-1] << np.uint32(8)) | b[1:]
-    three = (two[:-1] << np.uint32(8)) | b[2:]
-    shift = np.uint32(32 - int(math.log2(FEATURES)))
-    hashed = [(x * np.uint32(2654435761)) >> shift for x in (b + np.uint32(1 << 24), two + np.uint32(1 << 25), three)]
-    return np.concatenate(hashed)
+#: Bytes counted at a time.
+STEP = 1 << 20
 
 
 def counts(text: str) -> np.ndarray:
-    """Feature counts, summed over pieces so that a very long text needs no more memory than a short one."""
+    """Counts of the hashed byte 1- to 3-grams of the lower-cased text, runs of other bytes as one blank.
+
+    Long texts are counted piece by piece; each n-gram belongs to the piece in which it starts.
+    """
+    data = b" ".join(text.lower().encode().translate(_KEEP).split())
+    line = np.frombuffer(b" " + data + b" ", np.uint8)
+    shift = np.uint32(32 - int(math.log2(FEATURES)))
     total = np.zeros(FEATURES, np.int64)
-    for a in range(0, max(len(text), 1), 1 << 20):
-        total += np.bincount(features(text[a : a + (1 << 20)]), minlength=FEATURES)
+    for a in range(0, len(line), STEP):
+        b = line[a : a + STEP + 2].astype(np.uint32)
+        two = (b[:-1] << np.uint32(8)) | b[1:]
+        three = (two[:-1] << np.uint32(8)) | b[2:]
+        for x in (b + np.uint32(1 << 24), two + np.uint32(1 << 25), three):
+            total += np.bincount((x[:STEP] * np.uint32(2654435761)) >> shift, minlength=FEATURES)
     return total
 
 
@@ -69,18 +72,24 @@ def codewords(n: int) -> np.ndarray:
     return best
 
 
+#: A text's features: their numbers and their counts.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
 class EcocModel:
     """Binary log-odds classifiers, one a bit, and their loss-weighted decoding."""
 
-    def __init__(self, languages: list[str], samples: dict[str, np.ndarray]):
-        """samples: for each language a matrix of feature counts, one row a text."""
+    def __init__(self, languages: list[str], samples: dict[str, list[Sparse]]):
+        """samples: the sampled texts of each language."""
         self.languages = languages
         self.code = codewords(len(languages)) if languages else np.empty((0, 0))
         if len(languages) < 2:
             return
         shares = []
         for language in languages:
-            total = samples[language].sum(0).astype(float) + 0.1
+            total = np.full(FEATURES, 0.1)
+            for at, n in samples[language]:
+                total[at] += n
             shares.append(total / total.sum())
         shares = np.array(shares)
         columns = []
@@ -90,7 +99,8 @@ class EcocModel:
         # A bit counts by the log-odds of its error on the sample, languages weighed alike.
         right = np.zeros(self.code.shape[1])
         for k, language in enumerate(languages):
-            right += (np.sign(self.margins(samples[language])) == self.code[k]).mean(0) / len(languages)
+            margins = np.array([8 * (n @ self.weights[at]) / n.sum() for at, n in samples[language]])
+            right += (np.sign(margins) == self.code[k]).mean(0) / len(languages)
         error = np.clip(1 - right, 1e-3, 0.499)
         self.bit_weights = np.log((1 - error) / error)
         self.bit_weights /= self.bit_weights.sum()
@@ -120,22 +130,27 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> EcocModel:
-    """Fit on a bounded sample: of each language the first `sample_rows` texts in a hashed order of ids."""
+    """Fit on a bounded sample: of each language the first `sample_rows` texts in a hashed order.
+
+    Rows that are held out, of null text or of null language are not learned from.  The order
+    hashes id and text together, so null and repeated ids are no ties; rows that repeat both take
+    places in the order but are learned once.  No row of two languages at least: a model that knows one language, or none.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # The rank filter runs before the shuffle as well (WindowGroupLimit): ids travel, texts do not.
-    chosen = rows.select("lang", "doc_id", F.row_number().over(order).alias("k")).where(F.col("k") <= sample_rows)
-    limits = chosen.groupBy("lang").agg(F.max(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("last")).limit(MAX_LANGUAGES + 1).collect()
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    order = Window.partitionBy("lang").orderBy("h")
+    # The rank filter runs before the shuffle as well (WindowGroupLimit): hashes travel, texts do not.
+    chosen = rows.select("lang", "h", F.row_number().over(order).alias("k")).where(F.col("k") <= sample_rows)
+    limits = chosen.groupBy("lang").agg(F.max("h").alias("last")).limit(MAX_LANGUAGES + 1).collect()
     if len(limits) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; raise the bound of the sample knowingly")
     languages = sorted(r["lang"] for r in limits)
     if len(languages) < 2:
         return EcocModel(languages, {})
-    # At most SAMPLE_ROWS * MAX_LANGUAGES narrow rows: at or below its language's last hash.
     within = F.lit(False)
     for r in limits:
-        within = within | ((F.col("lang") == r["lang"]) & (F.xxhash64("doc_id") <= F.lit(r["last"]["h"])))
+        within = within | ((F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(r["last"])))
 
     def sparse(batches):
         for batch in slices(batches):
@@ -150,12 +165,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 names=["lang", "at", "n"],
             )
 
-    samples: dict[str, list[np.ndarray]] = {x: [] for x in languages}
-    for r in rows.where(within).select("lang", "text").mapInArrow(sparse, "lang string, at binary, n binary").collect():
-        row = np.zeros(FEATURES, np.float32)
-        row[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<i4")
-        samples[r["lang"]].append(row)
-    return EcocModel(languages, {k: np.array(v) for k, v in samples.items()})
+    # At most `sample_rows` different hashes a language are at or below its last one.
+    sample = rows.where(within).dropDuplicates(["lang", "h"]).select("lang", "text")
+    samples: dict[str, list[Sparse]] = {x: [] for x in languages}
+    for r in sample.mapInArrow(sparse, "lang string, at binary, n binary").collect():
+        samples[r["lang"]].append((np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4").astype(np.float32)))
+    return EcocModel(languages, samples)
 
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
@@ -188,7 +203,11 @@ def predict(docs: DataFrame, model: EcocModel, id_col: str = "doc_id", text_col:
 
 
 def accepted(docs: DataFrame, model: EcocModel, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language is known and not ambiguous; no row moves."""
+    """The rows, with all their columns, whose language is known and not ambiguous; no row moves.
+
+    Rows of null text or without a letter go, and all rows where nothing was learned; repeated
+    rows and null ids are judged by their texts like any others; an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -383,6 +383,46 @@ def test_language_id_edges(spark, docs, empty):
     assert set(one["lang_pred"]) <= {"en", "und"}
 
 
+def test_language_sample_is_bounded_for_null_and_repeated_ids(spark, monkeypatch):
+    rows = [(None if i % 2 else 7, f"{'hello there' if i % 3 else 'guten tag'} {'x' * (i % 901)}", "de" if i % 3 == 0 else "en") for i in range(6000)]
+    seen = {}
+    init = language_id.EcocModel.__init__
+    monkeypatch.setattr(language_id.EcocModel, "__init__", lambda self, names, samples: (seen.update(samples), init(self, names, samples))[1])
+    language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(seen) == {"de", "en"} and all(0 < len(x) <= language_id.SAMPLE_ROWS for x in seen.values())
+
+
+def test_language_counts_do_not_depend_on_pieces(monkeypatch):
+    text = "Straße und 99 Öfen, " * 50
+    whole = language_id.counts(text)
+    monkeypatch.setattr(language_id, "STEP", 7)
+    assert (language_id.counts(text) == whole).all() and whole.sum() > 0
+
+
+def test_decoding_by_hand(spark):
+    """Margins and losses bit by bit, in plain Python, choose the same languages."""
+    import math
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(df)
+    assert len(model.languages) == 4 and model.code.shape == (4, 7)
+    got = {r.doc_id: r for r in language_id.predict(df, model).collect()}
+    for r in df.where("text is not null").collect():
+        if not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        n = language_id.counts(r.text)
+        at = np.flatnonzero(n)
+        losses = []
+        for word in model.code.tolist():
+            loss = 0.0
+            for bit, sign in enumerate(word):
+                margin = 8 * sum(float(n[i]) * float(model.weights[i, bit]) for i in at) / float(n.sum())
+                loss += model.bit_weights[bit] * math.log1p(math.exp(-sign * margin))
+            losses.append(loss)
+        assert losses[model.languages.index(got[r.doc_id].lang_pred)] <= min(losses) + 1e-5
+
+
 @pytest.mark.parametrize("n", [2, 4, 7, 12])
 def test_codewords_differ(n):
     code = language_id.codewords(n)
