@@ -15,27 +15,47 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose language is ambiguous, go."""
+    """Documents without a letter, and those whose language is ambiguous, go.
+
+    So do null and empty texts.  Repeated rows and null ids are judged by their texts; an empty
+    table, or one without labels to learn from, leaves none.
+    """
     return language_id.accepted(docs, language_id.fit(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates stays: that of the least id."""
+    """One document of each group of SimHash near-duplicates stays: that of the least id.
+
+    Null texts and texts without words are one group.  Of rows that share an id one stays; rows of
+    null id stay, since no id stands for them; an empty table stays empty.
+    """
     return simhash.one_of_each(docs)
 
 
 def exact_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 200 bytes or more that occur more than once are cut out of the texts."""
+    """Passages of 200 bytes or more that occur more than once are cut out of the texts.
+
+    All their occurrences go, in whole characters; documents stay, if only with an empty text.
+    Null texts stay null; repeated rows and null ids are documents of their own; an empty table
+    stays empty.
+    """
     return _sized(substring_dedup.without_repeats(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated, kept or dropped so that sources meet their target sizes."""
+    """Documents are repeated, kept or dropped so that sources meet their target sizes.
+
+    Null and empty texts have no words and stay once; null sources are one source; rows that share
+    an id and a size are taken alike; an empty table stays empty.
+    """
     return _sized(mixing.mixed(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text is encoded and decoded; counts and digests are returned, one row a row of the mix."""
+    """Every text is encoded and decoded; counts and digests are returned, one row a row of the mix.
+
+    Null text is empty; ids repeat as documents do, and a null id stays null; an empty table gives none.
+    """
     return segment_bpe.bpe_digest(docs)
 
 

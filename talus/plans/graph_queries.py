@@ -8,6 +8,7 @@ from talus.operators import graph as G
 from talus.operators import raster as R
 from talus.plans.fixtures import POINTS, SUPPLY, points, r6, supply
 from talus.plans.point_queries import FILL_SQL, _pts, filled, pixels, pixels_sql, spherical, spherical_sql
+from talus.session import shared_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -176,10 +177,7 @@ def checkpointed(df):
     """A checkpoint in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

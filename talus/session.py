@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +22,19 @@ def session(name: str = "talus", master: str | None = None, partitions: int | No
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`, which driver and executors share.
+
+    Where it is unset, a local session, whose driver is its only executor, gets one of its own; on a
+    cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-talus-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return base.rstrip("/")
