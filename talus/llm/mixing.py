@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talus.llm.common import documents, stored
+from talus.llm.common import documents, stored, unused
 
 #: Fixed values of the mix: weights dealt to sources in order, share of all words, most epochs.
 WEIGHTS = (5, 2, 1)
@@ -29,7 +29,11 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Target of each source; the windows run over one row a source, summed before."""
+    """Target of each source.
+
+    The windows run over one row a source, summed before, in one task: sources are kinds of text,
+    thousands at most; a table whose source is a page's address needs a coarser column.
+    """
     sums = sized.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     dealt = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
@@ -107,20 +111,19 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     Ids are taken as unique; rows that share an id share what is taken of their sizes.
     """
     names = docs.columns
-    taken = mix(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(
-        F.max("taken").alias("__taken")
-    )
-    size = F.when(F.col("__size") > 0, F.col("__size"))
-    whole = F.coalesce(F.floor(F.col("__taken") / size), F.lit(1)).cast("int")
-    part = F.coalesce(F.col("__taken") % size, F.lit(0)).cast("int")
-    rows = docs.withColumn("__n", word_count(F.col(text_col))).join(
-        taken, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size"))
+    id_, size_, taken_, n_, whole_, part_, copy_ = unused(docs, "id", "size", "taken", "n", "whole", "part", "copy")
+    taken = mix(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias(id_), F.col("size").alias(size_)).agg(F.max("taken").alias(taken_))
+    size = F.when(F.col(size_) > 0, F.col(size_))
+    whole = F.coalesce(F.floor(F.col(taken_) / size), F.lit(1)).cast("int")
+    part = F.coalesce(F.col(taken_) % size, F.lit(0)).cast("int")
+    rows = docs.withColumn(n_, word_count(F.col(text_col))).join(
+        taken, F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.col(n_) == F.col(size_))
     )
-    rows = rows.withColumn("__whole", whole).withColumn("__part", part).where((F.col("__whole") > 0) | (F.col("__part") > 0))
-    copies = F.sequence(F.lit(1), F.col("__whole") + F.when(F.col("__part") > 0, 1).otherwise(0))
-    rows = rows.withColumn("__copy", F.explode(copies))
-    first_words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col("__part"), F.lit(1))), " ")
-    text = F.when(F.col("__copy") <= F.col("__whole"), F.col(text_col)).otherwise(first_words)
+    rows = rows.withColumn(whole_, whole).withColumn(part_, part).where((F.col(whole_) > 0) | (F.col(part_) > 0))
+    copies = F.sequence(F.lit(1), F.col(whole_) + F.when(F.col(part_) > 0, 1).otherwise(0))
+    rows = rows.withColumn(copy_, F.explode(copies))
+    first_words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col(part_), F.lit(1))), " ")
+    text = F.when(F.col(copy_) <= F.col(whole_), F.col(text_col)).otherwise(first_words)
     return rows.withColumn(text_col, text).select(*names)
 
 
