@@ -5,7 +5,8 @@ distance 2 or less agree in at least one segment (pigeonhole), and differ by at
 in the next one.  Padded to 23 bits, that one is decoded to the perfect (23, 12) Golay code
 together with all its one-bit neighbours: one to six codeword indices.  Words at distance 2 or
 less have a common neighbour, hence a common index.  A key is an exact segment with an index
-of the next; equal keys are joined and verified by the true distance.
+of the next; equal keys are joined and verified by the true distance.  Keys of many fingerprints
+are refined by an index of the third segment, which a pair at distance 2 or less shares too.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import documents, keyed_text, slices, stored
+from talus.llm.common import documents, keyed_text, slices, split_join, stored, unused
 from talus.operators.components import star_components
 
 #: Words in a shingle, seed of its XXH64, and differing bits up to which fingerprints link.
 SHINGLE, SEED, DISTANCE = 3, 42, 2
-#: Distinct fingerprints of a key up to which the key is joined with itself; larger ones go by midpoints.
+#: Distinct fingerprints of a key up to which the key is joined with itself; larger ones are refined,
+#: and what even the last index leaves larger goes by midpoints, an exact way without pairs.
 BUCKET = 32
 #: Shingles counted at a time.
 STEP = 1 << 15
@@ -56,7 +58,11 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id, fp` (the fingerprint's bits as a signed long) of every row; null text has no words."""
+    """`doc_id, fp` (the fingerprint's bits as a signed long) of every row.
+
+    Null text has no words and fingerprint 0; repeated rows and null ids are rows like any others;
+    an empty table gives none.
+    """
 
     def run(batches):
         for batch in slices(batches):
@@ -117,20 +123,38 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 _GOLAY: list[Golay] = []
 
 
-def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys of fingerprints: number and bits of an exact segment, index of the next."""
+def _golay() -> Golay:
+    """One decoder for each worker process."""
     if not _GOLAY:
         _GOLAY.append(Golay())
+    return _GOLAY[0]
+
+
+def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys of fingerprints: number and bits of an exact segment, index of the next."""
     parts = [((fps >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.uint32) for a, n in SEGMENTS]
     rows, keys = [], []
     for k in range(3):
         nxt = (k + 1) % 3
-        row, index = _GOLAY[0].indices(parts[nxt], SEGMENTS[nxt][1])
+        row, index = _golay().indices(parts[nxt], SEGMENTS[nxt][1])
         rows.append(row)
         keys.append((np.int64(k) << 34) | (parts[k][row].astype(np.int64) << 12) | index.astype(np.int64))
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def third_indices(fps: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and refined keys of fingerprints with their keys: with the index of the segment that is not in the key."""
+    rows, keys = [], []
+    for k in range(3):
+        own = np.flatnonzero(key >> np.int64(34) == k)
+        a, n = SEGMENTS[(k + 2) % 3]
+        row, index = _golay().indices(((fps[own] >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.uint32), n)
+        rows.append(own[row])
+        # The key fills 36 bits, the index 12.
+        keys.append((key[own[row]] << np.int64(12)) | index.astype(np.int64))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def _keyed(batches):
     for batch in batches:
         fps = batch.column(0).to_numpy()
@@ -139,6 +163,15 @@ def _keyed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[a : a + (1 << 13)][row])], names=["key", "fp"])
 
 
+def _refined(batches):
+    for batch in batches:
+        keys, fps = (c.to_numpy() for c in batch.columns)
+        for a in range(0, len(fps), 1 << 13):
+            some = fps[a : a + (1 << 13)]
+            row, key = third_indices(some.astype(np.uint64), keys[a : a + (1 << 13)])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[row])], names=["key", "fp"])
+
+
 def differing(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -149,21 +182,35 @@ def differing(a: Column, b: Column) -> Column:
 def links(distinct: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """Edges `u, v` between distinct fingerprints `fp` that connect all at `distance` 2 or less.
 
-    Keys of at most `bucket` fingerprints are joined with themselves and verified.  Within larger
-    keys no pairs are made: every fingerprint names the 65 words within one bit of it, and those
-    that share such a midpoint, which are at most two bits apart by construction, link to the
-    least of them.  That is exact, and its rows grow with the fingerprints alone.
+    Keys of at most `bucket` fingerprints are joined with themselves and verified; larger ones are
+    refined by the third segment's index first.  Where that still leaves more, no pairs are made:
+    every fingerprint names the 65 words within one bit of it, and those that share such a
+    midpoint, which are at most two bits apart by construction, link to the least of them.  That
+    is exact, and its rows grow with the fingerprints alone.
     """
     if distance != 2:
         raise ValueError("segments and midpoints are laid out for a distance of 2")
-    keyed = distinct.select("fp").mapInArrow(_keyed, "key long, fp long")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    members = stored(keyed.join(shared, "key"), "simhash-keys")
-    small = members.where(F.col("n") <= bucket)
-    a, b = small.select("key", F.col("fp").alias("u")), small.select("key", F.col("fp").alias("v"))
-    near = (F.col("u") < F.col("v")) & (differing(F.col("u"), F.col("v")) <= distance)
-    pairs = a.join(b, "key").where(near).select("u", "v")
-    crowded = members.where(F.col("n") > bucket).select("fp").distinct()
+
+    def shared(keyed: DataFrame, name: str) -> DataFrame:
+        """Fingerprints of the keys that several have, with their number."""
+        counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        counts = stored(counts.withColumn("rows", F.col("n")), name)
+        return stored(split_join(keyed, counts, ["key"], "rows"), name)
+
+    def verified(members: DataFrame) -> DataFrame:
+        small = members.where(F.col("n") <= bucket)
+        a, b = small.select("key", F.col("fp").alias("u")), small.select("key", F.col("fp").alias("v"))
+        near = (F.col("u") < F.col("v")) & (differing(F.col("u"), F.col("v")) <= distance)
+        return a.join(b, "key").where(near).select("u", "v")
+
+    members = shared(distinct.select("fp").mapInArrow(_keyed, "key long, fp long"), "simhash-keys")
+    pairs = verified(members)
+    crowded = members.where(F.col("n") > bucket)
+    if not crowded.limit(1).count():
+        return pairs.distinct()
+    finer = shared(stored(crowded.select("key", "fp").mapInArrow(_refined, "key long, fp long"), "simhash-finer"), "simhash-finer")
+    pairs = pairs.unionByName(verified(finer))
+    crowded = finer.where(F.col("n") > bucket).select("fp").distinct()
     bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     middles = crowded.select("fp", F.explode(F.concat(F.array("fp"), bits)).alias("middle"))
     least = middles.groupBy("middle").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("middle", "v")
@@ -180,13 +227,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table gives none; other columns are ignored.
     """
     fps = stored(fingerprints(docs, id_col, text_col), "simhash")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "simhash-classes")
     linked = star_components(links(classes), lambda df: stored(df, "simhash-links"))
-    rooted = classes.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rooted = classes.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left")
+    rooted = stored(rooted.select("fp", "first_id", "copies", F.coalesce("component", "fp").alias("root")), "simhash-roots")
+    least = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("classes")), "simhash-least")
+    found = stored(split_join(rooted, least, ["root"], "classes").select("fp", "copies", "component_id"), "simhash-found")
+    return split_join(fps, found, ["fp"], "copies").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,8 +242,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that repeat an id count as one document, of which one row stays; rows of null id stay.
     """
     chosen = simhash_components(docs, id_col, text_col).select("doc_id", "component_id").where(F.col("doc_id") == F.col("component_id"))
-    chosen = stored(chosen.select(F.col("doc_id").alias("__kept")).distinct(), "simhash-kept")
-    kept = docs.join(chosen, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    (name,) = unused(docs, "kept")
+    chosen = stored(chosen.select(F.col("doc_id").alias(name)).distinct(), "simhash-kept")
+    kept = docs.join(chosen, F.col(id_col).cast("long") == F.col(name), "left_semi")
     if docs.groupBy(id_col).count().where((F.col("count") > 1) & F.col(id_col).isNotNull()).limit(1).count():
         kept = kept.dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -346,6 +346,20 @@ def test_simhash_components_match_brute_force(spark, bucket, monkeypatch):
     assert roots(map(tuple, links)) == roots(near)
 
 
+def test_third_index_is_shared_by_all_near_pairs():
+    rng = random.Random(13)
+    fps = [rng.getrandbits(64) for _ in range(300)]
+    for flips in range(3):
+        near = [f ^ sum(1 << b for b in rng.sample(range(64), flips)) for f in fps]
+        both = np.array(fps + near, np.uint64)
+        row, key = simhash.fuzzy_keys(both)
+        row2, finer = simhash.third_indices(both[row], key)
+        keys = collections.defaultdict(set)
+        for r, k in zip(row[row2].tolist(), finer.tolist()):
+            keys[r].add(k)
+        assert all(keys[i] & keys[i + 300] for i in range(300))
+
+
 def test_simhash_edges(docs, all_texts, empty):
     got = ordered(simhash.simhash_components(docs))
     assert got["fp"].tolist()[-1] == 0 and got["component_id"].notna().all()
@@ -429,6 +443,20 @@ def test_codewords_differ(n):
     assert len({tuple(r) for r in code.tolist()}) == n and set(np.unique(code)) <= {-1, 1}
 
 
+def test_stages_keep_columns_that_clash_with_their_helpers(spark):
+    names = ["id", "size", "taken", "n", "whole", "part", "copy", "row", "kept", "uid", "fp", "component_id", "key", "marks"]
+    text = "some words that repeat " * 12
+    rows = [(i, [text + str(i), text, "other words altogether " * 3, None, ""][i % 5], "ab"[i % 2], *range(len(names))) for i in range(10)]
+    rows += [(None, text, "a", *range(len(names))), (3, "repeated id", "b", *range(len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    for stage in (simhash.one_of_each, substring_dedup.without_repeats, mixing.mixed):
+        got = stage(df)
+        assert got.columns == df.columns
+        kept = got.collect()
+        assert kept and all(list(r)[3:] == list(range(len(names))) for r in kept)
+        assert stage(df.limit(0)).count() == 0
+
+
 def test_pipeline_keeps_columns_and_effects(spark):
     import corpus_pipeline as C
 
