@@ -165,3 +165,8 @@ def focal_loss(p: Column, y: Column, gamma: float = 2.0, alpha: float = 0.25, ep
 def kl_gauss(m1, s1, m2, s2) -> Column:
     gap = m1 - m2
     return F.ln(s2 / s1) + (s1 * s1 + gap * gap) / (2 * s2 * s2) - 0.5
+
+
+def kl_discrete(p: Column, q: Column) -> Column:
+    """Aggregate: divergence of two discrete distributions, one row a value; values that `p` lacks add nothing."""
+    return F.sum(F.when(p != 0, p * F.ln(p / q)).otherwise(F.lit(0.0)))

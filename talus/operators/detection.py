@@ -12,8 +12,13 @@ from talus.operators import points as P
 from talus.operators import raster as R
 
 
-def transfer_labels(points: DataFrame, value: str, k: int = 3) -> DataFrame:
-    """`scan_id, point_id, score`: points that share a pixel get the mean value of their k nearest points that do not."""
+def transfer_labels(points: DataFrame, value: str, k: int = 3, how: str = "mean") -> DataFrame:
+    """`scan_id, point_id, score`: points that share a pixel get the mean value of their k nearest points that do not.
+
+    With `vote` they get the commonest value, the least of equally common ones.
+    """
+    if how not in ("mean", "vote"):
+        raise ValueError("how is mean or vote")
     alone = Window.partitionBy("scan_id", "lidx")
 
     def run(table: pa.Table) -> pa.Table:
@@ -29,7 +34,13 @@ def transfer_labels(points: DataFrame, value: str, k: int = 3) -> DataFrame:
                 diff = p[some, None, axis] - p[None, train, axis]
                 d2 += diff * diff
             near = np.argsort(np.sqrt(d2), axis=1, kind="stable")[:, :k]
-            scores[a : a + 256] = v[train][near].mean(1)
+            found = v[train][near]
+            if how == "vote":
+                found = np.sort(found, axis=1)
+                same = (found[:, :, None] == found[:, None, :]).sum(2)
+                scores[a : a + 256] = found[np.arange(len(some)), same.argmax(1)]
+            else:
+                scores[a : a + 256] = found.mean(1)
         scan = np.full(len(test), np.asarray(table.column("scan_id"))[0])
         return pa.table({"scan_id": pa.array(scan, pa.int64()), "point_id": pa.array(ids[test], pa.int64()), "score": pa.array(scores, pa.float64())})
 
@@ -130,6 +141,23 @@ def pca_normals(points: DataFrame, k: int) -> DataFrame:
     return points.select("scan_id", "point_id", "x", "y", "z").groupBy("scan_id").applyInArrow(run, schema)
 
 
+def normals(points: DataFrame, method: str = "spherical", k: int = 10, res_yaw: int = 2048, layers: int = 64, back_project: bool = False) -> DataFrame:
+    """Normals by the range image of scan lines (`spherical`: a row a pixel, or with `back_project` a point) or by
+    eigenvectors of the k nearest (`pca`: a row a point)."""
+    if method == "pca":
+        return pca_normals(points, k).select("scan_id", "point_id", "nx", "ny", "nz")
+    if method != "spherical":
+        raise ValueError(f"method is spherical or pca, not {method!r}")
+    px = P.layer_pixels(P.scan_layers(points, layers), "layer", layers, res_yaw)
+    rho = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    sizes = points.select("scan_id").distinct().select("scan_id", F.lit(layers).cast("long").alias("height"), F.lit(res_yaw).cast("long").alias("width"))
+    image = R.fill_holes(R.dense(R.rasterize(px, rho=F.max(rho)), sizes, rho=0.0), "rho")
+    found = R.spherical_normals(image, "rho", layers, res_yaw).select(*R.PIXEL, "nx", "ny", "nz")
+    if not back_project:
+        return found
+    return px.select("scan_id", "point_id", "row", "col").join(found, R.PIXEL).drop("row", "col")
+
+
 def eigenentropy(e0, total):
     e = e0 / F.nullif(total, F.lit(0.0))
     part = lambda v: F.when(v > 0, v * F.ln(F.when(v > 0, v))).otherwise(F.lit(0.0))

@@ -43,6 +43,30 @@ def morphological_conv(edges: DataFrame, nodes: DataFrame, features: list[str],
     return ends.groupBy("scan_id", F.col("src").alias("point_id")).agg(*out)
 
 
+def max_plus(inputs: list[Column], weights: list[list[float]]) -> list[Column]:
+    """Products in the (max, +) algebra: for each column of weights the greatest of input less relu(weight)."""
+    less = lambda x, w: x - F.lit(max(float(w), 0.0))
+    out = []
+    for k in range(len(weights[0])):
+        terms = [less(x, row[k]) for x, row in zip(inputs, weights, strict=True)]
+        out.append(F.greatest(*terms) if len(terms) > 1 else terms[0])
+    return out
+
+
+def layered_morphological_conv(edges: DataFrame, nodes: DataFrame, features: list[str], weights: list[list[float]], offsets: list[list[float]], how: str = "max") -> DataFrame:
+    """A layer on (x_i, x_j - x_i) of every ranked edge, less relu of the offset of its rank, aggregated over the source.
+
+    `weights` has a row a filter; `offsets` has a row a rank and a column a filter; output h<filter>.
+    """
+    ends = with_ends(edges.select("scan_id", "src", "dst", "rank"), nodes, features)
+    inputs = [F.col(f"s_{f}") for f in features] + [F.col(f"d_{f}") - F.col(f"s_{f}") for f in features]
+    out = []
+    for k, h in enumerate(linear(inputs, weights)):
+        table = F.array(*[F.lit(max(float(row[k]), 0.0)) for row in offsets])
+        out.append(AGGREGATES[how](h - F.element_at(table, F.col("rank").cast("int"))).alias(f"h{k}"))
+    return ends.groupBy("scan_id", F.col("src").alias("point_id")).agg(*out)
+
+
 def bilateral_conv(edges: DataFrame, nodes: DataFrame, features: list[str], places: list[str], r: float = 1.0, s: float = 1.0) -> DataFrame:
     """Feature differences weighted by exp(-|h_i - h_j| / r² - |p_i - p_j| / s²), normalised over each source."""
     ends = with_ends(edges, nodes, list(dict.fromkeys(features + places)))

@@ -3,6 +3,8 @@
 Edges are (scan_id, src, dst, w); node ids are point ids or pixel numbers and keep their meaning.
 """
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -149,6 +151,23 @@ def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return once.join(keep.withColumnRenamed("node_id", "dst"), ["scan_id", "dst"], "left_semi").select(*EDGE, "w")
 
 
+def renumbered(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The subgraph of `nodes(scan_id, node_id)` with nodes numbered from 0 in order of id, and the map
+    `scan_id, node_id, number`."""
+    order = Window.partitionBy("scan_id").orderBy("node_id")
+    numbers = nodes.select("scan_id", "node_id").distinct().withColumn("number", (F.row_number().over(order) - 1).cast("long"))
+    s = numbers.select("scan_id", F.col("node_id").alias("src"), F.col("number").alias("s"))
+    d = numbers.select("scan_id", F.col("node_id").alias("dst"), F.col("number").alias("d"))
+    inside = edges.join(s, ["scan_id", "src"]).join(d, ["scan_id", "dst"])
+    return inside.select("scan_id", F.col("s").alias("src"), F.col("d").alias("dst"), "w"), numbers
+
+
+def window_subgraph(edges: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+    """Edges of an image graph (row, col, row2, col2) with both pixels in the rows and columns [from, to)."""
+    inside = lambda r, c: (F.col(r) >= rows[0]) & (F.col(r) < rows[1]) & (F.col(c) >= cols[0]) & (F.col(c) < cols[1])
+    return edges.where(inside("row", "col") & inside("row2", "col2"))
+
+
 def positive_degree(edges: DataFrame) -> DataFrame:
     """Nodes with an edge of weight other than 0."""
     used = edges.where(F.col("w") != 0)
@@ -317,19 +336,40 @@ def connect_components(labelled: DataFrame, k: int = 3, around: int = 30, longes
 # ---- image graphs --------------------------------------------------------------------------------
 
 
-def image_graph(raster: DataFrame, channels: list[str], width: int | None = None) -> DataFrame:
+def image_graph(raster: DataFrame, channels: list[str], width: int | None = None, metric: Callable[[list[Column], list[Column]], Column] | None = None, mask: str | None = None) -> DataFrame:
     """Edges of 4-neighbours (scan_id, row, col, row2, col2, w), weight the greatest channel difference plus 1e-10.
 
-    With `width` the image wraps around its columns.
+    With `width` the image wraps around its columns.  `metric` gives another weight from the channels
+    of both pixels; `mask`, a boolean column, keeps edges between its pixels.
     """
+    if mask is not None:
+        raster = raster.where(mask)
     a = raster.select("scan_id", "row", "col", *[F.col(c).alias(f"a_{c}") for c in channels])
     b = raster.select("scan_id", F.col("row").alias("row2"), F.col("col").alias("col2"), *[F.col(c).alias(f"b_{c}") for c in channels])
     beside = F.col("col") + 1 if width is None else F.pmod(F.col("col") + 1, F.lit(width))
     steps = F.array(F.struct(F.col("row").alias("row2"), beside.alias("col2")), F.struct((F.col("row") + 1).alias("row2"), F.col("col").alias("col2")))
     moved = a.withColumn("n", F.explode(steps)).select("*", "n.row2", "n.col2").drop("n")
-    w = [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in channels]
     joined = moved.join(b, ["scan_id", "row2", "col2"])
-    return joined.select("scan_id", "row", "col", "row2", "col2", ((F.greatest(*w) if len(w) > 1 else w[0]) + 1e-10).alias("w"))
+    if metric is None:
+        w = [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in channels]
+        weight = (F.greatest(*w) if len(w) > 1 else w[0]) + 1e-10
+    else:
+        weight = metric([F.col(f"a_{c}") for c in channels], [F.col(f"b_{c}") for c in channels])
+    return joined.select("scan_id", "row", "col", "row2", "col2", weight.alias("w"))
+
+
+def pixel_number(row: Column, col: Column, height: Column, width: Column, order: str = "C", row_offset: int = 0, col_offset: int = 0) -> Column:
+    """A pixel's node number, row by row (`C`) or column by column (`F`), of an image that starts at an offset."""
+    if order not in ("C", "F"):
+        raise ValueError("order is C or F")
+    r, c = row - F.lit(row_offset), col - F.lit(col_offset)
+    return (r * width + c if order == "C" else c * height + r).cast("long")
+
+
+def two_partition_zones(raster: DataFrame, first: str, second: str, width: int) -> DataFrame:
+    """Components of 4-neighbours that agree in two label images."""
+    differ = lambda a, b: F.greatest(*[(x != y).cast("int") for x, y in zip(a, b)])
+    return pixel_components(image_graph(raster, [first, second], metric=differ).where(F.col("w") == 0), raster, width)
 
 
 def pixel_components(edges: DataFrame, pixels: DataFrame, width: int) -> DataFrame:

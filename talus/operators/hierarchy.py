@@ -57,7 +57,7 @@ def linkage_cuts(weighted: DataFrame, ks: list[int] | str) -> DataFrame:
         a, b, w = np.asarray(table.column("a")), np.asarray(table.column("b")), np.asarray(table.column("w"))
         nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
         n, src, dst = len(nodes), flat[: len(a)], flat[len(a) :]
-        kept = kernels.spanning_tree(n, src, dst, w)
+        kept, _ = kernels.spanning_tree(n, src, dst, w)
         tried = list(range(1, table.column("most")[0].as_py() + 1)) if isinstance(ks, str) else ks
         out = []
         for k in tried:
@@ -138,6 +138,21 @@ def cluster_size_loss(u: Column, least_area: Column) -> Column:
     return F.max(u / least_area)
 
 
+def combined_loss(first: Column, *others: Column, gamma: float = 1.0) -> Column:
+    """A loss plus `gamma` times each of the others: cluster size with triplets, closest with either or with both."""
+    out = first
+    for other in others:
+        out = out + F.lit(float(gamma)) * other
+    return out
+
+
+def angle(a: list[Column], b: list[Column]) -> Column:
+    """Angle between two vectors, as the metric of a linkage of unit vectors; null where one is zero."""
+    product, square_a, square_b = (sum((x * y for x, y in zip(u[1:], v[1:])), u[0] * v[0]) for u, v in ((a, b), (a, a), (b, b)))
+    cosine = product / F.nullif(F.sqrt(square_a) * F.sqrt(square_b), F.lit(0.0))
+    return F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))
+
+
 def delete_node(tree: DataFrame, node: int) -> DataFrame:
     """The tree without a node, whose children move to its parent."""
     gone = tree.where(F.col("node_id") == node).select("tree_id", F.col("parent").alias("heir"))

@@ -202,6 +202,23 @@ def quota_sample(df: DataFrame, group: str, ids: list[str], quota: Column) -> Da
     return ranked.where(F.col("__rank") <= quota).drop("__rank", "n")
 
 
+def subset(df: DataFrame, belongs: Column, by: str, order: str) -> DataFrame:
+    """The rows of a subset with their place in it, from 0, in the order of their ids: the map from subset to set."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
+    return df.where(belongs).withColumn("place", place.cast("long"))
+
+
+def first_difference(value: Column, by: str, order: str) -> Column:
+    """Value less that of the row before; null at the first row of a group."""
+    return value - F.lag(value).over(Window.partitionBy(by).orderBy(order))
+
+
+def nth_smallest(df: DataFrame, value: str, n: int, by: str, tie: str) -> DataFrame:
+    """The n-th smallest value (from 1) of each group that has as many."""
+    order = Window.partitionBy(by).orderBy(value, tie)
+    return df.withColumn("__n", F.row_number().over(order)).where(F.col("__n") == n).select(by, value)
+
+
 def las_levels(points: DataFrame, scale: float = 0.001) -> DataFrame:
     """Integer coordinates of a point file: offset at the scan's minimum, steps of `scale`."""
     low = points.groupBy("scan_id").agg(*[F.min(c).alias(f"{c}_offset") for c in "xyz"])

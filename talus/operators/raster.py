@@ -152,6 +152,22 @@ def stick(first: DataFrame, second: DataFrame, height: int, width: int, overlap:
     return first.join(moved.select(*PIXEL), PIXEL, "left_anti").unionByName(moved)
 
 
+def shifted(raster: DataFrame, value: str, by: int, axis: str = "row", fill=0) -> DataFrame:
+    """A dense image's values moved `by` pixels down (or right, by `col`); what comes in from outside is `fill`."""
+    if axis not in ("row", "col"):
+        raise ValueError("an image is shifted along row or col")
+    line = Window.partitionBy("scan_id", "col" if axis == "row" else "row").orderBy(axis)
+    moved = F.lag(value, by).over(line) if by >= 0 else F.lead(value, -by).over(line)
+    return raster.withColumn(value, F.coalesce(moved, F.lit(fill)))
+
+
+def shifted_on_torus(raster: DataFrame, by: int, size: int | Column, axis: str = "row") -> DataFrame:
+    """An image moved `by` pixels up (or left, by `col`), around its edge: pixels get new numbers and no row moves."""
+    if axis not in ("row", "col"):
+        raise ValueError("an image is shifted along row or col")
+    return raster.withColumn(axis, F.pmod(F.col(axis) - F.lit(by), size if isinstance(size, Column) else F.lit(size)))
+
+
 # ---- morphology ----------------------------------------------------------------------------------
 
 
@@ -162,6 +178,20 @@ def _separable(raster: DataFrame, value: str, f: Callable, rows: tuple[int, int]
     return raster.withColumn(value, f(value).over(along)).withColumn(value, f(value).over(down))
 
 
+def filter_rectangle(raster: DataFrame, value: str, how: str, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+    """Greatest (`dilate`) or least (`erode`) value within the given row and column offsets, also of lines and even sizes."""
+    known = {"dilate": F.max, "erode": F.min}
+    if how not in known:
+        raise ValueError(f"unknown filter {how!r}; known: dilate, erode")
+    return _separable(raster, value, known[how], rows, cols)
+
+
+def opened_rectangle(raster: DataFrame, value: str, height: int, width: int) -> DataFrame:
+    """Opening by a rectangle of pixels: what no whole rectangle fits into goes."""
+    low = filter_rectangle(raster, value, "erode", (0, height - 1), (0, width - 1))
+    return filter_rectangle(low, value, "dilate", (1 - height, 0), (1 - width, 0))
+
+
 def dilate(raster: DataFrame, value: str, radius: int = 1) -> DataFrame:
     """Largest value within `radius` rows and columns, on the pixels that the raster has."""
     return _separable(raster, value, F.max, (-radius, radius), (-radius, radius))
@@ -177,7 +207,7 @@ def opened(raster: DataFrame, value: str, radius: int = 1) -> DataFrame:
 
 def opened_square(raster: DataFrame, value: str, size: int = 2) -> DataFrame:
     """Opening by a square of `size` pixels, which may be even: what no whole square fits into goes."""
-    return _separable(_separable(raster, value, F.min, (0, size - 1), (0, size - 1)), value, F.max, (1 - size, 0), (1 - size, 0))
+    return opened_rectangle(raster, value, size, size)
 
 
 def closed(raster: DataFrame, value: str, radius: int = 1) -> DataFrame:
