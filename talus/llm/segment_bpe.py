@@ -96,7 +96,7 @@ class SegmentTreeBpe:
         pairs = np.array([(vocab[a], vocab[b]) for a, b in merges], np.int64).reshape(-1, 2)
         self.table = PairTable(pairs, np.array([vocab[a + b] for a, b in merges], np.int32), len(self.names))
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.library = library_tokenizer(path)
+        self.path, self.library = path, None
         self.byte_of = {c: b for b, c in enumerate(symbols)}
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
         self.known = Cache(self._encode_words, CACHE_PIECES)
@@ -240,6 +240,8 @@ class SegmentTreeBpe:
         that hold one are normalised and cut by the library itself.
         """
         if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
+            # Loaded when first needed: most workers never see such a text.
+            self.library = self.library or library_tokenizer(self.path)
             text = self.library.normalizer.normalize_str(text)
             return [bytes([self.byte_of[c] for c in w]).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
         text = unicodedata.normalize("NFC", text)
