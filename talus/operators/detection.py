@@ -143,7 +143,7 @@ def pca_normals(points: DataFrame, k: int) -> DataFrame:
 
 def normals(points: DataFrame, method: str = "spherical", k: int = 10, res_yaw: int = 2048, layers: int = 64, back_project: bool = False) -> DataFrame:
     """Normals by the range image of scan lines (`spherical`: a row a pixel, or with `back_project` a point) or by
-    eigenvectors of the k nearest (`pca`: a row a point)."""
+    eigenvectors of the k nearest (`pca`: a row a point).  Points outside the image get the zero vector."""
     if method == "pca":
         return pca_normals(points, k).select("scan_id", "point_id", "nx", "ny", "nz")
     if method != "spherical":
@@ -155,7 +155,8 @@ def normals(points: DataFrame, method: str = "spherical", k: int = 10, res_yaw:
     found = R.spherical_normals(image, "rho", layers, res_yaw).select(*R.PIXEL, "nx", "ny", "nz")
     if not back_project:
         return found
-    return px.select("scan_id", "point_id", "row", "col").join(found, R.PIXEL).drop("row", "col")
+    joined = px.select("scan_id", "point_id", "row", "col").join(found, R.PIXEL, "left")
+    return joined.select("scan_id", "point_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("nx", "ny", "nz")])
 
 
 def eigenentropy(e0, total):

@@ -149,8 +149,9 @@ def combined_loss(first: Column, *others: Column, gamma: float = 1.0) -> Column:
 def angle(a: list[Column], b: list[Column]) -> Column:
     """Angle between two vectors, as the metric of a linkage of unit vectors; null where one is zero."""
     product, square_a, square_b = (sum((x * y for x, y in zip(u[1:], v[1:])), u[0] * v[0]) for u, v in ((a, b), (a, a), (b, b)))
-    cosine = product / F.nullif(F.sqrt(square_a) * F.sqrt(square_b), F.lit(0.0))
-    return F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))
+    length = F.sqrt(square_a) * F.sqrt(square_b)
+    cosine = product / F.nullif(length, F.lit(0.0))
+    return F.when(length != 0, F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))))
 
 
 def delete_node(tree: DataFrame, node: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from functools import reduce
 from operator import and_
@@ -27,8 +28,9 @@ def _names(path: str) -> tuple[str | None, int]:
 
 def _files(spark: SparkSession, paths: str | list[str], extension: str) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if any("." in p.rsplit("/", 1)[-1] and not p.endswith(extension) and "*" not in p for p in paths):
-        raise ValueError(f"files must end in {extension}")
+    odd = [p for p in paths if "." in p.rsplit("/", 1)[-1] and not p.endswith(extension) and "*" not in p]
+    if odd:
+        raise ValueError(f"files must end in {extension}: {odd[0]}")
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").option("recursiveFileLookup", "true").load(paths).select("path", "content")
 
 
@@ -95,9 +97,13 @@ def unique_scans(frame: DataFrame) -> DataFrame:
     return frame.withColumn("scan_id", F.when(F.col("sequence").isNull(), F.col("scan_id")).otherwise(high * (1 << 32) + F.col("scan_id")))
 
 
-def sequence_files(folder: str, start: int = 0, end: int | None = None, step: int = 1, extension: str = ".bin") -> list[str]:
-    """The sorted files of a local folder, sliced; pass them to a reader, which then opens only those."""
-    return sorted(str(p) for p in Path(folder).glob(f"*{extension}"))[start:end:step]
+def sequence_files(spark: SparkSession, folder: str, start: int = 0, end: int | None = None, step: int = 1, extension: str = ".bin") -> list[str]:
+    """The sorted files of a folder that Spark can list, sliced; pass them to a reader, which then opens only those.
+
+    Spark does not list files without a byte.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").load(folder).select("path")
+    return sorted(r["path"] for r in found.collect())[start:end:step]
 
 
 def load_parameters(path: str) -> dict:
@@ -118,32 +124,109 @@ def load_parameters(path: str) -> dict:
 
 
 def label_config(spark: SparkSession, path: str) -> DataFrame:
-    """A label configuration as a table: label, name, learn_id, r, g, b (colours are stored blue first)."""
+    """A label configuration as a table, a row a label; colours are stored blue first.
+
+    `content` is the label's share of all points, `learn_id` its class (0 where it has none), whose
+    own label is `learn_label` and which learning may ignore; `is_ground` as `points.is_ground`.
+    """
     import yaml
 
+    from talus.operators.points import GROUND_LABELS
+
     spec = yaml.safe_load(Path(path).read_text())
-    learn, colours = spec.get("learning_map", {}), spec.get("color_map", {})
+    maps = {k: spec.get(k) or {} for k in ("learning_map", "learning_map_inv", "learning_ignore", "content", "color_map")}
     rows = []
     for label, name in spec["labels"].items():
-        b, g, r = colours.get(label, (0, 0, 0))
-        rows.append((int(label), str(name), int(learn.get(label, 0)), int(r), int(g), int(b)))
-    return spark.createDataFrame(rows, "label int, name string, learn_id int, r int, g int, b int")
+        b, g, r = maps["color_map"].get(label, (0, 0, 0))
+        learn = int(maps["learning_map"].get(label, 0))
+        back = maps["learning_map_inv"].get(learn)
+        ignored = bool(maps["learning_ignore"].get(learn, False))
+        share = maps["content"].get(label)
+        rows.append((int(label), str(name), learn, None if back is None else int(back), ignored, None if share is None else float(share), int(label in GROUND_LABELS), int(r), int(g), int(b)))
+    return spark.createDataFrame(rows, "label int, name string, learn_id int, learn_label int, ignored boolean, content double, is_ground int, r int, g int, b int")
+
 
+def label_splits(spark: SparkSession, path: str) -> DataFrame:
+    """The configuration's `split` as a table: split, sequence (two digits, as in the folders' names)."""
+    import yaml
 
-def las_bytes(xyz: np.ndarray, scale: float = 0.001) -> bytes:
-    """A LAS 1.2 file (point format 0) of coordinates, for small exports."""
+    spec = yaml.safe_load(Path(path).read_text())
+    rows = [(str(name), f"{int(s):02d}") for name, sequences in (spec.get("split") or {}).items() for s in sequences]
+    return spark.createDataFrame(rows, "split string, sequence string")
+
+
+def las_bytes(xyz: np.ndarray, labels: np.ndarray | None = None, colours: np.ndarray | None = None, scale: float = 0.001) -> bytes:
+    """A LAS 1.2 file of coordinates: labels as user data (their lowest byte), colours (red, green, blue) in point format 2."""
     low, high = (xyz.min(0), xyz.max(0)) if len(xyz) else (np.zeros(3), np.zeros(3))
-    levels = np.floor((xyz - low) / scale + 0.5).astype("<i4")
-    head = struct.pack("<4sHH16sBB32s32sHHHIIBHI5I", b"LASF", 0, 0, b"\0" * 16, 1, 2, b"talus", b"talus", 1, 2026, 227, 227, 0, 0, 20, len(xyz), len(xyz), 0, 0, 0, 0)
+    kind, size = (0, 20) if colours is None else (2, 26)
+    head = struct.pack("<4sHH16sBB32s32sHHHIIBHI5I", b"LASF", 0, 0, b"\0" * 16, 1, 2, b"talus", b"talus", 1, 2026, 227, 227, 0, kind, size, len(xyz), len(xyz), 0, 0, 0, 0)
     head += struct.pack("<12d", *([scale] * 3), *low, *[v for pair in zip(high, low) for v in pair])
-    record = np.zeros(len(xyz), dtype=[("p", "<i4", 3), ("rest", "V8")])
-    record["p"] = levels
+    # Intensity, flags and class stay 0, then user data and the source's number.
+    fields = [("p", "<i4", 3), ("intensity", "<u2"), ("flags", "u1"), ("cls", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2")]
+    record = np.zeros(len(xyz), dtype=fields + ([("rgb", "<u2", 3)] if colours is not None else []))
+    record["p"] = np.floor((xyz - low) / scale + 0.5)
+    if labels is not None:
+        record["user"] = np.asarray(labels) & 0xFF
+    if colours is not None:
+        record["rgb"] = colours
     return head + record.tobytes()
 
 
-def write_reports(scores: DataFrame, path: str) -> None:
-    """Scores as JSON lines, a folder a scan."""
-    scores.write.partitionBy("scan_id").mode("overwrite").json(path)
+def write_las(points: DataFrame, folder: str, label: str | None = None, colour: tuple[str, str, str] | None = None) -> DataFrame:
+    """Writes a LAS file a scan into a shared folder (of any file system that Arrow knows); one task works on one scan.
+
+    Returns `scan_id, path, n_points`; evaluating it writes.  A file appears under its name when it
+    is whole, so tasks that are run again replace it.
+    """
+    extra = ([label] if label else []) + list(colour or ())
+
+    def run(table: pa.Table) -> pa.Table:
+        from pyarrow import fs
+
+        scan = np.asarray(table.column("scan_id"))[0]
+        order = np.argsort(np.asarray(table.column("point_id")), kind="stable")
+        column = lambda c: np.asarray(table.column(c))[order]
+        xyz = np.stack([column(c).astype(float) for c in "xyz"], axis=1)
+        colours = np.stack([column(c) for c in colour], axis=1) if colour else None
+        data = las_bytes(xyz, column(label).astype(np.int64) if label else None, colours)
+        system, top = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system.create_dir(top, recursive=True)
+        path, part = f"{top}/{scan}.las", f"{top}/.{scan}-{uuid.uuid4().hex}"
+        with system.open_output_stream(part) as sink:
+            sink.write(data)
+        system.move(part, path)
+        return pa.table({"scan_id": pa.array([scan], pa.int64()), "path": [path], "n_points": pa.array([len(xyz)], pa.int64())})
+
+    rows = points.select("scan_id", "point_id", "x", "y", "z", *extra)
+    return rows.groupBy("scan_id").applyInArrow(run, "scan_id long, path string, n_points long")
+
+
+#: The scores of a report, in order, by the names of their columns.
+REPORTED = (("F1", "f1"), ("Recall", "recall"), ("Precision", "precision"), ("Accuracy", "acc"), ("Jaccard", "jaccard"))
+
+
+def score_reports(scores: DataFrame, matrices: DataFrame, method: str) -> DataFrame:
+    """`scan_id, method, report`: the scores of each scan and its confusion matrix, a line a row, as text.
+
+    `scores` are those of `metrics.binary_scores` by scan; `matrices` has scan_id, truth, pred, n.
+    """
+    line = matrices.groupBy("scan_id", "truth").agg(F.array_sort(F.collect_list(F.struct("pred", "n"))).alias("cells"))
+    line = line.select("scan_id", F.struct("truth", F.array_join(F.transform("cells", lambda c: c["n"].cast("string")), " ").alias("text")).alias("line"))
+    grid = line.groupBy("scan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["text"]), "\n").alias("grid"))
+    told = [F.concat(F.lit(f"{title} "), F.round(c, 6).cast("string")) for title, c in REPORTED]
+    text = F.concat_ws("\n", F.concat(F.lit("Scan "), F.col("scan_id").cast("string")), *told, F.lit("Confusion"), "grid")
+    return scores.join(grid, "scan_id", "left").select("scan_id", F.lit(method).alias("method"), text.alias("report"))
+
+
+def write_reports(reports: DataFrame, path: str) -> None:
+    """Adds reports or scores as JSON lines, a folder a scan, so that the results of many runs gather in one place."""
+    reports.write.partitionBy("scan_id").mode("append").json(path)
+
+
+def gathered_reports(spark: SparkSession, path: str, method: str) -> DataFrame:
+    """All reports of a method, in order of scan: `scan_id, report`."""
+    found = spark.read.schema("method string, report string, scan_id long").json(path)
+    return found.where(F.col("method") == method).select("scan_id", "report").orderBy("scan_id")
 
 
 #: Names of the toy samples.
