@@ -87,29 +87,38 @@ def with_ends(edges: DataFrame, nodes: DataFrame, columns: list[str], node: str
     return edges.join(s, ["scan_id", "src"]).join(d, ["scan_id", "dst"])
 
 
-def spherical_edges(pixels: DataFrame, width: int, far: float = 5.0, near: float = 1.0, same: float = 0.5, dz: float = 0.5, steps: int = 5) -> DataFrame:
+def spherical_edges(
+    pixels: DataFrame, width: int, far: float = 5.0, near: float = 1.0, same: float = 0.5, dz: float = 0.5, steps: int = 5,
+    metric: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
     """Edges between points of neighbouring pixels of a range image, both directions, weight the distance.
 
     Below: the pixel one row down, closer than `far`.  Right: up to `steps` columns on, around the
     image, closer than `near`, all matches of the first pixel that has any.  Same pixel: closer
-    than `same`.  Always with a height difference below `dz`.
+    than `same`.  Always with a height difference below `dz`.  One task works on one scan; `metric`
+    gives other weights than the distance from arrays of both ends' coordinates.
     """
-    cols = ["point_id", "row", "col", "x", "y", "z"]
-    rows = pixels.where(F.col("row") >= 0).select("scan_id", *cols)
-    a = rows.select("scan_id", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = rows.select("scan_id", *[F.col(c).alias(f"b_{c}") for c in cols])
-    d = distance([F.col(f"a_{c}") for c in "xyz"], [F.col(f"b_{c}") for c in "xyz"])
-    level = F.abs(F.col("a_z") - F.col("b_z")) < dz
-    keep = lambda df, limit: df.where(level & (d < limit)).select("scan_id", F.col("a_point_id").alias("src"), F.col("b_point_id").alias("dst"), d.alias("w"), *[c for c in df.columns if c == "step"])
-    pixel = lambda row, col: a.withColumn("b_row", row).withColumn("b_col", col)
-    keys = ["scan_id", "b_row", "b_col"]
-    down = keep(pixel(F.col("a_row") + 1, F.col("a_col")).join(b, keys), far)
-    ahead = a.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("b_row", F.col("a_row")).withColumn("b_col", F.pmod(F.col("a_col") + F.col("step"), F.lit(width)))
-    right = keep(ahead.join(b, keys), near)
-    first = Window.partitionBy("scan_id", "src").orderBy("step")
-    right = right.withColumn("r", F.rank().over(first)).where(F.col("r") == 1).select(*EDGE, "w")
-    inside = keep(pixel(F.col("a_row"), F.col("a_col")).join(b, keys).where(F.col("a_point_id") < F.col("b_point_id")), same)
-    return symmetric(down.unionByName(right).unionByName(inside))
+
+    def run(table: pa.Table) -> pa.Table:
+        scan = np.asarray(table.column("scan_id"))[0]
+        ids, row, col = (np.asarray(table.column(c)).astype(np.int64) for c in ("point_id", "row", "col"))
+        p = np.stack([np.asarray(table.column(c)) for c in "xyz"], axis=1)
+        at, n, src, dst, w = kernels.pixel_edges(ids, row, col, p, width, far, near, same, dz, steps), len(ids), [], [], []
+        for a, b, d in at:
+            d = d if metric is None else metric(p[a], p[b])
+            src += [a, b]
+            dst += [b, a]
+            w += [d, d]
+        src, dst, w = (np.concatenate(x) for x in (src, dst, w))
+        # An edge found in both directions keeps the larger weight.
+        order = np.lexsort((-w, dst, src))
+        src, dst, w = src[order], dst[order], w[order]
+        first = np.append(True, (src[1:] != src[:-1]) | (dst[1:] != dst[:-1]))[: len(src)]
+        src, dst, w = src[first], dst[first], w[first]
+        return pa.table({"scan_id": pa.array(np.full(len(src), scan), pa.int64()), "src": ids[src], "dst": ids[dst], "w": pa.array(w, pa.float64())})
+
+    rows = pixels.where(F.col("row") >= 0).select(F.col("scan_id").cast("long").alias("scan_id"), "point_id", "row", "col", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    return rows.groupBy("scan_id").applyInArrow(run, "scan_id long, src long, dst long, w double")
 
 
 def merge_graphs(*graphs: DataFrame) -> DataFrame:

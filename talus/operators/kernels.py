@@ -43,6 +43,40 @@ def nearest(points: np.ndarray, k: int, block: int = 512) -> tuple[np.ndarray, n
     return who, far
 
 
+def pixel_edges(ids: np.ndarray, row: np.ndarray, col: np.ndarray, p: np.ndarray, width: int, far: float, near: float, same: float, dz: float, steps: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of point numbers with their distances, of neighbouring pixels of one range image: below, to the right, inside."""
+    pixel = row * width + col
+    order = np.argsort(pixel, kind="stable")
+    held, start, count = np.unique(pixel[order], return_index=True, return_counts=True)
+
+    def meet(a: np.ndarray, wanted: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Points `a` with all close ones in the pixels `wanted`."""
+        if not len(a):
+            return a, a, np.empty(0)
+        k = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+        n = np.where(held[k] == wanted, count[k], 0)
+        a = np.repeat(a, n)
+        b = order[np.repeat(start[k], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)]
+        d2 = np.zeros(len(a))
+        for axis in range(3):
+            diff = p[a, axis] - p[b, axis]
+            d2 += diff * diff
+        d = np.sqrt(d2)
+        close = (np.abs(p[a, 2] - p[b, 2]) < dz) & (d < limit)
+        return a[close], b[close], d[close]
+
+    every = np.arange(len(ids))
+    out = [meet(every, pixel + width, far)]
+    left = every
+    for step in range(1, steps + 1):
+        found = meet(left, row[left] * width + (col[left] + step) % width, near)
+        out.append(found)
+        left = np.setdiff1d(left, found[0], assume_unique=False)
+    a, b, d = meet(every, pixel, same)
+    once = ids[a] < ids[b]
+    return [*out, (a[once], b[once], d[once])]
+
+
 class Forest:
     """Disjoint sets with path halving; every set is named by its least member."""
 

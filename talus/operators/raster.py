@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import pi
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from talus.operators.points import quantize_z
 
@@ -227,30 +230,30 @@ def spherical_normals(raster: DataFrame, rho: str, height: int, width: int, pitc
     """Adds nx, ny, nz of a dense range image: the cross product of the surface's derivatives along pitch and yaw.
 
     Central differences; along pitch the first row has the opposite sign and the last is one-sided,
-    along yaw the image wraps.  Zero where there is no range.
+    along yaw the image wraps.  Zero where there is no range.  One task works on one scan's image.
     """
     d_pitch, d_yaw = (pitch[1] - pitch[0]) / (height - 1), (yaw[1] - yaw[0]) / (width - 1)
-    down = Window.partitionBy("scan_id", "col").orderBy("row")
-    along = Window.partitionBy("scan_id", "row").orderBy("col")
-    line = Window.partitionBy("scan_id", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    r = F.col("__r")
-    rows = raster.withColumn("__r", F.col(rho).cast("double") / F.lit(res_rho))
-    r_pitch = (
-        F.when(F.col("row") == 0, r - F.lead("__r").over(down))
-        .when(F.col("row") == height - 1, r - F.lag("__r").over(down))
-        .otherwise((F.lead("__r").over(down) - F.lag("__r").over(down)) / 2)
-    )
-    after = F.coalesce(F.lead("__r").over(along), F.first("__r").over(line))
-    before = F.coalesce(F.lag("__r").over(along), F.last("__r").over(line))
-    rows = rows.withColumn("__rp", r_pitch).withColumn("__ry", (after - before) / 2)
-    sp, cp = (f(F.lit(pitch[0]) + F.col("row") * F.lit(d_pitch)) for f in (F.sin, F.cos))
-    sy, cy = (f(F.lit(yaw[0]) + F.col("col") * F.lit(d_yaw)) for f in (F.sin, F.cos))
-    rp, ry = F.col("__rp"), F.col("__ry")
-    p = (rp * sp * cy + r * d_pitch * cp * cy, rp * sp * sy + r * d_pitch * cp * sy, rp * cp - r * d_pitch * sp)
-    t = (ry * sp * cy - r * d_yaw * sp * sy, ry * sp * sy + r * d_yaw * sp * cy, ry * cp)
-    rows = rows.withColumns(
-        {"__nx": p[1] * t[2] - p[2] * t[1], "__ny": p[2] * t[0] - p[0] * t[2], "__nz": p[0] * t[1] - p[1] * t[0]}
-    )
-    length = F.sqrt(F.col("__nx") * F.col("__nx") + F.col("__ny") * F.col("__ny") + F.col("__nz") * F.col("__nz"))
-    scale = F.when((F.col("__r") == 0) | (length == 0), F.lit(0.0)).otherwise(F.lit(1.0) / F.nullif(length, F.lit(0.0)))
-    return rows.withColumns({n: F.col(f"__{n}") * scale for n in ("nx", "ny", "nz")}).drop("__r", "__rp", "__ry", "__nx", "__ny", "__nz")
+    a, b = pitch[0] + np.arange(height)[:, None] * d_pitch, yaw[0] + np.arange(width)[None, :] * d_yaw
+    sp, cp, sy, cy = np.sin(a), np.cos(a), np.sin(b), np.cos(b)
+
+    def run(table: pa.Table) -> pa.Table:
+        row, col = (np.asarray(table.column(c)) for c in ("row", "col"))
+        r = np.zeros((height, width))
+        r[row, col] = np.asarray(table.column(rho), float) / res_rho
+        rp = np.empty_like(r)
+        rp[1:-1] = (r[2:] - r[:-2]) / 2
+        rp[0], rp[-1] = r[0] - r[1], r[-1] - r[-2]
+        ry = (np.roll(r, -1, 1) - np.roll(r, 1, 1)) / 2
+        p = (rp * sp * cy + r * d_pitch * cp * cy, rp * sp * sy + r * d_pitch * cp * sy, rp * cp - r * d_pitch * sp)
+        t = (ry * sp * cy - r * d_yaw * sp * sy, ry * sp * sy + r * d_yaw * sp * cy, ry * cp)
+        n = np.stack([p[1] * t[2] - p[2] * t[1], p[2] * t[0] - p[0] * t[2], p[0] * t[1] - p[1] * t[0]])
+        length = np.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
+        seen = (r != 0) & (length != 0)
+        n *= np.where(seen, 1.0 / np.where(seen, length, 1.0), 0.0)
+        for name, values in zip(("nx", "ny", "nz"), n):
+            table = table.append_column(name, pa.array(values[row, col]))
+        return table
+
+    rows = raster.drop("nx", "ny", "nz")
+    schema = StructType([*rows.schema.fields, *[StructField(c, DoubleType()) for c in ("nx", "ny", "nz")]])
+    return rows.groupBy("scan_id").applyInArrow(run, schema)
