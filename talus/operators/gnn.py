@@ -1,10 +1,13 @@
 """Message passing on neighbour graphs with given weights, and rotation-invariant features."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.functions.geometry import dot, norm
-from talus.operators.graph import knn, with_ends
+from talus.functions.geometry import norm
+from talus.operators import kernels
+from talus.operators.graph import with_ends
 
 AGGREGATES = {"max": F.max, "mean": F.avg, "add": F.sum, "min": F.min}
 
@@ -93,22 +96,22 @@ def invariant_features(points: DataFrame, k: int) -> DataFrame:
     """Rotation-invariant features (src, dst, rho_i, rho_j, theta, phi) of every point and neighbour.
 
     theta is the angle between both directions from the origin; phi the least angle, seen along the
-    source's direction, to another neighbour.
+    source's direction, to another neighbour; null where a direction has no length.  A scan of two
+    points has no other neighbour and gives no row.  One task works on one scan.
     """
-    edges = knn(points, k).select("scan_id", "src", "dst")
-    ends = with_ends(edges, points, ["x", "y", "z"])
-    p, q = [F.col(f"s_{c}") for c in "xyz"], [F.col(f"d_{c}") for c in "xyz"]
-    ends = ends.withColumn("rho_i", norm(*p)).withColumn("rho_j", norm(*q))
-    u = [c / F.nullif(F.col("rho_i"), F.lit(0.0)) for c in p]
-    v = [c / F.nullif(F.col("rho_j"), F.lit(0.0)) for c in q]
-    theta = F.acos(F.least(F.greatest(dot(u, v), F.lit(-1.0)), F.lit(1.0)))
-    along = dot(u, q)
-    t = [b - along * a for a, b in zip(u, q)]
-    rows = ends.withColumn("theta", theta).withColumns({f"t_{c}": x for c, x in zip("xyz", t)})
-    length = norm(*[F.col(f"t_{c}") for c in "xyz"])
-    rows = rows.withColumns({f"t_{c}": F.col(f"t_{c}") / F.nullif(length, F.lit(0.0)) for c in "xyz"})
-    other = rows.select("scan_id", "src", F.col("dst").alias("other"), *[F.col(f"t_{c}").alias(f"o_{c}") for c in "xyz"])
-    both = rows.join(other, ["scan_id", "src"]).where(F.col("dst") != F.col("other"))
-    cosine = dot([F.col(f"t_{c}") for c in "xyz"], [F.col(f"o_{c}") for c in "xyz"])
-    sine = F.sqrt(F.least(F.greatest(F.lit(1.0) - cosine * cosine, F.lit(0.0)), F.lit(1.0)))
-    return both.groupBy("scan_id", "src", "dst", "rho_i", "rho_j", "theta").agg(F.min(F.atan2(sine, cosine)).alias("phi"))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = np.asarray(table.column("point_id"))
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        p = np.stack([np.asarray(table.column(c)) for c in "xyz"], axis=1)[order]
+        who, _ = kernels.nearest(p, k)
+        n, m = who.shape if who.shape[1] > 1 else (0, 0)
+        rho_i, rho_j, theta, phi = (x.ravel() for x in kernels.invariant(p, who)) if n else [np.empty(0)] * 4
+        columns = {"rho_i": np.repeat(rho_i, m), "rho_j": rho_j, "theta": theta, "phi": phi}
+        scan = np.full(n * m, np.asarray(table.column("scan_id"))[0])
+        out = {"scan_id": pa.array(scan, pa.int64()), "src": pa.array(np.repeat(ids[:n], m), pa.int64()), "dst": pa.array(ids[who.ravel()[: n * m]], pa.int64())}
+        return pa.table(out | {c: pa.array(v, pa.float64(), from_pandas=True) for c, v in columns.items()})
+
+    rows = points.select(F.col("scan_id").cast("long").alias("scan_id"), F.col("point_id").cast("long").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    return rows.groupBy("scan_id").applyInArrow(run, "scan_id long, src long, dst long, rho_i double, rho_j double, theta double, phi double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 
-def nearest(points: np.ndarray, k: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def nearest(points: np.ndarray, k: int, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest other rows of each row and their distances; ties to the lower row number.
 
     Rows are sorted along the first axis; a block of them looks at a stretch of neighbours that
@@ -29,17 +29,21 @@ def nearest(points: np.ndarray, k: int, block: int = 512) -> tuple[np.ndarray, n
                 d2 += diff * diff
             d2[np.arange(b - a), np.arange(a, b) - lo] = np.inf
             d = np.sqrt(d2)
-            kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+            some = np.argpartition(d, k - 1, axis=1)[:, :k]
+            kth = np.take_along_axis(d, some, 1).max(1)
             left = p[a:b, 0] - (p[lo - 1, 0] if lo else -np.inf)
             right = (p[hi, 0] if hi < n else np.inf) - p[a:b, 0]
             if (kth < np.minimum(left, right)).all() or (lo == 0 and hi == n):
                 break
             reach *= 2
         ids = order[lo:hi]
-        for r in range(b - a):
+        # By row number, then stably by distance.
+        some = np.take_along_axis(some, np.argsort(ids[some], axis=1), 1)
+        some = np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1)
+        for r in np.flatnonzero((d <= kth[:, None]).sum(1) > k).tolist():
             near = np.flatnonzero(d[r] <= kth[r])
-            near = near[np.lexsort((ids[near], d[r, near]))][:k]
-            who[order[a + r]], far[order[a + r]] = ids[near], d[r, near]
+            some[r] = near[np.lexsort((ids[near], d[r, near]))][:k]
+        who[order[a:b]], far[order[a:b]] = ids[some], np.take_along_axis(d, some, 1)
     return who, far
 
 
@@ -77,6 +81,27 @@ def pixel_edges(ids: np.ndarray, row: np.ndarray, col: np.ndarray, p: np.ndarray
     return [*out, (a[once], b[once], d[once])]
 
 
+def invariant(points: np.ndarray, neighbours: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """rho of points (n), rho, theta and phi of their neighbours (n, k); NaN where a direction has no length.
+
+    theta is the angle between both directions from the origin; phi the least angle, seen along the
+    point's direction, to another neighbour.
+    """
+    dot = lambda a, b: a[..., 0] * b[..., 0] + a[..., 1] * b[..., 1] + a[..., 2] * b[..., 2]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        q = points[neighbours]
+        rho_i, rho_j = np.sqrt(dot(points, points)), np.sqrt(dot(q, q))
+        u, v = (points / rho_i[:, None])[:, None], q / rho_j[..., None]
+        theta = np.arccos(np.clip(dot(u, v), -1.0, 1.0))
+        t = q - dot(u, q)[..., None] * u
+        t = t / np.sqrt(dot(t, t))[..., None]
+        c = dot(t[:, :, None], t[:, None, :])
+        angle = np.arctan2(np.sqrt(np.clip(1.0 - c * c, 0.0, 1.0)), c)
+        angle[:, np.arange(q.shape[1]), np.arange(q.shape[1])] = np.nan
+        phi = np.where(np.isnan(angle), np.inf, angle).min(2, initial=np.inf)
+    return rho_i, rho_j, theta, np.where(np.isinf(phi), np.nan, phi)
+
+
 class Forest:
     """Disjoint sets with path halving; every set is named by its least member."""
 
