@@ -266,6 +266,53 @@ def test_caches_forget_without_changing_results():
     assert [m.texts([t])[0] for t in corpus()] == whole
 
 
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """One text beyond every batch and step, an ordinary one, null ids and a repeated id."""
+    rng = random.Random(14)
+    words = ["the", "quick", "naïve", "über", "don't", "中文", "Licence", "42", "x", "brown."]
+    long = " ".join(rng.choices(words, k=1_000_000))
+    assert len(long.encode()) > 5 << 20
+    rows = [(1, long), (2, "short one"), (None, "no id at all here"), (None, None), (3, "same id"), (3, "another text")]
+    return spark.createDataFrame(rows, "doc_id long, text string"), rows
+
+
+def test_very_long_texts_and_null_ids(spark, long_docs, tmp_path):
+    df, rows = long_docs
+    by_text = {t: i for i, t in rows}
+    word, byte = (library_tokenizer(public_tokenizers.path(x)) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    ids = {t: word.encode(t or "", add_special_tokens=False).ids for t in by_text}
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+
+    def check(got, want):
+        assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    check(token_counts.token_counts(df).select("doc_id", "n_tokens").collect(), [(i, len(ids[t])) for i, t in rows])
+    check(segment_bpe.bpe_digest(df).select("doc_id", "ids_sha256").collect(), [(i, sha(" ".join(map(str, ids[t])).encode())) for i, t in rows])
+    check(media.media_digest(media.text_media(df)).select("doc_id", "payload_sha256").collect(), [(i, sha(media.padded((t or "").encode()))) for i, t in rows])
+    files = token_files.token_files(df, f"file://{tmp_path}/long")
+    packed = {t: np.array([*byte.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in by_text}
+    check(files.select("doc_id", "n_tokens", "ids_crc32").collect(), [(i, len(packed[t]), zlib.crc32(packed[t].tobytes())) for i, t in rows])
+    spans = sorted((r.start, r.n_tokens) for r in files.collect())
+    assert [a for a, _ in spans] == np.cumsum([0, *[n for _, n in spans]])[:-1].tolist()
+    check(simhash.fingerprints(df).collect(), [(i, int(np.uint64(simhash.fingerprint(t or "")).astype(np.int64))) for i, t in rows])
+    assert simhash.simhash_components(df).count() == len(rows)
+    assert language_id.language_id(df.withColumn("lang", F.lit("en"))).count() == len(rows)
+    assert license_scan.license_scan(df).count() == 0
+    cut = substring_dedup.substring_dedup(df).select("doc_id", "n_bytes").collect()
+    check(cut, [(i, len((t or "").encode())) for i, t in rows])
+
+
+def test_license_rows_repeat_and_mix_ties_are_settled(spark):
+    text = "Released under the MIT License. " + license_scan.TEMPLATES["MIT-permission"]
+    df = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (None, text, "a"), (None, text, "b")], "doc_id long, text string, source string")
+    got = license_scan.license_scan(df).groupBy("doc_id", "license").count().collect()
+    assert {(r.doc_id, r.license) for r in got} >= {(1, "MIT-permission"), (None, "MIT-permission")} and all(r["count"] == 1 for r in got)
+    taken = [mixing.mix(df.repartition(n)).orderBy("doc_id", "source_size", "taken").collect() for n in (1, 3)]
+    assert taken[0] == taken[1] and len(taken[0]) == 4 and all(r.taken <= 2 * r.size for r in taken[0])
+
+
 def test_token_counts(docs, all_texts, empty):
     tk = library_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     got = ordered(token_counts.token_counts(docs, limit=20))
