@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -518,6 +519,63 @@ def test_pipeline_keeps_columns_and_effects(spark):
     assert abs(words[1] - 1.5 * words[0]) <= 20
 
 
+def test_each_stage_matches_brute_force_on_its_own_input(spark):
+    """Language, copies, repeats, mix and tokens of a small table with odd rows, each judged by plain Python."""
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = [(900001, None, "en", "s", 0), (900002, "", "en", "s", 0), (900003, "12 34", None, None, 5), (900004, "é€𝄞 " * 90, "fr", None, 360), (900005, "x" + "é€𝄞 " * 90, "fr", "s", 361)]
+    docs = C.stored(docs.unionByName(spark.createDataFrame(odd, docs.schema)), "odd")
+    plain = lambda df: sorted(map(tuple, df.select("doc_id", "text").collect()), key=lambda r: (r[0], r[1] or ""))
+
+    kept = C.stored(C.identify_language(spark, docs, ""), "one")
+    told = {r.doc_id: r for r in language_id.predict(docs, language_id.fit(docs)).collect()}
+    assert plain(kept) == [r for r in plain(docs) if told[r[0]].lang_pred != "und" and not told[r[0]].ambiguous]
+
+    single = C.stored(C.near_dedup(spark, docs, ""), "two")
+    rows = plain(docs)
+    fps = [simhash.fingerprint(t or "") for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 2 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    # Rows are in order of id, so the least number of a group is its least id.
+    assert plain(single) == [rows[i] for i in sorted(set(label))]
+
+    cut = C.stored(C.exact_substrings(spark, docs, ""), "three")
+    seen = collections.Counter(hash(t[i : i + 200]) for t in ((t or "").encode() for _, t in rows) for i in range(len(t) - 199))
+    want = []
+    for i, text in rows:
+        t = (text or "").encode()
+        hit = np.zeros(len(t) + 1, int)
+        for a in range(len(t) - 199):
+            if seen[hash(t[a : a + 200])] > 1:
+                hit[a] += 1
+                hit[a + 200] -= 1
+        gone, left, at = np.cumsum(hit) > 0, "", 0
+        for c in text or "":
+            n = len(c.encode())
+            left += "" if gone[at : at + n].all() else c
+            at += n
+        want.append((i, None if text is None else left))
+    assert plain(cut) == want
+
+    taken = {r.doc_id: (r.taken, r.size) for r in mixing.mix(docs).collect()}
+    want = []
+    for i, t in rows:
+        n, size = taken[i]
+        want += [(i, t)] * (n // size if size else 1)
+        if size and n % size:
+            want.append((i, " ".join([w for w in re.split(r"[\x20\x09-\x0D]+", t) if w][: n % size])))
+    assert plain(C.mix_sources(spark, docs, "")) == sorted(want, key=lambda r: (r[0], r[1] or ""))
+
+    tk = library_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    got = {r.doc_id: r.n_tokens for r in C.encode(spark, docs, "").collect()}
+    assert got == {i: len(tk.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+
+
 def test_pipeline_on_an_empty_table(spark):
     import corpus_pipeline as C
 
