@@ -104,3 +104,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = STEP
                 a, size = i, 0
             size += s
         yield batch.slice(a)
+    # A worker outlives its task: what Arrow holds back would add to what the next one needs.
+    pa.default_memory_pool().release_unused()

@@ -33,8 +33,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 _KEEP = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
-#: Bytes counted at a time.
-STEP = 1 << 20
+#: Bytes counted, and rows of counts decoded, at a time.
+STEP, ROWS = 1 << 20, 128
 
 
 def counts(text: str) -> np.ndarray:
@@ -190,8 +190,8 @@ def predict(docs: DataFrame, model: EcocModel, id_col: str = "doc_id", text_col:
             texts = batch.column(1).to_pylist()
             known = [i for i, t in enumerate(texts) if languages and t and _LETTER.search(t)]
             names, scores, doubts = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
-            for a in range(0, len(known), 512):
-                some = known[a : a + 512]
+            for a in range(0, len(known), ROWS):
+                some = known[a : a + ROWS]
                 rows = np.array([counts(texts[i]) for i in some], np.float32)
                 for i, k, s, d in zip(some, *(x.tolist() for x in model.decode(rows))):
                     names[i], scores[i], doubts[i] = languages[k], s, d
@@ -215,8 +215,8 @@ def accepted(docs: DataFrame, model: EcocModel, text_col: str = "text") -> DataF
             texts = batch.column(at).to_pylist()
             known = [i for i, t in enumerate(texts) if model.languages and t and _LETTER.search(t)]
             keep = [False] * len(texts)
-            for a in range(0, len(known), 512):
-                some = known[a : a + 512]
+            for a in range(0, len(known), ROWS):
+                some = known[a : a + ROWS]
                 _, _, doubts = model.decode(np.array([counts(texts[i]) for i in some], np.float32))
                 for i, doubt in zip(some, doubts.tolist()):
                     keep[i] = not doubt

@@ -25,7 +25,9 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Symbols of a word up to which its tree is a row of a matrix; longer words get a tree of their own.
 WIDEST = 64
 #: Pieces that a worker keeps decoded and encoded (about 350 bytes each), and words likewise.
-CACHE_PIECES = 120_000
+CACHE_PIECES = 60_000
+#: Bytes of texts whose pieces are looked up at a time: their values are held besides the cache.
+STEP = 1 << 20
 
 #: Marks that often close a word; any others take the general way.
 MARKS = ".,"
@@ -339,7 +341,7 @@ def bpe_encode(docs: DataFrame, path: Callable[[], str] = _default_path) -> Data
 
     def run(batches):
         bpe = model(path())
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP):
             got = bpe.texts(batch.column(1).to_pylist())
             ids = [np.array(x[1].split(), np.int32) for x in got]
             columns = [batch.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([x[2] for x in got])]
@@ -358,7 +360,7 @@ def bpe_digest(docs: DataFrame, path: Callable[[], str] = _default_path) -> Data
     def run(batches):
         bpe = model(path())
         sha = hashlib.sha256
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP):
             got = bpe.texts(batch.column(1).to_pylist())
             columns = [
                 batch.column(0),
