@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talus.llm.common import documents, slices
+from talus.llm.common import documents, slices, small_batches
 
 #: Bound of the labelled sample: rows of each language, the first in a hashed order of ids.
 SAMPLE_ROWS = 400
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     hashes id and text together, so null and repeated ids are no ties; rows that repeat both take
     places in the order but are learned once.  No row of two languages at least: a model that knows one language, or none.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     order = Window.partitionBy("lang").orderBy("h")
@@ -198,7 +198,7 @@ def predict(docs: DataFrame, model: EcocModel, id_col: str = "doc_id", text_col:
             columns = [batch.column(0), batch.column(2), pa.array(names), pa.array(scores, pa.float64()), pa.array(doubts)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
     return rows.mapInArrow(run, PREDICTED)
 
 
@@ -222,7 +222,7 @@ def accepted(docs: DataFrame, model: EcocModel, text_col: str = "text") -> DataF
                     keep[i] = not doubt
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def language_id(docs: DataFrame, **columns) -> DataFrame:
