@@ -297,6 +297,21 @@ def dart_board(raster: DataFrame, res: float) -> DataFrame:
     return board.withColumn("node_id", (F.col("row") * (1 << 20) + F.col("col")).cast("long")).join(cells, ["scan_id", "node_id"]).drop("node_id")
 
 
+def scanner_circle(raster: DataFrame, half: int) -> DataFrame:
+    """Adds `inside` (1 or 0): empty pixels (`im_acc` 0) connected with the scanner's own (r0, c0), up to `half` pixels around it.
+
+    Where the scanner's pixel holds points there are none.
+    """
+    number = lambda r, c: (F.col(r) * (1 << 20) + F.col(c)).cast("long")
+    empty = raster.where(F.col("im_acc") == 0)
+    zones = G.flat_zones(empty, "im_acc", 0.0, 1 << 20)
+    own = raster.select("scan_id", number("r0", "c0").alias("node_id")).distinct().join(zones, ["scan_id", "node_id"]).select("scan_id", "cc")
+    circle = zones.join(own, ["scan_id", "cc"]).select("scan_id", "node_id", F.lit(1).alias("inside"))
+    near = (F.abs(F.col("row") - F.col("r0")) <= half) & (F.abs(F.col("col") - F.col("c0")) <= half)
+    joined = raster.withColumn("node_id", number("row", "col")).join(circle, ["scan_id", "node_id"], "left").drop("node_id")
+    return joined.withColumn("inside", F.when(near, F.coalesce("inside", F.lit(0))).otherwise(0))
+
+
 def dart_ground(points: DataFrame, cut, res: float = 1.0, res_z: float = 10.0, lam: float = 2.0, delta: float = 0.05, delta_circle: float = 0.5, min_z: float | None = None) -> DataFrame:
     """Ring-and-sector ground detection on the bird's-eye image: adds `ground`.
 
@@ -315,9 +330,7 @@ def dart_ground(points: DataFrame, cut, res: float = 1.0, res_z: float = 10.0, l
     full = R.dense(images.select(*R.PIXEL, "im_min", "im_max", "im_acc"), sizes, im_min=0, im_max=0, im_acc=0)
     box = sizes.select("scan_id", "height", "width", F.floor(-F.col("xmin") * res).cast("long").alias("r0"), F.floor(-F.col("ymin") * res).cast("long").alias("c0"))
     full = cut(full.join(box, "scan_id"))
-    half = round(5.5 * res)
-    window = (F.abs(F.col("row") - F.col("r0")) <= half) & (F.abs(F.col("col") - F.col("c0")) <= half)
-    circle = full.withColumn("inside", (window & (F.col("im_acc") == 0)).cast("int"))
+    circle = scanner_circle(full, int(5.5 * res))
     wide = R.dilate(circle.withColumn("wide", F.col("inside")), "wide", max(1, int(res))).withColumn("around", (F.col("wide") == 1) & (F.col("im_max") > 0))
     least = wide.where(F.col("around")).groupBy("scan_id").agg(F.min("im_max").alias("m"))
     top = F.least(F.lit(255), F.col("m") + int(delta_circle * res_z))

@@ -258,3 +258,26 @@ def test_labels_of_several_sequences_stay_apart(spark, tmp_path):
     assert {(r.sequence, r.label) for r in got.collect()} == {("00", 40), ("01", 41)}
     with pytest.raises(ValueError, match="sequence 01, scan 3"):
         S.labelled_scans(points, labels.where("sequence <> '01' or point_id > 0"))
+
+
+def test_scanner_circle_floods_from_the_scanner(spark):
+    from talus.operators import detection as D
+
+    draw = np.random.default_rng(7)
+    rows, want = [], {}
+    for scan, (r0, c0) in enumerate(((6, 5), (2, 9), (6, 6))):
+        held = draw.random((13, 12)) < 0.35
+        held[r0, c0] = scan == 2
+        seen, todo = set(), [] if held[r0, c0] else [(r0, c0)]
+        while todo:
+            r, c = todo.pop()
+            if (r, c) in seen or not (0 <= r < 13 and 0 <= c < 12) or held[r, c]:
+                continue
+            seen.add((r, c))
+            todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+        for r, c in np.ndindex(13, 12):
+            rows.append((scan, r, c, int(held[r, c]), r0, c0))
+            want[scan, r, c] = int((r, c) in seen and abs(r - r0) <= 4 and abs(c - c0) <= 4)
+    raster = spark.createDataFrame(rows, "scan_id long, row long, col long, im_acc long, r0 long, c0 long")
+    got = D.scanner_circle(raster, 4).collect()
+    assert {(r.scan_id, r.row, r.col): r.inside for r in got} == want
