@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -103,6 +104,15 @@ def by_bytes(texts: list[str], limit: int = STEP_BYTES) -> Iterator[tuple[int, i
         yield a, len(texts)
 
 
+def give_back() -> None:
+    """Return free memory to the system: a worker outlives its task, and what its allocators hold back would add
+    to what the next task needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches by the bytes of one string or binary column, so that peak memory follows bytes, not rows."""
     for batch in batches:
@@ -121,5 +131,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = STEP
                 a, size = i, 0
             size += s
         yield batch.slice(a)
-    # A worker outlives its task: what Arrow holds back would add to what the next one needs.
-    pa.default_memory_pool().release_unused()
+    give_back()

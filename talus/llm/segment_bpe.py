@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm.common import documents, keyed_text, slices
+from talus.llm.common import documents, give_back, keyed_text, slices
 from talus.llm.pieces import Cache, library_tokenizer
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -369,6 +369,10 @@ def bpe_digest(docs: DataFrame, path: Callable[[], str] = _default_path) -> Data
                 pa.array([sha(x[2].encode()).hexdigest() for x in got]),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        # The worker may go on with other operators' tasks.
+        bpe.known.clear()
+        bpe.pieces.clear()
+        give_back()
 
     return keyed_text(docs).mapInArrow(run, SCHEMA)
 

@@ -19,13 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import documents, slices, small_batches, split_join, stored, unused
+from talus.llm.common import documents, give_back, slices, small_batches, split_join, stored, unused
 from talus.llm.suffix_array import repeated_windows
 
 #: Bytes of a string, and of the substrings whose least hash picks its shard: at first, and for groups too large.
 WIDTH, ANCHORS = 200, (64, 136, 176, 192, 200)
 #: Bytes of segments in a shard, about; different segments of a minimizer up to which they are one group.
-SHARD_BYTES, CROWD = 1 << 20, 2000
+SHARD_BYTES, CROWD = 1 << 19, 2000
 #: Window starts hashed at a time.
 STEP = 1 << 17
 
@@ -217,6 +217,7 @@ def _compare(width: int):
         for r, repeated in zip(rows, repeated_windows([r["data"] for r in rows], width)):
             if not r["again"]:
                 out += [(r["uid"], r["start"] + a, r["start"] + b) for a, b in _spans(repeated)]
+        give_back()
         return pa.Table.from_batches([_batch(out, _FOUND_SCHEMA)])
 
     return run
