@@ -16,6 +16,8 @@ def session(name: str = "talus", master: str | None = None, partitions: int | No
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Rows hold whole texts and images: Spark's 10,000 a batch is meant for narrow ones.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     } | conf
     if partitions:
         settings["spark.sql.shuffle.partitions"] = str(partitions)
