@@ -22,26 +22,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Rows of an Arrow batch of texts: some MB of ordinary documents, in the executor's JVM and in the Python worker.
-BATCH_ROWS = 2000
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """The same frame; from now on its session hands at most `BATCH_ROWS` rows at a time to Arrow functions.
-
-    Spark's default of 10,000 rows is meant for narrow rows; texts of that many documents are held
-    twice outside the heap while a batch is built.
-    """
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    rows = int(conf.get(name))
-    if not 0 < rows <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-    return df
-
-
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null: empty), under fixed names, whatever else the table holds."""
-    return small_batches(docs).select(
+    return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
 
@@ -92,6 +75,19 @@ def unused(df: DataFrame, *bases: str) -> list[str]:
     return out
 
 
+def windows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Join record batches up to about `limit` bytes, whatever number of rows a session hands over at a time."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > limit:
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
 def by_bytes(texts: list[str], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs [a, b) of about `limit` characters, at least one text each."""
     a, size = 0, 0

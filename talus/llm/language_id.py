@@ -8,14 +8,13 @@ on the sample, names the language.  A small lead over the second codeword flags
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talus.llm.common import documents, slices, small_batches
+from talus.llm.common import documents, slices
 
 #: Bound of the labelled sample: rows of each language, the first in a hashed order of ids.
 SAMPLE_ROWS = 400
@@ -28,7 +27,6 @@ MARGIN = 0.05
 #: The language of a text that is null or has no letter.
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are kept: letters of ASCII and all bytes of other characters; the rest are blanks.
 _KEEP = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -37,6 +35,11 @@ _KEEP = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 STEP, ROWS = 1 << 20, 128
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; numerals, fractions and marks are none."""
+    return any(map(str.isalpha, text))
+
+
 def counts(text: str) -> np.ndarray:
     """Counts of the hashed byte 1- to 3-grams of the lower-cased text, runs of other bytes as one blank.
 
@@ -136,7 +139,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     hashes id and text together, so null and repeated ids are no ties; rows that repeat both take
     places in the order but are learned once.  No row of two languages at least: a model that knows one language, or none.
     """
-    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     order = Window.partitionBy("lang").orderBy("h")
@@ -188,7 +191,7 @@ def predict(docs: DataFrame, model: EcocModel, id_col: str = "doc_id", text_col:
     def run(batches):
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
-            known = [i for i, t in enumerate(texts) if languages and t and _LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if languages and t and has_letter(t)]
             names, scores, doubts = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
             for a in range(0, len(known), ROWS):
                 some = known[a : a + ROWS]
@@ -198,7 +201,7 @@ def predict(docs: DataFrame, model: EcocModel, id_col: str = "doc_id", text_col:
             columns = [batch.column(0), batch.column(2), pa.array(names), pa.array(scores, pa.float64()), pa.array(doubts)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
     return rows.mapInArrow(run, PREDICTED)
 
 
@@ -213,7 +216,7 @@ def accepted(docs: DataFrame, model: EcocModel, text_col: str = "text") -> DataF
     def run(batches):
         for batch in slices(batches, at):
             texts = batch.column(at).to_pylist()
-            known = [i for i, t in enumerate(texts) if model.languages and t and _LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if model.languages and t and has_letter(t)]
             keep = [False] * len(texts)
             for a in range(0, len(known), ROWS):
                 some = known[a : a + ROWS]
@@ -222,7 +225,7 @@ def accepted(docs: DataFrame, model: EcocModel, text_col: str = "text") -> DataF
                     keep[i] = not doubt
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def language_id(docs: DataFrame, **columns) -> DataFrame:

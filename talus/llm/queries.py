@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("media", "vp_tree", "substring_dedup", "token_files", "segment_bpe", "token_counts", "license_scan", "mixing", "simhash", "language_id")
+MODULES = ("media", "vp_tree", "substring_dedup", "token_files", "segment_bpe", "token_counts", "license_scan", "mixing", "simhash", "language_id", "sentence_pieces", "fill_in_middle", "source_divergence")
 
 
 def queries() -> dict:

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from talus.llm.common import documents, give_back, keyed_text, slices
-from talus.llm.pieces import Cache, library_tokenizer
+from talus.llm.pieces import Cache, byte_symbols, library_tokenizer
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Symbols of a word up to which its tree is a row of a matrix; longer words get a tree of their own.
@@ -35,13 +35,6 @@ MARKS = ".,"
 _INF = np.int64(1) << 60
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte: itself where printable, else from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = iter(range(256, 512))
-    return [chr(b) if b in set(plain) else chr(next(others)) for b in range(256)]
-
-
 class PairTable:
     """Rank and result of every mergeable pair in an open-addressing table, looked up by whole arrays."""
 

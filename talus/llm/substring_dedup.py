@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import documents, give_back, slices, small_batches, split_join, stored, unused
+from talus.llm.common import documents, give_back, slices, split_join, stored, unused
 from talus.llm.suffix_array import repeated_windows
 
 #: Bytes of a string, and of the substrings whose least hash picks its shard: at first, and for groups too large.
@@ -307,7 +307,7 @@ class Repeats:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchors: tuple[int, ...] = ANCHORS, crowd: int = CROWD, shard_bytes: int = SHARD_BYTES):
         if anchors[-1] != width or list(anchors) != sorted(anchors):
             raise ValueError("anchors grow up to the width, where no group has two segments")
-        self.docs = _identified(small_batches(docs), id_col, text_col)
+        self.docs = _identified(docs, id_col, text_col)
         self.width = width
         cut = stored(self.docs.select("uid", "doc_id", "text").mapInArrow(_cut(width, anchors[0]), RUNS), "repeats-runs")
         #: One narrow row a document: size and digest of its whole text.

@@ -8,8 +8,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm.common import documents, keyed_text, slices
-from talus.llm.pieces import WordCounter
+from talus.llm.common import documents, keyed_text, slices, windows
+from talus.llm.pieces import WINDOW, WordCounter
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: A text with more tokens than this is over the limit.
@@ -42,7 +42,7 @@ def token_counts(docs: DataFrame, path: Callable[[], str] = _default_path, limit
 
     def run(batches):
         count = counter(path())
-        for batch in slices(batches):
+        for batch in slices(windows(batches, WINDOW), limit=WINDOW):
             texts = batch.column(1).to_pylist()
             n = count.counts(texts)
             yield pa.RecordBatch.from_arrays(

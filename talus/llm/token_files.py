@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talus.llm.common import documents, keyed_text, shared_folder, slices, stored
-from talus.llm.pieces import ByteEncoder
+from talus.llm.common import documents, keyed_text, shared_folder, slices, stored, windows
+from talus.llm.pieces import WINDOW, ByteEncoder
 
 #: Ids in a row, and rows in a batch (4 MB of 16-bit ids).
 LENGTH, ROWS = 2048, 1024
@@ -169,7 +169,7 @@ def write_token_files(
         name = f"ids-{part:06d}-{uuid.uuid4().hex}.arrow"
         sink = writer = None
         try:
-            for batch in slices(batches):
+            for batch in slices(windows(batches, WINDOW), limit=WINDOW):
                 if writer is None:
                     sink = fs.open_output_stream(f"{top}/.{name}")
                     writer = SequenceWriter(sink, kind, length, rows)
