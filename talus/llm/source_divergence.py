@@ -25,6 +25,8 @@ MIN_DOCS, TOP_TERMS = 3, 200
 UNIT = 1_000_000_000
 #: Kept terms of a vocabulary chunk, chunks of a span, and sources of a block, on average.
 CHUNK, SPAN, BLOCK = 4096, 8, 32
+#: Languages up to which their table is sent to all tasks, so that no language's terms meet in one.
+FEW = 10_000
 #: Distinct (group, term) entries that a counting task holds before it hands them on.
 HELD = 200_000
 
@@ -109,15 +111,16 @@ class Audit:
         sizes = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all_n").alias("all_total"))
         zero = F.lit(0).cast("long")
         langs = langs.join(sizes, "lang", "left").select("lang", "n_groups", F.coalesce("kept", zero).alias("kept"), F.coalesce("all_total", zero).alias("all_total"))
+        self.langs = stored(langs, "languages")
+        langs = F.broadcast(self.langs) if self.langs.count() <= FEW else self.langs
         # Terms are dealt to chunks by hash and numbered inside a chunk, whose size hashing bounds.
         chunked = kept.join(langs.select("lang", "kept"), "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / chunk)).cast("int"))
         numbered = chunked.select("lang", "term", "all_n", "chunk", (F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1).alias("pos"))
-        self.langs = stored(langs, "languages")
         self.terms = stored(numbered, "vocabulary")
         self.counts = stored(counts.where("term is not null").drop("docs").join(self.terms, ["lang", "term"]), "kept-counts")
         totals = self.counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
         self.groups = stored(
-            occurring.join(totals, ["lang", "source"], "left").join(self.langs, "lang").withColumn("total", F.coalesce("total", zero)), "groups"
+            occurring.join(totals, ["lang", "source"], "left").join(langs, "lang").withColumn("total", F.coalesce("total", zero)), "groups"
         )
 
     def top_terms(self, top: int = TOP_TERMS) -> DataFrame:
