@@ -14,10 +14,10 @@ import re
 import numpy as np
 import tiktoken
 
-#: Pieces that a worker keeps (about 150 bytes each); those not asked for of late are encoded again when they return.
+#: Pieces that a worker keeps of one kind (about 200 bytes each), and twice as many where ids are kept; those not asked for of late are encoded again when they return.
 CACHE_PIECES = 300_000
 #: Bytes of texts whose pieces are learned together, whatever Arrow batches they come in.
-WINDOW = 12 << 20
+WINDOW = 8 << 20
 
 
 def library_tokenizer(path: str):
@@ -131,13 +131,18 @@ def rank_encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}), sorted(added)
 
 
+#: White space of a text that is not cut by a plain split: other than blank and line feed, in rows, or at the ends.
+_ODD = re.compile(r"[^\S \n]|[ \n] | \n|\n\n\n|\A\s|\s\Z")
+
+
 class ByteEncoder:
     """Ids under a byte-level BPE whose words may begin with one blank.
 
     A single blank or line feed between two non-blank characters is a safe boundary: the blank
-    opens the next word and the line feed is a word of its own, whatever surrounds them.  New words
-    of plain characters go many at a time, parted by line feeds, to an encoder of the same ranks,
-    which takes a third of the library's time; all others go to the library.
+    opens the next word and the line feed is a word of its own, whatever surrounds them; of two line
+    feeds each is a word.  A piece is a word that follows a blank, or a line feed with what follows it.
+    New words of plain characters go many at a time, parted by line feeds, to an encoder of the same
+    ranks, which takes a third of the library's time; all others go to the library.
     """
 
     def __init__(self, path: str, dtype: str = "<u4"):
@@ -146,8 +151,7 @@ class ByteEncoder:
         self.feed = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, self.dtype)
         fast = rank_encoder(path) if len(self.feed) == 1 else None
         self.ranks, self.special = fast or (None, [])
-        self.first = Cache(lambda words: self._words(words, ""))
-        self.inner = Cache(lambda words: self._words(words, " "))
+        self.pieces = Cache(self._pieces, 2 * CACHE_PIECES)
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -170,33 +174,43 @@ class ByteEncoder:
         got.update(zip(others, self._ids([before + w for w in others])))
         return [got[w] for w in words]
 
-    @staticmethod
-    def _lines(text: str) -> list[list[str]]:
-        if " ".join(text.split()) == text.replace("\n", " "):
-            return [line.split(" ") for line in text.split("\n")]
-        return [_SAFE_BLANK.split(text)]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        feed = self.feed.tobytes()
+        heads = [p[1:] for p in pieces if p[0] == "\n" and len(p) > 1]
+        others = [p for p in pieces if p[0] != "\n"]
+        got = {"\n" + w: feed + x for w, x in zip(heads, self._words(heads, ""))}
+        got.update(zip(others, self._words(others, " ")))
+        got["\n"] = feed
+        return [got[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed integers."""
-        heads: set[str] = set()
-        others: set[str] = set()
-        # Texts are cut twice rather than held in pieces, as in `WordCounter`.
-        for t in texts:
-            for line in self._lines(t):
-                heads.add(line[0])
-                others.update(line[1:])
-        self.first.learn(heads)
-        self.inner.learn(others)
-        first, inner, feed = self.first.__getitem__, self.inner.__getitem__, self.feed.tobytes()
-        out = []
+        known, size = self.pieces, self.feed.nbytes
+        out: list[bytes] = []
+        # Texts that hold new pieces wait for them: number, pieces, what is known of them, first piece if odd.
+        waiting: list[tuple[int, list[str], list[bytes | None], str | None]] = []
+        new: set[str] = set()
         for t in texts:
-            parts: list[bytes] = []
-            for k, line in enumerate(self._lines(t)):
-                if k:
-                    parts.append(feed)
-                parts.append(first(line[0]))
-                parts.extend(map(inner, line[1:]))
-            out.append(b"".join(parts))
-        self.first.trim()
-        self.inner.trim()
+            first = None
+            if not t:
+                out.append(b"")
+                continue
+            if _ODD.search(t):
+                first, *keys = _SAFE_BLANK.split(t)
+            else:
+                # As if it followed a line feed, whose id is dropped again.
+                keys = ("\n" + t).replace("\n", " \n").split(" ")[1:]
+            got = list(map(known.get, keys))
+            if first is None and None not in got:
+                out.append(b"".join(got)[size:])
+                continue
+            new.update([k for k, x in zip(keys, got) if x is None])
+            waiting.append((len(out), keys, got, first))
+            out.append(b"")
+        known.learn(new)
+        heads = iter(self._ids([w[3] for w in waiting if w[3] is not None]))
+        for n, keys, got, first in waiting:
+            packed = b"".join([known[k] if x is None else x for k, x in zip(keys, got)])
+            out[n] = packed[size:] if first is None else next(heads) + packed
+        known.trim()
         return out
