@@ -10,10 +10,13 @@ import gc
 import json
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import tiktoken
 
+from talus.llm.common import by_bytes
+
 #: Pieces that a worker keeps of one kind (about 200 bytes each), and twice as many where ids are kept; those not asked for of late are encoded again when they return.
 CACHE_PIECES = 300_000
 #: Bytes of texts whose pieces are learned together, whatever Arrow batches they come in.
@@ -131,8 +134,17 @@ def rank_encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}), sorted(added)
 
 
-#: White space of a text that is not cut by a plain split: other than blank and line feed, in rows, or at the ends.
-_ODD = re.compile(r"[^\S \n]|[ \n] | \n|\n\n\n|\A\s|\s\Z")
+#: White space other than blank and line feed (fixed values).
+_OTHER = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Runs of white space that a plain split would not keep.
+_RUNS = ("  ", " \n", "\n ", "\n\n\n")
+#: Characters of texts whose pieces are looked up before what is new among them is learned.
+_STEP = 1 << 18
+
+
+def odd(text: str) -> bool:
+    """Whether a text's white space is more than single blanks, and one or two line feeds, between other characters."""
+    return text[0].isspace() or text[-1].isspace() or any(r in text for r in _RUNS) or _OTHER.search(text) is not None
 
 
 class ByteEncoder:
@@ -185,32 +197,42 @@ class ByteEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed integers."""
+        return [x for a, b in by_bytes(texts, _STEP) for x in self._encode(texts[a:b])]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         known, size = self.pieces, self.feed.nbytes
         out: list[bytes] = []
-        # Texts that hold new pieces wait for them: number, pieces, what is known of them, first piece if odd.
-        waiting: list[tuple[int, list[str], list[bytes | None], str | None]] = []
+        # Texts that hold new pieces wait for them: number, ids by piece, places of new ones, first piece if odd.
+        waiting: list[tuple[int, list[bytes], list[tuple[int, str]], str | None]] = []
         new: set[str] = set()
         for t in texts:
             first = None
             if not t:
                 out.append(b"")
                 continue
-            if _ODD.search(t):
+            if odd(t):
                 first, *keys = _SAFE_BLANK.split(t)
             else:
                 # As if it followed a line feed, whose id is dropped again.
                 keys = ("\n" + t).replace("\n", " \n").split(" ")[1:]
-            got = list(map(known.get, keys))
-            if first is None and None not in got:
+            # Every piece has an id, so nothing stands for what is new.
+            got = list(map(known.get, keys, repeat(b"")))
+            places, at = [], -1
+            for _ in range(got.count(b"")):
+                at = got.index(b"", at + 1)
+                places.append((at, keys[at]))
+                new.add(keys[at])
+            if first is None and not places:
                 out.append(b"".join(got)[size:])
                 continue
-            new.update([k for k, x in zip(keys, got) if x is None])
-            waiting.append((len(out), keys, got, first))
+            waiting.append((len(out), got, places, first))
             out.append(b"")
         known.learn(new)
         heads = iter(self._ids([w[3] for w in waiting if w[3] is not None]))
-        for n, keys, got, first in waiting:
-            packed = b"".join([known[k] if x is None else x for k, x in zip(keys, got)])
+        for n, got, places, first in waiting:
+            for at, piece in places:
+                got[at] = known[piece]
+            packed = b"".join(got)
             out[n] = packed[size:] if first is None else next(heads) + packed
         known.trim()
         return out
