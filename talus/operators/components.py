@@ -1,6 +1,6 @@
-"""Connected components of a global graph by alternating large and small stars.
+"""Components and spanning forests of graphs that span many tasks.
 
-Both steps relink every node to the least id that it sees; a round costs a few
+Components come from alternating large and small stars.  Both steps relink every node to the least id that it sees; a round costs a few
 shuffles of the remaining edges and the rounds grow with the logarithm of the
 component size.  Edges are aggregated to one minimum per node before anything
 is joined, so a node of very many neighbours costs no more than its rows.
@@ -50,3 +50,46 @@ def star_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], mos
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(
         "node", F.coalesce("root", "node").alias("component")
     )
+
+
+def _contracted(chosen: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`node, root` of every node of `chosen(c, p)`, where each node c points to p and two may point to each other.
+
+    Of such a pair the lower one becomes the root; every node then points to where its target points,
+    which halves its way in each round.
+    """
+    back = chosen.select(F.col("c").alias("p"), F.col("p").alias("c"), F.lit(True).alias("mutual"))
+    target = F.when(F.col("mutual") & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p"))
+    now = cut(chosen.join(back, ["c", "p"], "left").select("c", target.alias("p")))
+    while True:
+        ahead = now.select(F.col("c").alias("p"), F.col("p").alias("q"))
+        after = cut(now.join(ahead, "p").select("c", "p", "q"))
+        if not after.where("p <> q").limit(1).count():
+            return after.select(F.col("c").alias("node"), F.col("q").alias("root"))
+        now = after.select("c", F.col("q").alias("p"))
+
+
+def global_spanning_forest(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`u, v, w` (u < v) of the minimum spanning forest of one graph that spans many tasks.
+
+    Ids are integers; of equal weights the edge of the lower ends goes first, so the forest is the one
+    that takes edges by weight and ends.  Each round every component picks its least outward edge by
+    one aggregate, the picks join the forest, components are contracted, and of parallel edges the least
+    stays; the number of components at least halves.  Loops, repeated edges and edges of null weight
+    are harmless, a node without an edge is in no row, an empty input gives none.
+    """
+    ends = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    plain = edges.where((F.col("u") != F.col("v")) & F.col("w").isNotNull()).select(*ends, "w")
+    now = cut(plain.groupBy("u", "v").agg(F.min("w").alias("w")).select(F.col("u").alias("a"), F.col("v").alias("b"), F.struct("w", "u", "v").alias("e")))
+    forest = None
+    while now.limit(1).count():
+        both = now.select(F.col("a").alias("c"), F.col("b").alias("p"), "e").unionByName(now.select(F.col("b").alias("c"), F.col("a").alias("p"), "e"))
+        picked = cut(both.groupBy("c").agg(F.min(F.struct("e", "p")).alias("least")).select("c", "least.p", "least.e"))
+        # Both ends may have picked one edge; no other edge is picked twice.
+        won = picked.select("e.u", "e.v", "e.w").distinct()
+        forest = won if forest is None else forest.unionByName(won)
+        roots = _contracted(picked.select("c", "p"), cut)
+        a = now.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+        ab = a.join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
+        now = cut(ab.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min("e").alias("e")))
+    return plain.limit(0) if forest is None else forest

@@ -263,22 +263,6 @@ def histogram_floor(points: DataFrame, step: float, more_than: int = 100) -> Dat
 SCANNER_HEIGHT, LINES, SPAN = 1.73, 64, 26.9
 
 
-def dart_cells(raster: DataFrame, centre_row: int, centre_col: int, res: float, size: int) -> DataFrame:
-    """Adds ring (by the ground distance of the scan lines) and sector (by degree) of every pixel around the scanner."""
-    import math
-
-    radii = [abs(round(SCANNER_HEIGHT * math.tan(math.radians(90 + k * SPAN / LINES)) * res)) for k in range(1, LINES + 1)]
-    radii = [min(r, size) for r in radii]
-    first = next((k for k, r in enumerate(radii) if r < size), len(radii))
-    dr, dc = (F.col("row") - centre_row).cast("double"), (F.col("col") - centre_col).cast("double")
-    r = F.sqrt(dr * dr + dc * dc)
-    ring = F.lit(LINES + 1)
-    for k in range(LINES - 1, first - 1, -1):
-        ring = F.when(F.lit(radii[k]) < r, F.lit(k + 1)).otherwise(ring)
-    sector = F.floor(F.lit(180.0) + F.lit(180.0) * F.atan2(dr, dc) / F.lit(2 * math.pi) + 0.5).cast("int")
-    return raster.withColumn("ring", ring).withColumn("sector", sector)
-
-
 def dart_board(raster: DataFrame, res: float) -> DataFrame:
     """Adds ring, sector and `cell` (a zone of one ring and sector) of every pixel of images with r0, c0, height and width.
 
@@ -297,14 +281,14 @@ def dart_board(raster: DataFrame, res: float) -> DataFrame:
     return board.withColumn("node_id", (F.col("row") * (1 << 20) + F.col("col")).cast("long")).join(cells, ["scan_id", "node_id"]).drop("node_id")
 
 
-def scanner_circle(raster: DataFrame, half: int) -> DataFrame:
+def scanner_circle(raster: DataFrame, half: int, neighbours: int = 6) -> DataFrame:
     """Adds `inside` (1 or 0): empty pixels (`im_acc` 0) connected with the scanner's own (r0, c0), up to `half` pixels around it.
 
     Where the scanner's pixel holds points there are none.
     """
     number = lambda r, c: (F.col(r) * (1 << 20) + F.col(c)).cast("long")
     empty = raster.where(F.col("im_acc") == 0)
-    zones = G.flat_zones(empty, "im_acc", 0.0, 1 << 20)
+    zones = G.flat_zones(empty, "im_acc", 0.0, 1 << 20, neighbours)
     own = raster.select("scan_id", number("r0", "c0").alias("node_id")).distinct().join(zones, ["scan_id", "node_id"]).select("scan_id", "cc")
     circle = zones.join(own, ["scan_id", "cc"]).select("scan_id", "node_id", F.lit(1).alias("inside"))
     near = (F.abs(F.col("row") - F.col("r0")) <= half) & (F.abs(F.col("col") - F.col("c0")) <= half)
@@ -312,26 +296,36 @@ def scanner_circle(raster: DataFrame, half: int) -> DataFrame:
     return joined.withColumn("inside", F.when(near, F.coalesce("inside", F.lit(0))).otherwise(0))
 
 
-def dart_ground(points: DataFrame, cut, res: float = 1.0, res_z: float = 10.0, lam: float = 2.0, delta: float = 0.05, delta_circle: float = 0.5, min_z: float | None = None) -> DataFrame:
+def dart_ground(
+    points: DataFrame, cut, res: float = 1.0, res_z: float = 10.0, lam: float = 2.0, delta: float = 0.05, delta_circle: float = 0.5,
+    min_z: float | None = None, neighbours: int = 6,
+) -> DataFrame:
     """Ring-and-sector ground detection on the bird's-eye image: adds `ground`.
 
-    Seeds are low pixels around the empty circle of the scanner, at more than one pixel a metre opened
-    by 2 x 2 pixels; every cell of `dart_board` gives a lowest height, flat zones that hold a seed are
-    ground, and zones of the lowest levels extend it.
-    Squares of pixels stand for the hexagonal elements of other libraries.  `cut` materialises the
-    images between the steps where all executors can read them.
+    Levels count from each scan's `histogram_floor` (its lowest point where no bin of 0.2 m has enough
+    points), or from `min_z` for all scans.  Seeds are low pixels around the empty circle of the scanner,
+    at more than one pixel a metre opened by 2 x 2 pixels; every cell of `dart_board` gives a lowest height,
+    flat zones that hold a seed are ground, and zones of the lowest levels extend it.  Elements and zones
+    are hexagonal with 6 `neighbours`, square with 8.  `cut` materialises the images between the steps
+    where all executors can read them.
     """
     if min_z is None:
-        raise ValueError("min_z is needed: take it from histogram_floor")
-    px = P.linear_pixels(points, res, res)
-    floor_z = min_z
+        lowest = points.groupBy("scan_id").agg(F.min("z").alias("__lowest")).join(histogram_floor(points, 0.2), "scan_id", "left")
+        floors = lowest.select("scan_id", F.coalesce("min_z", "__lowest").alias("__floor"))
+        based = points.join(floors, "scan_id")
+    else:
+        based = points.withColumn("__floor", F.lit(float(min_z)))
+    px, floor_z = P.linear_pixels(based, res, res), F.col("__floor")
     images = R.height_images(px, floor_z, res_z)
     sizes = P.bounding_box(points, res, res)
     full = R.dense(images.select(*R.PIXEL, "im_min", "im_max", "im_acc"), sizes, im_min=0, im_max=0, im_acc=0)
     box = sizes.select("scan_id", "height", "width", F.floor(-F.col("xmin") * res).cast("long").alias("r0"), F.floor(-F.col("ymin") * res).cast("long").alias("c0"))
     full = cut(full.join(box, "scan_id"))
-    circle = scanner_circle(full, int(5.5 * res))
-    wide = R.dilate(circle.withColumn("wide", F.col("inside")), "wide", max(1, int(res))).withColumn("around", (F.col("wide") == 1) & (F.col("im_max") > 0))
+    circle = scanner_circle(full, int(5.5 * res), neighbours)
+    around = circle.withColumn("wide", F.col("inside"))
+    reach = max(1, int(res))
+    wide = R.filter_hexagon(around, "wide", "max", reach) if neighbours == 6 else R.dilate(around, "wide", reach)
+    wide = wide.withColumn("around", (F.col("wide") == 1) & (F.col("im_max") > 0))
     least = wide.where(F.col("around")).groupBy("scan_id").agg(F.min("im_max").alias("m"))
     top = F.least(F.lit(255), F.col("m") + int(delta_circle * res_z))
     low = F.col("around") & (F.col("im_max") <= top) & (F.col("im_max") - F.col("im_min") <= round(0.3 * res_z))
@@ -346,12 +340,12 @@ def dart_ground(points: DataFrame, cut, res: float = 1.0, res_z: float = 10.0, l
     full = full.withColumn("obj", F.when(F.col("im_acc") > 0, F.col("im_max") - F.col("cell_min")).otherwise(0))
     full = cut(full)
     number = lambda: (F.col("row") * (1 << 20) + F.col("col")).cast("long")
-    zones = G.flat_zones(full, "filled", lam, 1 << 20).withColumnRenamed("cc", "zone")
+    zones = G.flat_zones(full, "filled", lam, 1 << 20, neighbours).withColumnRenamed("cc", "zone")
     at = full.withColumn("node_id", number()).join(zones, ["scan_id", "node_id"]).join(seeds, R.PIXEL, "left")
     good = at.where(F.col("seed")).select("scan_id", "zone").distinct().withColumn("hit", F.lit(True))
     base = at.join(good, ["scan_id", "zone"], "left").withColumn("base", F.coalesce("hit", F.lit(False)) & (F.col("obj") <= 3) & (F.col("im_acc") > 0))
     base = cut(base)
-    low_zones = G.flat_zones(base.where(F.col("im_acc") > 0), "im_min", 1.0, 1 << 20).withColumnRenamed("cc", "low_zone")
+    low_zones = G.flat_zones(base.where(F.col("im_acc") > 0), "im_min", 1.0, 1 << 20, neighbours).withColumnRenamed("cc", "low_zone")
     both = base.join(low_zones, ["scan_id", "node_id"], "left")
     reach = both.where(F.col("base")).select("scan_id", "low_zone").distinct().withColumn("near", F.lit(True))
     ground = both.join(reach, ["scan_id", "low_zone"], "left").where(F.col("im_acc") > 0)

@@ -10,19 +10,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.functions.geometry import distance, logistic
+from talus.functions.geometry import logistic
 from talus.operators import kernels
 
 EDGE = ["scan_id", "src", "dst"]
+#: Distances of each row of one array to each row of another.
+Metric = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 # ---- nearest neighbours --------------------------------------------------------------------------
 
 
-def knn(points: DataFrame, k: int, coords=("x", "y", "z"), group: str = "scan_id", node: str = "point_id", loop: bool = False) -> DataFrame:
+def knn(points: DataFrame, k: int, coords=("x", "y", "z"), group: str = "scan_id", node: str = "point_id", loop: bool = False, metric: Metric | None = None) -> DataFrame:
     """`group, src, dst, d, rank`: the k nearest others of every point in its group, ties to the lower id.
 
-    One task works on one group (a scan), with a sweep along the first axis instead of all pairs.
-    With `loop` the point itself counts as one of the k, at distance 0.
+    One task works on one group (a scan), with a sweep along the first axis instead of all pairs; groups of
+    any size are for `talus.operators.cells`.
+    With `loop` the point itself counts as one of the k, at distance 0.  Another `metric` than the
+    Euclidean takes a block of points and all of them and returns their distances, all pairs by blocks.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -30,7 +34,7 @@ def knn(points: DataFrame, k: int, coords=("x", "y", "z"), group: str = "scan_id
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         p = np.stack([np.asarray(table.column(f"c{i}")) for i in range(len(coords))], axis=1)[order]
-        who, far = kernels.nearest(p, k)
+        who, far = kernels.nearest(p, k) if metric is None else kernels.nearest_by(p, k, metric)
         if loop:
             who = np.concatenate([np.arange(len(p))[:, None], who], axis=1)
             far = np.concatenate([np.zeros((len(p), 1)), far], axis=1)
@@ -53,21 +57,6 @@ def knn(points: DataFrame, k: int, coords=("x", "y", "z"), group: str = "scan_id
     return out.withColumnRenamed("grp", group)
 
 
-def knn_window(points: DataFrame, k: int, coords=("x", "y", "z"), group: str = "scan_id", node: str = "point_id", loop: bool = False, metric: Column | None = None) -> DataFrame:
-    """The same by a join inside small groups and a ranked window; also for other metrics and with the point itself.
-
-    For groups of some thousand points at most: the pairs of a group are formed.
-    """
-    a = points.select(group, F.col(node).alias("src"), *[F.col(c).alias(f"a_{c}") for c in coords])
-    b = points.select(group, F.col(node).alias("dst"), *[F.col(c).alias(f"b_{c}") for c in coords])
-    d = metric if metric is not None else distance([F.col(f"a_{c}") for c in coords], [F.col(f"b_{c}") for c in coords])
-    pairs = a.join(b, group)
-    if not loop:
-        pairs = pairs.where(F.col("src") != F.col("dst"))
-    order = Window.partitionBy(group, "src").orderBy("d", "dst")
-    return pairs.select(group, "src", "dst", d.alias("d")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
-
-
 def symmetric(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, with the larger weight where both were there."""
     back = edges.select("scan_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
@@ -345,8 +334,13 @@ def connect_components(labelled: DataFrame, k: int = 3, around: int = 30, longes
 # ---- image graphs --------------------------------------------------------------------------------
 
 
-def image_graph(raster: DataFrame, channels: list[str], width: int | None = None, metric: Callable[[list[Column], list[Column]], Column] | None = None, mask: str | None = None) -> DataFrame:
-    """Edges of 4-neighbours (scan_id, row, col, row2, col2, w), weight the greatest channel difference plus 1e-10.
+#: Half of each neighbourhood: rows down, columns on from an even row, and from an odd one.  Of six neighbours, odd
+#: rows lie half a pixel to the right.
+STEPS = {4: [(0, 1, 1), (1, 0, 0)], 6: [(0, 1, 1), (1, -1, 0), (1, 0, 1)], 8: [(0, 1, 1), (1, -1, -1), (1, 0, 0), (1, 1, 1)]}
+
+
+def image_graph(raster: DataFrame, channels: list[str], width: int | None = None, metric: Callable[[list[Column], list[Column]], Column] | None = None, mask: str | None = None, neighbours: int = 4) -> DataFrame:
+    """Edges of 4-, 6- or 8-neighbours (scan_id, row, col, row2, col2, w), weight the greatest channel difference plus 1e-10.
 
     With `width` the image wraps around its columns.  `metric` gives another weight from the channels
     of both pixels; `mask`, a boolean column, keeps edges between its pixels.
@@ -355,9 +349,11 @@ def image_graph(raster: DataFrame, channels: list[str], width: int | None = None
         raster = raster.where(mask)
     a = raster.select("scan_id", "row", "col", *[F.col(c).alias(f"a_{c}") for c in channels])
     b = raster.select("scan_id", F.col("row").alias("row2"), F.col("col").alias("col2"), *[F.col(c).alias(f"b_{c}") for c in channels])
-    beside = F.col("col") + 1 if width is None else F.pmod(F.col("col") + 1, F.lit(width))
-    steps = F.array(F.struct(F.col("row").alias("row2"), beside.alias("col2")), F.struct((F.col("row") + 1).alias("row2"), F.col("col").alias("col2")))
-    moved = a.withColumn("n", F.explode(steps)).select("*", "n.row2", "n.col2").drop("n")
+    ends = []
+    for down, even, odd in STEPS[neighbours]:
+        col = F.col("col") + (F.lit(even) if even == odd else F.when(F.col("row") % 2 == 0, even).otherwise(odd))
+        ends.append(F.struct((F.col("row") + down).alias("row2"), (col if width is None else F.pmod(col, F.lit(width))).alias("col2")))
+    moved = a.withColumn("n", F.explode(F.array(*ends))).select("*", "n.row2", "n.col2").drop("n")
     joined = moved.join(b, ["scan_id", "row2", "col2"])
     if metric is None:
         w = [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in channels]
@@ -388,6 +384,6 @@ def pixel_components(edges: DataFrame, pixels: DataFrame, width: int) -> DataFra
     return connected_components(flat, pixels.select("scan_id", number("row", "col").alias("node_id")).distinct())
 
 
-def flat_zones(raster: DataFrame, value: str, lam: float, width: int) -> DataFrame:
-    """λ-flat zones: components of 4-neighbours that differ by at most `lam`."""
-    return pixel_components(image_graph(raster, [value]).where(F.col("w") <= lam + 1e-10), raster, width)
+def flat_zones(raster: DataFrame, value: str, lam: float, width: int, neighbours: int = 4) -> DataFrame:
+    """λ-flat zones: components of neighbours that differ by at most `lam`."""
+    return pixel_components(image_graph(raster, [value], neighbours=neighbours).where(F.col("w") <= lam + 1e-10), raster, width)

@@ -47,6 +47,61 @@ def nearest(points: np.ndarray, k: int, block: int = 128) -> tuple[np.ndarray, n
     return who, far
 
 
+def nearest_by(points: np.ndarray, k: int, metric, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """As `nearest`, under any metric: `metric(a, b)` gives the distances of each row of a to each row of b."""
+    n = len(points)
+    k = min(k, n - 1)
+    who, far = np.empty((n, max(k, 0)), np.int64), np.empty((n, max(k, 0)))
+    for a in range(0, n if k > 0 else 0, block):
+        d = np.array(metric(points[a : a + block], points), np.float64)
+        rows = np.arange(len(d))
+        d[rows, rows + a] = np.inf
+        who[a : a + block] = np.argsort(d, axis=1, kind="stable")[:, :k]
+        far[a : a + block] = np.take_along_axis(d, who[a : a + block], 1)
+    return who, far
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """1 minus the cosine of the angle; a vector without length is at distance 1 from all."""
+    length = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
+    dot = np.zeros(length.shape)
+    for axis in range(a.shape[1]):
+        dot += a[:, None, axis] * b[None, :, axis]
+    return 1.0 - np.where(length > 0, dot / np.where(length > 0, length, 1.0), 0.0)
+
+
+def nearest_of(q: np.ndarray, who: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id and distance of the k rows of `p` nearest to each row of `q`, by row and distance, ties to the lower id.
+
+    `who` are the ids of `q`: a row is no neighbour of itself; nothing beyond a row's `bound` is returned.
+    """
+    order = np.argsort(ids, kind="stable")
+    p, ids = p[order], ids[order]
+    rows, found, fars = [np.empty(0, np.int64)], [np.empty(0, ids.dtype)], [np.empty(0)]
+    own = np.searchsorted(ids, who)
+    for a in range(0, len(q) if len(p) else 0, block):
+        b = min(len(q), a + block)
+        d = np.zeros((b - a, len(p)))
+        for axis in range(p.shape[1]):
+            diff = q[a:b, None, axis] - p[None, :, axis]
+            d += diff * diff
+        np.sqrt(d, out=d)
+        at = np.minimum(own[a:b], len(p) - 1)
+        self = np.flatnonzero(ids[at] == who[a:b])
+        d[self, at[self]] = np.inf
+        last = min(k, len(p)) - 1
+        limit = np.minimum(np.partition(d, last, axis=1)[:, last], bound[a:b])
+        r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        far = d[r, c]
+        near = np.lexsort((c, far, r))
+        r, c, far = r[near], c[near], far[near]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        rows.append(r[keep] + a)
+        found.append(ids[c[keep]])
+        fars.append(far[keep])
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(fars)
+
+
 def pixel_edges(ids: np.ndarray, row: np.ndarray, col: np.ndarray, p: np.ndarray, width: int, far: float, near: float, same: float, dz: float, steps: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of point numbers with their distances, of neighbouring pixels of one range image: below, to the right, inside."""
     pixel = row * width + col

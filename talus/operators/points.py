@@ -133,20 +133,33 @@ def scan_layers(points: DataFrame, max_layers: int = 64, window: int = 20) -> Da
     """Adds `layer`: scan lines found by the sign changes of the smoothed angle, numbered from the end.
 
     The angle is opened (minimum, then maximum) over `window` rows in file order; every change
-    from negative to not negative starts a line.  A window over one scan is a window over the rows of one file.
+    from negative to not negative starts a line.  Where a scan has fewer than `max_layers` lines, but
+    more than one, what precedes its first change is split again wherever the opened angle falls, into
+    as many lines as are lacking: the first ends at the first fall, each other starts at one from the
+    second on, the last takes the rest.  What belongs to no line, between the first two falls or beyond
+    the only one, has layer 0.  A window over one scan is a window over the rows of one file.
     """
     order = Window.partitionBy("scan_id").orderBy("point_id")
+    whole = Window.partitionBy("scan_id")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
     half = window // 2
     low = order.rowsBetween(-half, window - half - 1)
     high = order.rowsBetween(-(window - half - 1), half)
     rows = points.withColumn("__low", F.min(F.atan2("y", "x")).over(low))
-    rows = rows.withColumn("__up", (F.max("__low").over(high) >= 0).cast("int"))
-    rows = rows.withColumn("__start", ((F.col("__up") == 1) & (F.lag("__up", 1, 1).over(order) == 0)).cast("long"))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("scan_id")
-    rows = rows.withColumn("__line", F.sum("__start").over(running))
-    layer = F.lit(max_layers - 1) - (F.sum("__start").over(whole) - F.col("__line"))
-    return rows.withColumn("layer", layer.cast("long")).drop("__low", "__up", "__start", "__line")
+    rows = rows.withColumn("__open", F.max("__low").over(high))
+    rows = rows.withColumn("__start", ((F.col("__open") >= 0) & (F.lag(F.col("__open") >= 0, 1, True).over(order) == F.lit(False))).cast("long"))
+    rows = rows.withColumn("__line", F.sum("__start").over(running)).withColumn("__last", F.sum("__start").over(whole))
+    # Falls of the angle before the first change; the row before a fall counts as its place.
+    falls = (F.col("__line") == 0) & (F.lead("__line").over(order) == 0) & (F.lead("__open").over(order) < F.col("__open"))
+    rows = rows.withColumn("__fall", F.coalesce(falls, F.lit(False)).cast("long"))
+    rows = rows.withColumn("__part", F.sum("__fall").over(running))
+    parts = F.least(F.sum("__fall").over(whole), F.lit(max_layers) - F.col("__last"))
+    rows = rows.withColumn("__parts", parts)
+    split = (F.col("__line") == 0) & (F.col("__last") > 0) & (F.col("__last") + 1 < max_layers)
+    part = F.when((F.col("__part") == 0) & (F.col("__parts") > 0), 0).when((F.col("__part") > 1) & (F.col("__parts") > 1), F.least(F.col("__part"), F.col("__parts")) - 1)
+    top = F.lit(max_layers - 1) - F.col("__last")
+    layer = F.when(split, F.coalesce(top - (F.col("__parts") - 1 - part), F.lit(0))).otherwise(top + F.col("__line"))
+    return rows.withColumn("layer", layer.cast("long")).drop("__low", "__open", "__start", "__line", "__last", "__fall", "__part", "__parts")
 
 
 def subsample_layers(points: DataFrame, ratio: int) -> DataFrame:

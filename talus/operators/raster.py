@@ -44,7 +44,7 @@ def dense(raster: DataFrame, sizes: DataFrame, **fill) -> DataFrame:
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fill.items()})
 
 
-def height_images(points: DataFrame, min_z: float, res_z: float, top: int = 255) -> DataFrame:
+def height_images(points: DataFrame, min_z: float | Column, res_z: float, top: int = 255) -> DataFrame:
     """Lowest and highest level, clipped count and label of the highest point of every pixel.
 
     Points below `min_z` do not count for the lowest level; pixels that hold no other get level 1.
@@ -67,7 +67,7 @@ def back_project(points: DataFrame, raster: DataFrame, channel: str, into: str)
     return joined.withColumn(into, F.when(F.col("__v") > 0, F.col("__v")).otherwise(had)).drop("__v")
 
 
-def back_project_ground(points: DataFrame, raster: DataFrame, min_z: float, res_z: float, delta: float) -> DataFrame:
+def back_project_ground(points: DataFrame, raster: DataFrame, min_z: float | Column, res_z: float, delta: float) -> DataFrame:
     """Adds `ground`: whether a point is at most `delta` above the lowest level of a ground pixel.
 
     The raster has im_min, is_ground and optionally im_delta, a factor on `delta`.
@@ -204,6 +204,28 @@ def erode(raster: DataFrame, value: str, radius: int = 1) -> DataFrame:
     return _separable(raster, value, F.min, (-radius, radius), (-radius, radius))
 
 
+def filter_hexagon(raster: DataFrame, value: str, how: str, radius: int = 1) -> DataFrame:
+    """Largest or smallest (`max`, `min`) value within a hexagon of a dense image, whose odd rows lie half a pixel to the right.
+
+    A hexagon of a radius is the smallest one, a pixel and its six neighbours, applied as often.
+    """
+    if how not in ("max", "min"):
+        raise ValueError("how is max or min")
+    f, most = (F.max, F.greatest) if how == "max" else (F.min, F.least)
+    across, down = Window.partitionBy("scan_id", "row").orderBy("col"), Window.partitionBy("scan_id", "col").orderBy("row")
+    for _ in range(radius):
+        # A row's two pixels that touch each pixel of the rows above and below it.
+        side = F.when(F.col("row") % 2 == 0, f(value).over(across.rangeBetween(0, 1))).otherwise(f(value).over(across.rangeBetween(-1, 0)))
+        raster = raster.withColumn("__own", f(value).over(across.rangeBetween(-1, 1))).withColumn("__side", side)
+        near = [f("__side").over(down.rangeBetween(k, k)) for k in (-1, 1)]
+        raster = raster.withColumn(value, most("__own", *near)).drop("__own", "__side")
+    return raster
+
+
+def opened_hexagon(raster: DataFrame, value: str, radius: int = 1) -> DataFrame:
+    return filter_hexagon(filter_hexagon(raster, value, "min", radius), value, "max", radius)
+
+
 def opened(raster: DataFrame, value: str, radius: int = 1) -> DataFrame:
     return dilate(erode(raster, value, radius), value, radius)
 

@@ -8,7 +8,7 @@ from talus.operators import graph as G
 from talus.operators import raster as R
 from talus.plans.fixtures import POINTS, SUPPLY, points, r6, supply
 from talus.plans.point_queries import FILL_SQL, _pts, filled, pixels, pixels_sql, spherical, spherical_sql
-from talus.session import shared_folder
+from talus.storage import stored
 
 QUERIES, ORACLES = {}, {}
 
@@ -170,15 +170,7 @@ def components_global(spark, d):
     from talus.operators.components import star_components
 
     e = G.threshold_edges(near_edges(spark, d), 1.6).select((F.col("scan_id") * 1000000 + F.col("src")).alias("u"), (F.col("scan_id") * 1000000 + F.col("dst")).alias("v"))
-    return star_components(e, checkpointed)
-
-
-def checkpointed(df):
-    """A checkpoint in the cluster's shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    return star_components(e, stored)
 
 
 @register("component_ranking", _pts(KCC + ", s as (select scan_id, cc, count(*) as n from rc group by 1,2) select *, row_number() over (partition by scan_id order by n desc, cc) as rank from s"))

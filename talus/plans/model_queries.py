@@ -12,8 +12,9 @@ from talus.operators import hierarchy as T
 from talus.operators import metrics as M
 from talus.operators import points as P
 from talus.plans.fixtures import VECTORS, disc, points, r6
-from talus.plans.graph_queries import KCC, checkpointed, knn_sql, near_labels, sphere_edges
+from talus.plans.graph_queries import KCC, knn_sql, near_labels, sphere_edges
 from talus.plans.point_queries import _pts, images, pixels_sql
+from talus.storage import stored
 
 QUERIES, ORACLES = {}, {}
 
@@ -525,7 +526,7 @@ def hybrid_ground(spark, d):
 
 @register("iterative_ground")
 def iterative_ground(spark, d):
-    return D.iterative_ground(points(spark, d), sphere_edges(spark, d), 0.2, 20, 20, checkpointed)
+    return D.iterative_ground(points(spark, d), sphere_edges(spark, d), 0.2, 20, 20, stored)
 
 
 @register("csf_ground")
@@ -540,21 +541,7 @@ def csf_ground_mask(spark, d):
 
 @register("dart_ground")
 def dart_ground(spark, d):
-    return D.dart_ground(points(spark, d), checkpointed, res=0.5, min_z=-1.9).select("scan_id", "point_id", "ground")
-
-
-def _dart_sql() -> str:
-    import math
-
-    radii = [min(abs(round(1.73 * math.tan(math.radians(90 + k * 26.9 / 64)) * 0.5)), 40) for k in range(1, 65)]
-    first = next(k for k, r in enumerate(radii) if r < 40)
-    cases = " ".join(f"when {radii[k]} < r then {k + 1}" for k in range(first, 64))
-    return f"select scan_id, row, col, case {cases} else 65 end as ring, floor(180e0 + 180e0*atan2(dr, dc)/6.283185307179586e0 + 0.5e0)::int as sector from (select *, sqrt(dr*dr+dc*dc) as r from (select scan_id, row, col, (row-20)::double as dr, (col-20)::double as dc from im))"
-
-
-@register("dart_cells", _pts(pixels_sql() + ", im as (select scan_id, row, col from px group by 1,2,3) " + _dart_sql()))
-def dart_cells(spark, d):
-    return D.dart_cells(images(spark, d).select("scan_id", "row", "col"), 20, 20, 0.5, 40)
+    return D.dart_ground(points(spark, d), stored, res=0.5).select("scan_id", "point_id", "ground")
 
 
 @register("image_model_ground")

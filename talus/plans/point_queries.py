@@ -153,15 +153,43 @@ def las_quantize(spark, d):
     return P.las_levels(points(spark, d)).select("scan_id", "point_id", "x_level", "y_level", "z_level")
 
 
-@register(
-    "scan_layers",
-    _pts(
-        "a as (select scan_id, point_id, min(atan2(y, x)) over (partition by scan_id order by point_id rows between 10 preceding and 9 following) as lo from points), "
-        "b as (select scan_id, point_id, (max(lo) over (partition by scan_id order by point_id rows between 9 preceding and 10 following) >= 0)::int as up from a), "
-        "c as (select *, (up = 1 and lag(up, 1, 1) over (partition by scan_id order by point_id) = 0)::int as st from b) "
-        "select scan_id, point_id, (63 - (sum(st) over (partition by scan_id) - sum(st) over (partition by scan_id order by point_id rows between unbounded preceding and current row)))::bigint as layer from c"
-    ),
+#: Lines as intervals of positions: of a scan's changes, and of the falls before the first of them.
+LAYER_INTERVALS = """
+lows as (
+  select scan_id, point_id, row_number() over (partition by scan_id order by point_id) - 1 as pos,
+         min(atan2(y, x)) over (partition by scan_id order by point_id rows between 10 preceding and 9 following) as lo
+  from points
+), opened as (
+  select scan_id, point_id, pos, max(lo) over (partition by scan_id order by point_id rows between 9 preceding and 10 following) as op from lows
+), sizes as (
+  select scan_id, count(*) as n from opened group by 1
+), changes as (
+  select scan_id, pos, row_number() over (partition by scan_id order by pos) as k
+  from (select *, lag(op) over (partition by scan_id order by pos) as before from opened) where op >= 0 and before < 0
+), counted as (
+  select scan_id, n, count(c.pos) as n_changes, min(c.pos) as first_change from sizes left join changes c using (scan_id) group by 1, 2
+), falls as (
+  select scan_id, pos, row_number() over (partition by scan_id order by pos) - 1 as i
+  from (select scan_id, pos, op, lead(op) over (partition by scan_id order by pos) as after from opened join counted using (scan_id) where pos < first_change)
+  where after < op
+), budgets as (
+  select scan_id, first_change, least(count(f.pos), 64 - n_changes) as m from counted left join falls f using (scan_id)
+  where n_changes between 1 and 62 group by scan_id, first_change, n_changes
+), intervals as (
+  select c.scan_id, c.pos as a, coalesce(d.pos, n) as b from changes c join counted using (scan_id) left join changes d on d.scan_id = c.scan_id and d.k = c.k + 1
+  union all
+  select scan_id, 0, coalesce(first_change, n) from counted where n_changes = 0 or n_changes >= 63
+  union all
+  select f.scan_id, case when f.i = 0 then 0 else f.pos end, case when f.i = 0 then f.pos when f.i = m - 1 then first_change else g.pos end
+  from falls f join budgets using (scan_id) left join falls g on g.scan_id = f.scan_id and g.i = f.i + 1 where f.i < m
+), numbered as (
+  select *, 64 - row_number() over (partition by scan_id order by a desc, b desc) as layer from intervals
 )
+select o.scan_id, o.point_id, cast(coalesce(max(layer), 0) as bigint) as layer
+from opened o left join numbered v on v.scan_id = o.scan_id and o.pos >= v.a and o.pos < v.b group by 1, 2"""
+
+
+@register("scan_layers", _pts(LAYER_INTERVALS))
 def scan_layers(spark, d):
     return P.scan_layers(points(spark, d)).select("scan_id", "point_id", "layer")
 

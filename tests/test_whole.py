@@ -144,7 +144,7 @@ def _iterative(p, edges, threshold, min_size, most, k, k_normals):
 
 def test_iterative_ground_goes_on_in_every_scan_by_itself(spark):
     from talus.operators import detection as D
-    from talus.plans.graph_queries import checkpointed
+    from talus.storage import stored
 
     draw = np.random.default_rng(5)
     scans, want, rounds = [], {}, []
@@ -159,7 +159,7 @@ def test_iterative_ground_goes_on_in_every_scan_by_itself(spark):
         scans.append((scan, p, edges))
     points = spark.createDataFrame([(s, i, *map(float, q)) for s, p, _ in scans for i, q in enumerate(p)], "scan_id long, point_id long, x double, y double, z double")
     edges = spark.createDataFrame([(s, int(i), int(j), 1.0) for s, _, e in scans for i, j in np.argwhere(e)], "scan_id long, src long, dst long, w double")
-    got = D.iterative_ground(points, edges, 0.2, 3, 10, checkpointed, k=4, k_normals=8).toPandas()
+    got = D.iterative_ground(points, edges, 0.2, 3, 10, stored, k=4, k_normals=8).toPandas()
     assert len(set(rounds)) > 1, rounds
     assert {(r.scan_id, r.point_id): r.ground for r in got.itertuples()} == want
 
