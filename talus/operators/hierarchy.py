@@ -107,17 +107,104 @@ def ancestors(tree: DataFrame) -> DataFrame:
     return rows.groupBy("tree_id").applyInArrow(run, "tree_id long, node_id long, ancestor long, steps long")
 
 
+def _forest(table: pa.Table) -> tuple[np.ndarray, kernels.CommonAncestors]:
+    """Ids of a tree's nodes in ascending order, and their ancestors by number."""
+    ids, parent = table.column("node_id").to_numpy(), table.column("parent").to_numpy()
+    order = np.argsort(ids)
+    ids, parent = ids[order], parent[order]
+    return ids, kernels.CommonAncestors(np.where(parent >= 0, np.searchsorted(ids, parent), -1))
+
+
 def depths(tree: DataFrame) -> DataFrame:
-    return ancestors(tree).groupBy("tree_id", "node_id").agg(F.max("steps").alias("depth"))
+    """Steps of every node to its root; one task a tree."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, forest = _forest(table)
+        return pa.table({"tree_id": pa.array(np.full(len(ids), table.column("tree_id")[0].as_py()), pa.int64()), "node_id": ids, "depth": forest.depth()})
+
+    rows = tree.select(*[F.col(c).cast("long").alias(c) for c in ("tree_id", "node_id", "parent")])
+    return rows.groupBy("tree_id").applyInArrow(run, "tree_id long, node_id long, depth long")
+
+
+#: Questions on one tree that a task answers.
+QUESTIONS = 1 << 20
 
 
 def lowest_common(queries: DataFrame, tree: DataFrame) -> DataFrame:
-    """`queries(tree_id, a, b)` with their lowest common ancestor `lca`."""
-    up = ancestors(tree)
-    a = up.select("tree_id", F.col("node_id").alias("a"), "ancestor", F.col("steps").alias("up_a"))
-    b = up.select("tree_id", F.col("node_id").alias("b"), "ancestor")
-    met = queries.join(a, ["tree_id", "a"]).join(b, ["tree_id", "b", "ancestor"])
-    return met.groupBy(*queries.columns).agg(F.min_by("ancestor", "up_a").alias("lca"))
+    """`queries(tree_id, a, b, ...)` with their lowest common ancestor `lca`; those of nodes without one are left out.
+
+    A task holds one tree with its table of stretches, n log n; a tree with very many questions goes to several.
+    """
+    load = queries.groupBy("tree_id").agg(F.ceil(F.count("*") / QUESTIONS).cast("int").alias("parts"))
+    pairs = queries.select("tree_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct()
+    part = F.pmod(F.xxhash64("a", "b"), "parts").cast("int").alias("part")
+    asked = pairs.join(load, "tree_id").select(F.col("tree_id").cast("long").alias("tree_id"), part, "a", "b")
+    nodes = tree.join(load, "tree_id").select(
+        F.col("tree_id").cast("long").alias("tree_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.col("node_id").cast("long").alias("node_id"), F.col("parent").cast("long").alias("parent"),
+    )
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
+        ids, forest = _forest(right)
+        if not len(ids) or not len(a):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("tree_id", "a", "b", "lca")})
+        at = [np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (a, b)]
+        known = (ids[at[0]] == a) & (ids[at[1]] == b)
+        a, b, at = a[known], b[known], [x[known] for x in at]
+        lca = forest.of(*at)
+        met = lca >= 0
+        tree_id = pa.array(np.full(int(met.sum()), right.column("tree_id")[0].as_py()), pa.int64())
+        return pa.table({"tree_id": tree_id, "a": a[met], "b": b[met], "lca": ids[lca[met]]})
+
+    found = asked.groupBy("tree_id", "part").cogroup(nodes.groupBy("tree_id", "part")).applyInArrow(run, "tree_id long, a long, b long, lca long")
+    return queries.join(found, ["tree_id", "a", "b"]).select(*queries.columns, "lca")
+
+
+def partition_tree(edges: DataFrame) -> DataFrame:
+    """The binary partition tree of each weighted graph (tree_id, a, b, w), sparse or whole: one row a node.
+
+    `tree_id, node_id, parent, height, size, least, id`: leaves 0 to n - 1 are the ends in ascending order,
+    with their `id`; merge k, by weight and ends, makes node n + k, whose height is the weight and whose `least`
+    is the size of its smaller child.  A graph of several components gives a forest of as many roots.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, w = (table.column(c).to_numpy() for c in ("a", "b", "w"))
+        ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+        n = len(ids)
+        low, high = np.minimum(flat[: len(a)], flat[len(a) :]), np.maximum(flat[: len(a)], flat[len(a) :])
+        order = np.lexsort((high, low, w))
+        z = kernels.merge_tree(n, low[order], high[order], w[order])
+        m = len(z)
+        parent = np.full(n + m, -1, np.int64)
+        pairs = z[:, :2].astype(np.int64)
+        parent[pairs[:, 0]] = parent[pairs[:, 1]] = np.arange(n, n + m)
+        size = np.concatenate([np.ones(n, np.int64), z[:, 3].astype(np.int64)])
+        inner = np.arange(n + m) < n
+        return pa.table(
+            {
+                "tree_id": pa.array(np.full(n + m, table.column("tree_id")[0].as_py()), pa.int64()), "node_id": np.arange(n + m), "parent": parent,
+                "height": np.concatenate([np.zeros(n), z[:, 2]]), "size": size,
+                "least": pa.array(np.concatenate([np.zeros(n, np.int64), size[pairs].min(1)]), mask=inner), "id": pa.array(np.append(ids, np.zeros(m, np.int64)), pa.int64(), mask=~inner),
+            }
+        )
+
+    rows = edges.where("a <> b and w is not null").select(*[F.col(c).cast("long").alias(c) for c in ("tree_id", "a", "b")], F.col("w").cast("double").alias("w"))
+    return rows.groupBy("tree_id").applyInArrow(run, "tree_id long, node_id long, parent long, height double, size long, least long, id long")
+
+
+def ultrametric(queries: DataFrame, tree: DataFrame) -> DataFrame:
+    """Pairs of items (tree_id, a, b, ...) with `u`, the height of their common ancestor in a `partition_tree`, its `size` and `least`.
+
+    Pairs of different roots, or of items that no edge holds, are left out.
+    """
+    leaf = tree.where("id is not null").select("tree_id", "id", "node_id")
+    placed = queries.join(leaf.withColumnsRenamed({"id": "a", "node_id": "__a"}), ["tree_id", "a"]).join(leaf.withColumnsRenamed({"id": "b", "node_id": "__b"}), ["tree_id", "b"])
+    asked = placed.select("tree_id", F.col("__a").alias("a"), F.col("__b").alias("b")).distinct()
+    met = lowest_common(asked, tree).withColumnsRenamed({"a": "__a", "b": "__b"})
+    heights = tree.select("tree_id", F.col("node_id").alias("lca"), F.col("height").alias("u"), "size", "least")
+    return placed.join(met, ["tree_id", "__a", "__b"]).join(heights, ["tree_id", "lca"]).select(*queries.columns, "u", "size", "least")
 
 
 def dasgupta_cost(edges: DataFrame, tree: DataFrame) -> DataFrame:

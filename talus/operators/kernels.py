@@ -232,6 +232,105 @@ def merge_tree(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> np.nd
     return np.array(out).reshape(-1, 4)
 
 
+def tour(parent: np.ndarray) -> np.ndarray:
+    """Place of every node in a walk that meets each node before its children; roots (parent -1) in turn."""
+    n = len(parent)
+    order = np.argsort(parent, kind="stable")
+    first = np.searchsorted(parent[order], np.arange(-1, n + 1))
+    children, first = order.tolist(), first.tolist()
+    place, at = np.empty(n, np.int64), 0
+    open_ = children[first[0] : first[1]][::-1]
+    while open_:
+        node = open_.pop()
+        place[node] = at
+        at += 1
+        open_ += children[first[node + 1] : first[node + 2]][::-1]
+    if at < n:
+        raise ValueError("the parents run in a circle")
+    return place
+
+
+class CommonAncestors:
+    """Lowest common ancestors of the nodes of a forest, from least values over stretches of its tour.
+
+    Between two nodes of the tour the parents' least place is their common ancestor's.  A table holds the
+    least of all stretches whose length is a power of two, so two looks answer a question, n log n in all.
+    """
+
+    def __init__(self, parent: np.ndarray):
+        n = len(parent)
+        self.place = tour(parent)
+        self.node = np.empty(n, np.int64)
+        self.node[self.place] = np.arange(n)
+        up = parent[self.node]
+        self.least = [np.where(up >= 0, self.place[up], -1)]
+        half = 1
+        while 2 * half <= n:
+            last = self.least[-1]
+            self.least.append(np.minimum(last[:-half], last[half:]))
+            half *= 2
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common ancestors of nodes; -1 for nodes of different trees."""
+        low, high = np.minimum(self.place[a], self.place[b]), np.maximum(self.place[a], self.place[b])
+        out = np.array(a, np.int64)
+        apart = np.flatnonzero(low < high)
+        low, high = low[apart] + 1, high[apart]
+        level = np.frexp((high - low + 1).astype(np.float64))[1] - 1
+        found = np.empty(len(apart), np.int64)
+        for k in np.unique(level):
+            some = level == k
+            found[some] = np.minimum(self.least[k][low[some]], self.least[k][high[some] - (1 << int(k)) + 1])
+        out[apart] = np.where(found >= 0, self.node[found], -1)
+        return out
+
+    def depth(self) -> np.ndarray:
+        """Steps of every node to its root."""
+        up = self.least[0] if len(self.node) else np.empty(0, np.int64)
+        depth = np.where(up >= 0, 1, 0)
+        while (up >= 0).any():
+            depth = depth + np.where(up >= 0, depth[up], 0)
+            up = np.where(up >= 0, up[up], -1)
+        out = np.empty(len(depth), np.int64)
+        out[self.node] = depth
+        return out
+
+
+def assignment(gain: np.ndarray) -> np.ndarray:
+    """The column of every row of a square matrix under the one-to-one choice of greatest sum.
+
+    Rows enter one by one; each is matched along the shortest augmenting path under prices of rows and
+    columns (the Hungarian method), n steps of n² each.
+    """
+    n = len(gain)
+    cost = gain.max(initial=0) - gain.astype(np.float64)
+    row_price, col_price = np.zeros(n), np.zeros(n + 1)
+    owner = np.full(n + 1, -1)
+    for row in range(n):
+        owner[n], col = row, n
+        least, before, done = np.full(n, np.inf), np.full(n, n), np.zeros(n + 1, bool)
+        while owner[col] >= 0:
+            done[col] = True
+            i = owner[col]
+            free = np.flatnonzero(~done[:n])
+            reduced = cost[i, free] - row_price[i] - col_price[free]
+            better = reduced < least[free]
+            least[free[better]], before[free[better]] = reduced[better], col
+            nearest = free[np.argmin(least[free])]
+            step = least[nearest]
+            held = np.flatnonzero(done)
+            row_price[owner[held]] += step
+            col_price[held] -= step
+            least[free] -= step
+            col = nearest
+        while col != n:
+            owner[col] = owner[before[col]]
+            col = before[col]
+    out = np.empty(n, np.int64)
+    out[owner[:n]] = np.arange(n)
+    return out
+
+
 #: The neighbours of a cloth particle: all at one or two steps along the axes.
 CLOTH_NEIGHBOURS = [(dr, dc) for dr in range(-2, 3) for dc in range(-2, 3) if 1 <= abs(dr) + abs(dc) <= 2]
 

@@ -1,12 +1,12 @@
 """Scores of classifications and clusterings, each from one pass over the rows or over a contingency table."""
 
-from itertools import permutations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.operators import kernels
+
 
 def _share(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
@@ -105,19 +105,17 @@ def adjusted_rand(df: DataFrame, truth: str, cluster: str, by: list[str] = ()) -
     return both.join(t, keys).join(c, keys).select(*by, ari.alias("ari"))
 
 
-def best_assignment_accuracy(df: DataFrame, truth: str, cluster: str, by: str, most: int = 8) -> DataFrame:
-    """Share of rows that agree under the best one-to-one naming of clusters; up to `most` classes a group."""
+def best_assignment_accuracy(df: DataFrame, truth: str, cluster: str, by: str) -> DataFrame:
+    """Share of rows that agree under the best one-to-one naming of clusters; a task holds one group's table of counts."""
     cells = contingency(df, truth, cluster, [by])
 
     def run(table: pa.Table) -> pa.Table:
         t, ti = np.unique(np.asarray(table.column("t")), return_inverse=True)
         c, ci = np.unique(np.asarray(table.column("c")), return_inverse=True)
         k = max(len(t), len(c))
-        if k > most:
-            raise ValueError(f"{k} classes; raise `most` knowingly")
         m = np.zeros((k, k), np.int64)
         np.add.at(m, (ti, ci), np.asarray(table.column("n")))
-        best = max(sum(m[i, j] for i, j in enumerate(p)) for p in permutations(range(k)))
+        best = m[np.arange(k), kernels.assignment(m)].sum()
         return pa.table({by: table.column(by).slice(0, 1), "accuracy": pa.array([best / m.sum()])})
 
     return cells.groupBy(by).applyInArrow(run, f"{by} {dict(df.dtypes)[by]}, accuracy double")

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from talus.operators import detection as D
 from talus.operators import graph as G
+from talus.operators import hierarchy as T
 from talus.operators import kernels
 from talus.operators import raster as R
 from talus.operators.cells import knn_cells
 from talus.operators.components import global_spanning_forest
-from talus.plans.fixtures import points, supply
-from talus.plans.graph_queries import DIST, knn_sql
+from talus.plans.fixtures import points, r6, supply
+from talus.plans.graph_queries import DIST, knn_sql, near_edges
 from talus.plans.point_queries import FILL_SQL, _pts, filled, pixels_sql
 from talus.operators.zones import zone_measure
 from talus.storage import stored
@@ -165,3 +166,33 @@ def dart_board(spark, d):
     """Rings, sectors and cells around a scanner in the middle of the fixture's images."""
     image = filled(spark, d).select("scan_id", "row", "col", *[F.lit(v).alias(c) for c, v in (("r0", 20), ("c0", 20), ("height", 40), ("width", 40))])
     return D.dart_board(image, 0.5).select("scan_id", "row", "col", "ring", "sector", "cell")
+
+
+# ---- hierarchies of sparse graphs ----------------------------------------------------------------
+
+
+def neighbour_pairs(spark, d):
+    """The 4-NN graph of every scan, one row a pair."""
+    return G.symmetric(near_edges(spark, d)).where("src < dst").select(F.col("scan_id").alias("tree_id"), F.col("src").alias("a"), F.col("dst").alias("b"), "w")
+
+
+@register("partition_tree")
+def partition_tree(spark, d):
+    """Forests, where a scan's graph falls apart; brute force in the tests."""
+    return T.partition_tree(neighbour_pairs(spark, d)).withColumn("height", r6("height"))
+
+
+@register("ultrametric_edges")
+def ultrametric_edges(spark, d):
+    edges = neighbour_pairs(spark, d)
+    return T.ultrametric(edges, T.partition_tree(edges)).withColumns({"u": r6("u"), "w": r6("w")})
+
+
+@register("ultrametric_losses")
+def ultrametric_losses(spark, d):
+    """Losses of the scans' own hierarchies: the edges' ultrametric against their weights, and cluster sizes."""
+    edges = neighbour_pairs(spark, d)
+    found = T.ultrametric(edges, T.partition_tree(edges))
+    closest, size = T.closest_loss(F.col("u"), F.col("w")), T.cluster_size_loss(F.col("u"), F.col("least"))
+    cost = F.sum(F.col("w") * F.col("size"))
+    return found.groupBy("tree_id").agg(r6(closest).alias("closest"), r6(size).alias("cluster_size"), r6(T.combined_loss(closest, size, gamma=0.5)).alias("both"), r6(cost).alias("dasgupta"))
