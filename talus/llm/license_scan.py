@@ -1,9 +1,10 @@
 """License scans: MinHash bands retrieve templates for overlapping text windows, exact containment decides.
 
 SQL functions only.  Words are runs of letters and digits in lower case, shingles five of them.
-Windows of a few sizes slide over a text by an eighth of their size; each has a MinHash
-signature whose bands are looked up among the templates' bands.  What is retrieved is verified
-by exact containment: the share of a template's shingles inside a window of its own length.
+A text is cut into overlapping blocks.  Windows of a few sizes slide over a block by an eighth of
+their size; each has a MinHash signature whose bands are looked up among the templates' bands.  What a
+block retrieves is verified once by exact containment: the share of a template's shingles inside a
+window of its own length that starts in the block or soon behind it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 2
 #: Ratio between window size classes.
 GROWTH = 1.25
+#: Words of a text whose windows are one row's work.
+BLOCK = 512
 #: A window of the verification is this much longer than its template, to let words be inserted.
 SLACK = 1.25
 
@@ -101,9 +104,14 @@ def _hashes(words: Column) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _bands(shingles: Column) -> Column:
-    """One hash a band over the least hashes of its rows; loops of lambdas, so that the plan stays small."""
-    least = lambda seed: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, seed)))
+def _mixed(shingles: Column) -> Column:
+    """The shingles' hashes under each row's seed: an array of arrays."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), lambda seed: F.transform(shingles, lambda h: F.xxhash64(h, seed)))
+
+
+def _bands(mixed: Column, start: Column, length: Column) -> Column:
+    """One hash a band over the least hashes of its rows in a stretch; loops of lambdas, so that the plan stays small."""
+    least = lambda row: F.array_min(F.slice(F.get(mixed, row), start, length))
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[least(b * ROWS + r) for r in range(ROWS)]))
 
 
@@ -120,61 +128,72 @@ def template_frame(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return frame.select("license", F.size(words).alias("n_words"), F.array_distinct(_hashes(words)).alias("wanted"))
 
 
+def _blocks(words: Column, reach: int) -> Column:
+    """Stretches of `BLOCK` words that starts are taken from, each with the `reach` words that follow."""
+    last = F.floor((F.size(words) - SHINGLE) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(words, k * BLOCK + 1, BLOCK + reach))
+
+
+def _starts(gate_places: Column, size: int, n_hashes: Column) -> Column:
+    """Windows (start, shingles) of one size, on a grid of an eighth of it, that begin in the block and cover a gate word."""
+    step = max(1, size // 8)
+    first = lambda g: F.greatest(F.ceil((g - size) / step).cast("int"), F.lit(0))
+    last = lambda g: F.least(F.floor((g - 1) / step), F.lit((BLOCK - 1) // step)).cast("int")
+    near = F.filter(gate_places, lambda g: first(g) <= last(g))
+    starts = F.array_distinct(F.flatten(F.transform(near, lambda g: F.transform(F.sequence(first(g), last(g)), lambda k: k * step + 1))))
+    fits = F.filter(starts, lambda s: s <= n_hashes)
+    return F.transform(fits, lambda s: F.struct(s.alias("start"), F.lit(size - SHINGLE + 1).alias("length")))
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id, license, n_shingles, n_found, containment` of every template found in a text.
 
     `containment` is the greatest share of the template's shingles inside any window of `SLACK`
     times its words; rows below `similarity` are not returned.  Null and empty texts and texts
     of fewer than five words match nothing; repeated rows give one row a template; a null id
-    keeps its null; an empty table gives none; other columns are ignored.
+    keeps its null; an empty table gives none; other columns are ignored.  A text is cut into
+    overlapping blocks, which are rows of their own and are dealt to all tasks: a text's length
+    sets the number of blocks, not the work on a row.
     """
     spark = docs.sparkSession
     known = template_frame(spark, templates)
     sizes = _classes(templates)
     gate = gates(templates, similarity)
+    # What begins in a block may be found best by a window that begins behind it: twice the longest window.
+    longest = max(math.ceil(max(len(words_of(t)) for t in templates.values()) * SLACK), max(sizes))
+    reach = 2 * longest
+    # The templates' bands: some hundred numbers, fixed by `templates`.
+    banded = _settled(known, "mixed", _mixed(F.col("wanted"))).select("license", _bands(F.col("mixed"), F.lit(1), F.size("wanted")).alias("codes")).collect()
+    holders: dict[int, list[str]] = {}
+    for row in banded:
+        for code in row["codes"]:
+            holders.setdefault(code, []).append(row["license"])
+    codes = F.lit(list(holders))
+    owners = F.map_from_arrays(codes, F.lit(list(holders.values())))
     # Lossless: without a gate word no template reaches the share that a match needs.
     # The text is lower-cased once, as the variable of a lambda.
     hit = F.exists(F.array(F.lower(F.col(text_col))), lambda t: reduce(or_, [F.contains(t, F.lit(word)) for word in gate]))
     rows = docs.where(hit).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(F.array(_words(F.col(text_col)))).alias("words"))
-    places = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.element_at(F.col("words"), i).isin(gate))
-    rows = _settled(rows.where(F.size("words") >= SHINGLE), "gates", places)
-    rows = _settled(rows.where(F.size("gates") > 0), "hashes", _hashes(F.col("words"))).select("doc_id", "gates", "hashes")
-    windows = []
-    reach = max(sizes) * 2
-    for size in sizes:
-        step = max(1, size // 8)
-        # Starts on the grid of `step` whose window covers a gate word.
-        first = lambda g: F.greatest(F.ceil((g - size) / step).cast("int"), F.lit(0))
-        starts = F.array_distinct(F.flatten(F.transform("gates", lambda g: F.transform(F.sequence(first(g), F.floor((g - 1) / step).cast("int")), lambda k: k * step + 1))))
-        fits = F.filter(starts, lambda s: s <= F.size("hashes"))
-        windows.append(
-            F.transform(
-                fits,
-                lambda s: F.struct(
-                    F.slice(F.col("hashes"), s, size - SHINGLE + 1).alias("inside"),
-                    F.slice(F.col("hashes"), F.greatest(s - reach, F.lit(1)), 2 * reach + size).alias("around"),
-                ),
-            )
-        )
-    windowed = rows.select("doc_id", F.explode(F.concat(*windows)).alias("w")).select("doc_id", "w.inside", "w.around")
-    banded = windowed.select("doc_id", "around", F.posexplode(_bands(F.col("inside"))).alias("band", "code"))
-    wanted = known.select("license", "n_words", "wanted", F.posexplode(_bands(F.col("wanted"))).alias("band", "code"))
-    # The templates' bands are some hundred rows, fixed by TEMPLATES.
-    found = banded.join(F.broadcast(wanted), ["band", "code"]).select("doc_id", "license", "n_words", "wanted", "around").distinct()
+    parts = rows.where(F.size("words") >= SHINGLE).select("doc_id", F.explode(_blocks(F.col("words"), reach)).alias("part"))
+    places = F.filter(F.sequence(F.lit(1), F.size("part")), lambda i: F.element_at(F.col("part"), i).isin(gate))
+    parts = _settled(parts, "gates", places).where(F.size("gates") > 0)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    parts = parts.repartition(tasks, F.xxhash64("part"))
+    blocks = _settled(parts, "hashes", _hashes(F.col("part"))).select("doc_id", "gates", "hashes")
+    windows = F.concat(*[_starts(F.col("gates"), size, F.size("hashes")) for size in sizes])
+    # Hashes under all seeds are looked up by the windows of the block, and go before a row is copied.
+    found = F.flatten(F.transform(F.array(_mixed(F.col("hashes"))), lambda m: F.flatten(F.transform(F.col("windows"), lambda w: F.array_intersect(_bands(m, w["start"], w["length"]), codes)))))
+    blocks = _settled(_settled(blocks, "windows", windows), "found", F.array_distinct(found)).where(F.size("found") > 0)
+    retrieved = blocks.select("hashes", "doc_id", F.explode(F.array_distinct(F.flatten(F.transform("found", lambda c: F.element_at(owners, c))))).alias("license"))
+    # Some dozen rows, fixed by `templates`.
+    scored = retrieved.join(F.broadcast(known), "license")
     span = F.ceil(F.col("n_words") * SLACK).cast("int") - (SHINGLE - 1)
-    shared = F.array_max(
-        F.transform(
-            F.sequence(F.lit(1), F.size("around")),
-            lambda p: F.when(
-                F.array_contains(F.col("wanted"), F.element_at(F.col("around"), p)),
-                F.size(F.array_intersect(F.slice(F.col("around"), p, span), F.col("wanted"))),
-            ).otherwise(F.lit(0)),
-        )
-    )
-    scored = found.withColumn("n_found", shared).groupBy("doc_id", "license").agg(
-        F.first(F.size("wanted")).cast("long").alias("n_shingles"), F.max("n_found").cast("long").alias("n_found")
-    )
-    return scored.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= similarity)
+    hits = F.filter(F.sequence(F.lit(1), F.least(F.lit(BLOCK + longest), F.size("hashes"))), lambda p: F.array_contains(F.col("wanted"), F.element_at(F.col("hashes"), p)))
+    scored = _settled(scored, "hits", hits).where(F.size("hits") > 0)
+    shared = F.array_max(F.transform("hits", lambda p: F.size(F.array_intersect(F.slice(F.col("hashes"), p, span), F.col("wanted")))))
+    most = scored.select("doc_id", "license", F.size("wanted").cast("long").alias("n_shingles"), shared.cast("long").alias("n_found"))
+    best = most.groupBy("doc_id", "license").agg(F.first("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
+    return best.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= similarity)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
