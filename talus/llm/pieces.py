@@ -17,10 +17,12 @@ import tiktoken
 
 from talus.llm.common import by_bytes
 
-#: Pieces that a worker keeps of one kind (about 200 bytes each), and twice as many where ids are kept; those not asked for of late are encoded again when they return.
+#: Pieces that a worker keeps (about 200 bytes each; twice as many in one table for all); those not asked for of late are encoded again when they return.
 CACHE_PIECES = 300_000
 #: Bytes of texts whose pieces are learned together, whatever Arrow batches they come in.
 WINDOW = 8 << 20
+#: Characters of texts whose pieces are looked up before what is new among them is learned.
+_STEP = 1 << 18
 
 
 def library_tokenizer(path: str):
@@ -76,19 +78,19 @@ class WordCounter:
 
     def __init__(self, path: str):
         self.tokenizer = library_tokenizer(path)
-        self.cache = Cache(self._lengths)
+        self.cache = Cache(self._lengths, 2 * CACHE_PIECES)
 
     def _lengths(self, pieces: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def counts(self, texts: list[str]) -> list[int]:
-        # Words are cut twice rather than held: a window of texts costs the memory of its different words.
-        wanted: set[str] = set()
-        for t in texts:
-            wanted.update(t.replace("\n", " ").split(" "))
-        self.cache.learn(wanted)
+        return [n for a, b in by_bytes(texts, _STEP) for n in self._counts(texts[a:b])]
+
+    def _counts(self, texts: list[str]) -> list[int]:
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        self.cache.learn(set().union(*words))
         get = self.cache.__getitem__
-        out = [sum(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+        out = [sum(map(get, w)) for w in words]
         self.cache.trim()
         return out
 
@@ -138,9 +140,6 @@ def rank_encoder(path: str):
 _OTHER = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Runs of white space that a plain split would not keep.
 _RUNS = ("  ", " \n", "\n ", "\n\n\n")
-#: Characters of texts whose pieces are looked up before what is new among them is learned.
-_STEP = 1 << 18
-
 
 def odd(text: str) -> bool:
     """Whether a text's white space is more than single blanks, and one or two line feeds, between other characters."""
