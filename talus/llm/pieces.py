@@ -17,7 +17,7 @@ import tiktoken
 
 from talus.llm.common import by_bytes
 
-#: Pieces that a worker keeps (about 200 bytes each; twice as many in one table for all); those not asked for of late are encoded again when they return.
+#: Pieces that a worker keeps (about 200 bytes each; twice as many counts, four times as many lists of ids); those not asked for of late are encoded again when they return.
 CACHE_PIECES = 300_000
 #: Bytes of texts whose pieces are learned together, whatever Arrow batches they come in.
 WINDOW = 8 << 20
@@ -162,7 +162,7 @@ class ByteEncoder:
         self.feed = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, self.dtype)
         fast = rank_encoder(path) if len(self.feed) == 1 else None
         self.ranks, self.special = fast or (None, [])
-        self.pieces = Cache(self._pieces, 2 * CACHE_PIECES)
+        self.pieces = Cache(self._pieces, 4 * CACHE_PIECES)
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
