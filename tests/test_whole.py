@@ -260,9 +260,15 @@ def test_labels_of_several_sequences_stay_apart(spark, tmp_path):
         S.labelled_scans(points, labels.where("sequence <> '01' or point_id > 0"))
 
 
-def test_scanner_circle_floods_from_the_scanner(spark):
+@pytest.mark.parametrize("neighbours", [4, 6, 8])
+def test_scanner_circle_floods_from_the_scanner(spark, neighbours):
     from talus.operators import detection as D
 
+    square = [(1, 0), (-1, 0), (0, 1), (0, -1)]
+    # Odd rows lie half a pixel to the right.
+    hexagon = lambda r: [(0, 1), (0, -1), *((d, r % 2 - k) for d in (1, -1) for k in (0, 1))]
+    steps = {4: lambda r: square, 6: hexagon, 8: lambda r: [*square, (1, 1), (1, -1), (-1, 1), (-1, -1)]}[neighbours]
+
     draw = np.random.default_rng(7)
     rows, want = [], {}
     for scan, (r0, c0) in enumerate(((6, 5), (2, 9), (6, 6))):
@@ -274,10 +280,10 @@ def test_scanner_circle_floods_from_the_scanner(spark):
             if (r, c) in seen or not (0 <= r < 13 and 0 <= c < 12) or held[r, c]:
                 continue
             seen.add((r, c))
-            todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+            todo += [(r + dr, c + dc) for dr, dc in steps(r)]
         for r, c in np.ndindex(13, 12):
             rows.append((scan, r, c, int(held[r, c]), r0, c0))
             want[scan, r, c] = int((r, c) in seen and abs(r - r0) <= 4 and abs(c - c0) <= 4)
     raster = spark.createDataFrame(rows, "scan_id long, row long, col long, im_acc long, r0 long, c0 long")
-    got = D.scanner_circle(raster, 4).collect()
+    got = D.scanner_circle(raster, 4, neighbours).collect()
     assert {(r.scan_id, r.row, r.col): r.inside for r in got} == want
