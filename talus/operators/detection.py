@@ -372,6 +372,6 @@ def image_model_ground(points: DataFrame, model, res_yaw: int, res_pitch: int, f
 
     scored = image.groupBy("scan_id").applyInArrow(run, "scan_id long, row long, col long, score double")
     own = px.join(scored.withColumnRenamed("score", "pixel_score"), R.PIXEL, "left")
-    shared = transfer_labels(own.where(F.col("lidx") >= 0), "pixel_score").withColumnRenamed("score", "near_score")
+    shared = transfer_labels(own.where(F.col("row") >= 0), "pixel_score").withColumnRenamed("score", "near_score")
     out = own.join(shared, ["scan_id", "point_id"], "left")
     return out.withColumn("ground", F.coalesce("near_score", "pixel_score", F.lit(0.0)) > cut).select(*points.columns, "ground")

@@ -102,6 +102,44 @@ def nearest_of(q: np.ndarray, who: np.ndarray, p: np.ndarray, ids: np.ndarray, k
     return np.concatenate(rows), np.concatenate(found), np.concatenate(fars)
 
 
+def nearest_features(
+    q: np.ndarray, who: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int, loop: bool = True, block: int = 256,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `nearest_of` for rows of many features: matrix products rule out, plain sums of squares decide.
+
+    A product's rounding error is bounded by the lengths of the rows; whatever may be among the k nearest
+    within that bound is measured exactly.  With `loop` a row is its own neighbour.
+    """
+    order = np.argsort(ids, kind="stable")
+    p, ids = p[order], ids[order]
+    rows, found, fars = [np.empty(0, np.int64)], [np.empty(0, ids.dtype)], [np.empty(0)]
+    own, squares = np.searchsorted(ids, who), (p * p).sum(1)
+    last = min(k, len(p)) - 1
+    for a in range(0, len(q) if last >= 0 else 0, block):
+        some = q[a : a + block]
+        lengths = (some * some).sum(1)
+        rough = lengths[:, None] + squares[None, :] - 2.0 * (some @ p.T)
+        if not loop:
+            at = np.minimum(own[a : a + block], len(p) - 1)
+            self = np.flatnonzero(ids[at] == who[a : a + block])
+            rough[self, at[self]] = np.inf
+        slack = 8 * (p.shape[1] + 4) * np.finfo(float).eps * (lengths + squares.max())
+        limit = np.partition(rough, last, axis=1)[:, last] + slack
+        r, c = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+        far = np.zeros(len(r))
+        for axis in range(p.shape[1]):
+            diff = some[r, axis] - p[c, axis]
+            far += diff * diff
+        np.sqrt(far, out=far)
+        near = np.lexsort((c, far, r))
+        r, c, far = r[near], c[near], far[near]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        rows.append(r[keep] + a)
+        found.append(ids[c[keep]])
+        fars.append(far[keep])
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(fars)
+
+
 def pixel_edges(ids: np.ndarray, row: np.ndarray, col: np.ndarray, p: np.ndarray, width: int, far: float, near: float, same: float, dz: float, steps: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of point numbers with their distances, of neighbouring pixels of one range image: below, to the right, inside."""
     pixel = row * width + col

@@ -33,7 +33,8 @@ def aggregate(name: str, value: Column, key: Column | None = None, tie: str = "p
 
 def rasterize(points: DataFrame, **channels: Column) -> DataFrame:
     """One row an occupied pixel; points outside the image (-1) are left out."""
-    return points.where(F.col("lidx") >= 0).groupBy(*PIXEL).agg(*[c.alias(k) for k, c in channels.items()])
+    # The row decides as lidx does, whose expression holds that of the row twice where the test is pushed below it.
+    return points.where(F.col("row") >= 0).groupBy(*PIXEL).agg(*[c.alias(k) for k, c in channels.items()])
 
 
 def dense(raster: DataFrame, sizes: DataFrame, **fill) -> DataFrame:

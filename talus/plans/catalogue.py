@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("point_queries", "graph_queries", "model_queries", "further_queries", "spatial_queries")
+MODULES = ("point_queries", "graph_queries", "model_queries", "further_queries", "spatial_queries", "network_queries")
 
 
 def flagship(spark, sf_dir):

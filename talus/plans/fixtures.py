@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _COLUMNS = """
-  cast(floor(event_id/1000.0) as bigint) as scan_id, event_id as point_id,
-  (((event_id*7919) % 2003) - 1001.5)/25.0e0 as x,
-  (((event_id*104729) % 1999) - 999.5)/25.0e0 as y,
-  -1.73e0 + 0.004e0*((((event_id*7919) % 2003) - 1001.5)/25.0e0)
+  cast(floor(event_id/1000.0e0) as bigint) as scan_id, event_id as point_id,
+  (((event_id*7919) % 2003) - 1001.5e0)/25.0e0 as x,
+  (((event_id*104729) % 1999) - 999.5e0)/25.0e0 as y,
+  -1.73e0 + 0.004e0*((((event_id*7919) % 2003) - 1001.5e0)/25.0e0)
     + case when event_type in ('click','view') then ((event_id*31) % 17)/200.0e0
            when event_type = 'purchase' then 0.3e0 + ((event_id*37) % 101)/100.0e0
            when event_type = 'signup' then 0.5e0 + ((event_id*41) % 307)/100.0e0
@@ -24,8 +24,7 @@ POINTS = "points as (select" + _COLUMNS.format(k="json_extract(props, '$.k')") +
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "props")
-    events.createOrReplaceTempView("talus_events")
-    return spark.sql("select" + _COLUMNS.format(k="get_json_object(props, '$.k')") + "from talus_events")
+    return spark.sql("select" + _COLUMNS.format(k="get_json_object(props, '$.k')") + "from {events}", events=events)
 
 
 #: Disc points of the embeddings, 25 a tree: interior of the unit disc.
