@@ -78,11 +78,41 @@ def _off_plane():
     return F.abs(F.col("nx") * (F.col("x") - F.col("px")) + F.col("ny") * (F.col("y") - F.col("py")) + F.col("nz") * (F.col("z") - F.col("pz"))) / _length()
 
 
+#: Points that one task compares with a group's planes.
+PLANE_POINTS = 1 << 17
+
+
+def plane_inliers(points: DataFrame, candidates: DataFrame, max_dist: float, group: tuple[str, ...] = ("scan_id",)) -> DataFrame:
+    """`group, t, n_inliers`: points of a group nearer than `max_dist` to each of its planes.
+
+    A task compares a part of a group's points with all of its planes, by blocks, and returns a count a plane.
+    """
+    keys, types = [f"g{i}" for i in range(len(group))], dict(points.dtypes)
+    sizes = candidates.select(*group).distinct().join(points.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / PLANE_POINTS).cast("int").alias("parts")), list(group))
+    named = [F.col(c).alias(k) for c, k in zip(group, keys)]
+    cloud = points.select(*group, "point_id", "x", "y", "z").join(sizes, list(group))
+    cloud = cloud.select(*named, F.pmod(F.xxhash64("point_id"), "parts").cast("int").alias("part"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    flat = candidates.join(sizes, list(group)).select(*named, every, *[F.col(c).alias(c) for c in ("t", "nx", "ny", "nz", "px", "py", "pz")])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        p = [left.column(c).to_numpy(zero_copy_only=False) for c in "xyz"]
+        found = []
+        for nx, ny, nz, px, py, pz in zip(*(right.column(c).to_numpy() for c in ("nx", "ny", "nz", "px", "py", "pz"))):
+            off = np.abs(nx * (p[0] - px) + ny * (p[1] - py) + nz * (p[2] - pz)) / np.sqrt(nx * nx + ny * ny + nz * nz)
+            found.append(int((off < max_dist).sum()))
+        return right.select([*keys, "t"]).append_column("n", pa.array(found, pa.int64()))
+
+    schema = ", ".join(f"{k} {types[c]}" for k, c in zip(keys, group)) + ", t long, n long"
+    part = [*keys, "part"]
+    counted = cloud.groupBy(*part).cogroup(flat.groupBy(*part)).applyInArrow(run, schema)
+    return counted.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, group)], "t").agg(F.sum("n").alias("n_inliers"))
+
+
 def ransac_plane(points: DataFrame, max_dist: float, iterations: int, stop_at: int | None = None, group: tuple[str, ...] = ("scan_id",)) -> DataFrame:
     """The plane with most points nearer than `max_dist` in each group; ties, and the first to reach `stop_at`, by round."""
     candidates = planes(points, iterations, group)
-    # Rounds are a parameter, so a group's points meet a bounded number of planes, all in one pass.
-    counted = points.select(*group, "x", "y", "z").join(candidates, list(group)).groupBy(*group, "t").agg(F.count_if(_off_plane() < max_dist).alias("n_inliers"))
+    counted = plane_inliers(points, candidates, max_dist, group)
     if stop_at is not None:
         counted = counted.withColumn("place", F.struct(F.when(F.col("n_inliers") >= stop_at, 0).otherwise(1).alias("late"), F.when(F.col("n_inliers") >= stop_at, F.lit(0)).otherwise(-F.col("n_inliers")).alias("fewer"), F.col("t")))
     else:

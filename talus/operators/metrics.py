@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.operators import kernels
+from talus.operators.ordered import Cut, running
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -51,14 +52,14 @@ def normalized(cm: DataFrame) -> DataFrame:
     return cm.withColumn("share", F.round(_share(F.lit(100.0) * F.col("n"), total), 2) + F.lit(0.0))
 
 
-def precision_recall(df: DataFrame, truth: Column, score: Column) -> DataFrame:
-    """`threshold, precision, recall` for every distinct score; positives are scores at or above it."""
+def precision_recall(df: DataFrame, truth: Column, score: Column, cut: Cut) -> DataFrame:
+    """`threshold, precision, recall` for every distinct score; positives are scores at or above it.
+
+    Scores are summed by ranges, so continuous ones need no single task; `cut` stores them where all executors can read.
+    """
     counts = df.groupBy(score.alias("threshold")).agg(F.count_if(truth).alias("p"), F.count(F.lit(1)).alias("n"))
-    # One row a distinct score; quantise continuous scores before, or this window sees every row.
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(0))
-    tp, n = F.sum("p").over(order), F.sum("n").over(order)
-    return counts.select("threshold", _share(tp, n).alias("precision"), _share(tp, F.sum("p").over(every)).alias("recall"))
+    found = running(counts, [], [F.desc("threshold")], {"tp": F.col("p"), "above": F.col("n")}, cut)
+    return found.select("threshold", _share(F.col("tp"), F.col("above")).alias("precision"), _share(F.col("tp"), F.col("tp_all")).alias("recall"))
 
 
 def multiclass_iou(df: DataFrame, truth: str, predicted: str) -> DataFrame:

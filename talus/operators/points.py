@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions.geometry import clamp, norm, pitch, yaw
+from talus.operators.ordered import Cut, ranked
 
 SCAN = ["scan_id"]
 
@@ -207,12 +208,13 @@ def agreement_colour(truth: Column, predicted: Column) -> Column:
     )
 
 
-def quota_sample(df: DataFrame, group: str, ids: list[str], quota: Column) -> DataFrame:
-    """The first rows of each group in a hashed order, as many as `quota` says (an expression over `n`, the group's size)."""
-    order = Window.partitionBy(group).orderBy(*ids)
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    ranked = df.withColumn("__rank", F.row_number().over(order)).join(sizes, group)
-    return ranked.where(F.col("__rank") <= quota).drop("__rank", "n")
+def quota_sample(df: DataFrame, group: str, ids: list[str], quota: Column, cut: Cut) -> DataFrame:
+    """The first rows of each group in the order of `ids`, as many as `quota` says (an expression over `n`, the group's size).
+
+    Places come from sums by ranges of group and order, so a group of any size is spread; `cut` stores the ranges.
+    """
+    placed = ranked(df.withColumnRenamed("n", "__n"), [group], [F.col(c) for c in ids], cut, "__place").withColumnRenamed("__place_all", "n")
+    return placed.where(F.col("__place") <= quota).drop("__place", "n").withColumnRenamed("__n", "n")
 
 
 def subset(df: DataFrame, belongs: Column, by: str, order: str) -> DataFrame:

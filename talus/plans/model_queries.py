@@ -76,7 +76,7 @@ def confusion_normalized(spark, d):
 
 @register("pr_curve", _pts(f"q as (select round(-z, 2) as s, {GROUND} as t from points where label <> 0), c as (select s, (count(*) filter (t))::double as p, count(*)::double as n from q group by 1) select s as threshold, round(sum(p) over (order by s desc rows unbounded preceding)/sum(n) over (order by s desc rows unbounded preceding), 6) + 0e0 as precision, round(sum(p) over (order by s desc rows unbounded preceding)/sum(p) over (), 6) + 0e0 as recall from c"))
 def pr_curve(spark, d):
-    out = M.precision_recall(judged(spark, d).where(F.col("label") != 0), F.col("t"), F.round(-F.col("z"), 2))
+    out = M.precision_recall(judged(spark, d).where(F.col("label") != 0), F.col("t"), F.round(-F.col("z"), 2), stored)
     return out.withColumns({"precision": r6("precision"), "recall": r6("recall")})
 
 
@@ -451,6 +451,8 @@ def rri(spark, d):
 
 # ---- detection -----------------------------------------------------------------------------------
 
+#: Rounds of the search over a whole cloud and over two components.
+ROUNDS, MERGE_ROUNDS = 500, 100
 LCG = "((({s})*1103515245 + 12345) % 2147483648)"
 
 
@@ -477,14 +479,14 @@ ct as (
 bs as (select {group}, arg_min(t, (-n_inliers, t)) as t, max(n_inliers) as n_inliers from ct group by all)"""
 
 
-@register("ransac_plane", _pts(_ransac_sql(60, "select * from points", 0.2) + " select scan_id, t, n_inliers from bs"))
+@register("ransac_plane", _pts(_ransac_sql(ROUNDS, "select * from points", 0.2) + " select scan_id, t, n_inliers from bs"))
 def ransac_plane(spark, d):
-    return D.ransac_plane(points(spark, d), 0.2, 60).select("scan_id", "t", "n_inliers")
+    return D.ransac_plane(points(spark, d), 0.2, ROUNDS).select("scan_id", "t", "n_inliers")
 
 
-@register("naive_ransac", _pts(_ransac_sql(60, "select * from points where z > -4e0 and z < -1e0", 0.2) + " select p.scan_id, p.point_id, p.z > -4e0 and p.z < -1e0 and abs(nx*(x-px)+ny*(y-py)+nz*(z-pz))/nl < 0.2e0 as ground from points p join bs on bs.scan_id = p.scan_id join pk k on k.scan_id = bs.scan_id and k.t = bs.t"))
+@register("naive_ransac", _pts(_ransac_sql(ROUNDS, "select * from points where z > -4e0 and z < -1e0", 0.2) + " select p.scan_id, p.point_id, p.z > -4e0 and p.z < -1e0 and abs(nx*(x-px)+ny*(y-py)+nz*(z-pz))/nl < 0.2e0 as ground from points p join bs on bs.scan_id = p.scan_id join pk k on k.scan_id = bs.scan_id and k.t = bs.t"))
 def naive_ransac(spark, d):
-    return D.ransac_ground(points(spark, d), -4.0, -1.0, 0.2, 60).select("scan_id", "point_id", "ground")
+    return D.ransac_ground(points(spark, d), -4.0, -1.0, 0.2, ROUNDS).select("scan_id", "point_id", "ground")
 
 
 MERGE = (
@@ -492,7 +494,7 @@ MERGE = (
     + """, lp as (select p.*, cc from points p join rc r on r.scan_id = p.scan_id and r.node_id = p.point_id),
 cs as (select *, row_number() over (partition by scan_id order by n desc, cc) as rank from (select scan_id, cc, count(*) as n from rc group by all)),
 pq as (select f.scan_id, f.cc as big, o.cc as other from cs f join cs o on o.scan_id = f.scan_id and f.rank = 1 and o.rank > 1 and o.n > 3), """
-    + _ransac_sql(40, "select q.other, a.* from pq q join lp a on a.scan_id = q.scan_id and a.cc in (q.big, q.other)", 0.3, "scan_id, other")
+    + _ransac_sql(MERGE_ROUNDS, "select q.other, a.* from pq q join lp a on a.scan_id = q.scan_id and a.cc in (q.big, q.other)", 0.3, "scan_id, other")
     + """, js as (
   select scan_id, other as cc from pp join bs using (scan_id, other) join pk using (scan_id, other, t) where cc = other
   group by all having avg((abs(nx*(x-px)+ny*(y-py)+nz*(z-pz))/nl < 0.3e0)::int) > 0.5e0
@@ -504,7 +506,7 @@ from lp a join cs on cs.scan_id = a.scan_id and cs.cc = a.cc left join js on js.
 
 @register("merge_labels", _pts(MERGE))
 def merge_labels(spark, d):
-    return D.merge_labels(points(spark, d), near_labels(spark, d), 3, 0.3, 40, 0.5)
+    return D.merge_labels(points(spark, d), near_labels(spark, d), 3, 0.3, MERGE_ROUNDS, 0.5)
 
 
 @register("pca_normals")
@@ -521,7 +523,7 @@ def eigenentropy(spark, d):
 @register("hybrid_ground")
 def hybrid_ground(spark, d):
     p = points(spark, d)
-    return D.hybrid_ground(p, G.knn_graph(p, 8), 0.5, 10, 3, 0.3, 40, 0.5)
+    return D.hybrid_ground(p, G.knn_graph(p, 8), 0.5, 10, 3, 0.3, MERGE_ROUNDS, 0.5)
 
 
 @register("iterative_ground")

@@ -8,6 +8,7 @@ from talus.functions.geometry import logistic
 from talus.operators import points as P
 from talus.operators import raster as R
 from talus.plans.fixtures import POINTS, points, r6
+from talus.storage import stored
 
 PI = "3.141592653589793e0"
 QUERIES, ORACLES = {}, {}
@@ -238,7 +239,7 @@ def bool_coloring(spark, d):
 @register("stratified_sample", _pts("n as (select label, count(*) as n from points group by 1), k as (select *, row_number() over (partition by label order by (point_id*7919) % 10007, point_id) as rk from points) select scan_id, point_id, label from k join n using (label) where rk <= greatest(floor(n*0.1e0)::bigint, 1)"))
 def stratified_sample(spark, d):
     rows = points(spark, d).withColumn("h", (F.col("point_id") * 7919) % 10007)
-    return P.quota_sample(rows, "label", ["h", "point_id"], F.greatest(F.floor(F.col("n") * 0.1), F.lit(1))).select("scan_id", "point_id", "label")
+    return P.quota_sample(rows, "label", ["h", "point_id"], F.greatest(F.floor(F.col("n") * 0.1), F.lit(1)), stored).select("scan_id", "point_id", "label")
 
 
 # ---- raster aggregates ---------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from talus.operators import graph as G
 from talus.operators import hierarchy as T
 from talus.operators import kernels
 from talus.operators import raster as R
+from talus.operators import trees
 from talus.operators.cells import knn_cells
 from talus.operators.components import global_spanning_forest
 from talus.plans.fixtures import points, r6, supply
@@ -196,3 +197,45 @@ def ultrametric_losses(spark, d):
     closest, size = T.closest_loss(F.col("u"), F.col("w")), T.cluster_size_loss(F.col("u"), F.col("least"))
     cost = F.sum(F.col("w") * F.col("size"))
     return found.groupBy("tree_id").agg(r6(closest).alias("closest"), r6(size).alias("cluster_size"), r6(T.combined_loss(closest, size, gamma=0.5)).alias("both"), r6(cost).alias("dasgupta"))
+
+
+# ---- edits of trees ------------------------------------------------------------------------------
+
+#: The parts of every order as a comb: of two lines of one order the later hangs below the earlier; every fourth line is missing.
+COMB = """comb as (
+  select distinct l_orderkey as tree_id, (10 * l_linenumber)::bigint as node_id, case when l_linenumber > 1 then (10 * (l_linenumber - case when l_linenumber % 2 = 0 then 1 else 2 end))::bigint else -1 end as parent
+  from lineitem where l_linenumber <> 4
+)"""
+
+
+def comb(spark, d):
+    line = F.col("l_linenumber").cast("long")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber <> 4")
+    parent = F.when(line > 1, 10 * (line - F.when(line % 2 == 0, 1).otherwise(2))).otherwise(-1)
+    return rows.select(F.col("l_orderkey").alias("tree_id"), (10 * line).alias("node_id"), parent.cast("long").alias("parent")).distinct()
+
+
+STEPS = """, up as (
+  select tree_id, node_id, parent, 0::bigint as steps from grown
+  union all select u.tree_id, u.node_id, g.parent, u.steps + 1 from up u join grown g on g.tree_id = u.tree_id and g.node_id = u.parent
+), deep as (
+  select tree_id, node_id, max(steps) as depth from up group by 1, 2
+), placed as (
+  select g.*, depth, row_number() over (partition by g.tree_id order by {order}) - 1 as place from grown g join deep using (tree_id, node_id)
+)
+select p.tree_id, p.place as node_id, coalesce(q.place, -1)::bigint as parent, p.depth from placed p left join placed q on q.tree_id = p.tree_id and q.node_id = p.parent"""
+GROWN = ", grown as (select * from comb union all select tree_id, max(node_id) + 1, max(node_id) from comb group by 1)"
+
+
+@register("renumber_tree", "with recursive " + COMB + ", grown as (select * from comb)" + STEPS.format(order="g.node_id"))
+def renumber_tree(spark, d):
+    """Ids without gaps in the order of the old ones, with depths."""
+    return trees.renumber(comb(spark, d), stored).select("tree_id", "node_id", "parent", "depth")
+
+
+@register("grow_tree", "with recursive " + COMB + GROWN + STEPS.format(order="depth, g.node_id"))
+def grow_tree(spark, d):
+    """A node more below the last of every tree, then ids level by level."""
+    tree = comb(spark, d)
+    new = tree.groupBy("tree_id").agg(F.max("node_id").alias("parent"))
+    return trees.renumber(trees.add_nodes(tree, new, stored), stored, levels=True).select("tree_id", "node_id", "parent", "depth")
