@@ -522,8 +522,10 @@ def eigenentropy(spark, d):
 
 @register("hybrid_ground")
 def hybrid_ground(spark, d):
+    """Flat zones on the range image's graph and the neighbour graph together."""
     p = points(spark, d)
-    return D.hybrid_ground(p, G.knn_graph(p, 8), 0.5, 10, 3, 0.3, MERGE_ROUNDS, 0.5)
+    graph = stored(G.merge_graphs(sphere_edges(spark, d), G.knn_graph(p, 8)))
+    return D.hybrid_ground(p, graph, 0.5, 10, 3, 0.3, MERGE_ROUNDS, 0.5)
 
 
 @register("iterative_ground")
