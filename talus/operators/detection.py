@@ -303,12 +303,13 @@ def dart_board(raster: DataFrame, res: float) -> DataFrame:
     radii = [abs(round(SCANNER_HEIGHT * math.tan(math.radians(90 + k * SPAN / LINES)) * res)) for k in range(LINES)]
     dr, dc = (F.col("row") - F.col("r0")).cast("double"), (F.col("col") - F.col("c0")).cast("double")
     r, size = F.floor(F.sqrt(dr * dr + dc * dc)), F.greatest("height", "width")
-    ring = F.coalesce(*[F.when((F.lit(radii[k]) < size) & (F.lit(radii[k]) < r), F.lit(k + 1)) for k in range(1, LINES)], F.lit(LINES + 1))
+    ring = F.coalesce(*[F.when((F.lit(radii[k]) < size) & (F.lit(radii[k]) < F.col("__r")), F.lit(k + 1)) for k in range(1, LINES)], F.lit(LINES + 1))
     sector = F.when((dr == 0) & (dc == 0), F.lit(0)).otherwise(F.rint(F.lit(180.0) + F.lit(180.0) * F.atan2(dr, dc) / F.lit(2 * math.pi)).cast("int"))
-    board = raster.withColumn("ring", ring).withColumn("sector", sector)
-    same = G.image_graph(board, ["ring", "sector"]).where(F.col("w") < 0.5)
-    cells = G.pixel_components(same, board, 1 << 20).withColumnRenamed("cc", "cell")
-    return board.withColumn("node_id", (F.col("row") * (1 << 20) + F.col("col")).cast("long")).join(cells, ["scan_id", "node_id"]).drop("node_id")
+    # The distance is a column of its own: inside the rings it would be computed once for each.
+    board = raster.withColumn("__r", r).withColumn("ring", ring).withColumn("sector", sector).drop("__r")
+    cells = G.label_zones(board, ["ring", "sector"], 1 << 20).withColumnRenamed("cc", "cell")
+    numbered = board.withColumn("node_id", (F.col("row") * (1 << 20) + F.col("col")).cast("long"))
+    return R.join_pixels(numbered, cells, ["scan_id", "node_id"]).drop("node_id")
 
 
 def scanner_circle(raster: DataFrame, half: int, neighbours: int = 6) -> DataFrame:
@@ -319,10 +320,10 @@ def scanner_circle(raster: DataFrame, half: int, neighbours: int = 6) -> DataFra
     number = lambda r, c: (F.col(r) * (1 << 20) + F.col(c)).cast("long")
     empty = raster.where(F.col("im_acc") == 0)
     zones = G.flat_zones(empty, "im_acc", 0.0, 1 << 20, neighbours)
-    own = raster.select("scan_id", number("r0", "c0").alias("node_id")).distinct().join(zones, ["scan_id", "node_id"]).select("scan_id", "cc")
-    circle = zones.join(own, ["scan_id", "cc"]).select("scan_id", "node_id", F.lit(1).alias("inside"))
+    own = raster.select("scan_id", number("r0", "c0").alias("node_id")).distinct().join(zones.hint("merge"), ["scan_id", "node_id"]).select("scan_id", "cc")
+    circle = R.join_pixels(zones, own, ["scan_id", "cc"]).select("scan_id", "node_id", F.lit(1).alias("inside"))
     near = (F.abs(F.col("row") - F.col("r0")) <= half) & (F.abs(F.col("col") - F.col("c0")) <= half)
-    joined = raster.withColumn("node_id", number("row", "col")).join(circle, ["scan_id", "node_id"], "left").drop("node_id")
+    joined = R.join_pixels(raster.withColumn("node_id", number("row", "col")), circle, ["scan_id", "node_id"], "left").drop("node_id")
     return joined.withColumn("inside", F.when(near, F.coalesce("inside", F.lit(0))).otherwise(0))
 
 
@@ -352,7 +353,7 @@ def dart_ground(
     box = sizes.select("scan_id", "height", "width", F.floor(-F.col("xmin") * res).cast("long").alias("r0"), F.floor(-F.col("ymin") * res).cast("long").alias("c0"))
     full = cut(full.join(box, "scan_id"))
     circle = scanner_circle(full, int(5.5 * res), neighbours)
-    around = circle.withColumn("wide", F.col("inside"))
+    around = R.spread(circle, "scan_id").withColumn("wide", F.col("inside"))
     reach = max(1, int(res))
     wide = R.filter_hexagon(around, "wide", "max", reach) if neighbours == 6 else R.dilate(around, "wide", reach)
     wide = wide.withColumn("around", (F.col("wide") == 1) & (F.col("im_max") > 0))
@@ -365,20 +366,20 @@ def dart_ground(
     seeds = seeds.where(F.col("seed") == 1).select(*R.PIXEL, F.lit(True).alias("seed"))
     full = cut(dart_board(full, res))
     lows = full.where(F.col("im_acc") > 0).groupBy("scan_id", "cell").agg(F.min("im_max").alias("cell_min"))
-    full = full.join(lows, ["scan_id", "cell"], "left")
+    full = R.join_pixels(full, lows, ["scan_id", "cell"], "left")
     full = full.withColumn("filled", F.when(F.col("im_acc") > 0, F.col("im_max")).otherwise(F.coalesce("cell_min", F.lit(0))))
     full = full.withColumn("obj", F.when(F.col("im_acc") > 0, F.col("im_max") - F.col("cell_min")).otherwise(0))
     full = cut(full)
     number = lambda: (F.col("row") * (1 << 20) + F.col("col")).cast("long")
     zones = G.flat_zones(full, "filled", lam, 1 << 20, neighbours).withColumnRenamed("cc", "zone")
-    at = full.withColumn("node_id", number()).join(zones, ["scan_id", "node_id"]).join(seeds, R.PIXEL, "left")
+    at = R.join_pixels(R.join_pixels(full.withColumn("node_id", number()), zones, ["scan_id", "node_id"]), seeds, R.PIXEL, "left")
     good = at.where(F.col("seed")).select("scan_id", "zone").distinct().withColumn("hit", F.lit(True))
-    base = at.join(good, ["scan_id", "zone"], "left").withColumn("base", F.coalesce("hit", F.lit(False)) & (F.col("obj") <= 3) & (F.col("im_acc") > 0))
+    base = R.join_pixels(at, good, ["scan_id", "zone"], "left").withColumn("base", F.coalesce("hit", F.lit(False)) & (F.col("obj") <= 3) & (F.col("im_acc") > 0))
     base = cut(base)
     low_zones = G.flat_zones(base.where(F.col("im_acc") > 0), "im_min", 1.0, 1 << 20, neighbours).withColumnRenamed("cc", "low_zone")
-    both = base.join(low_zones, ["scan_id", "node_id"], "left")
+    both = R.join_pixels(base, low_zones, ["scan_id", "node_id"], "left")
     reach = both.where(F.col("base")).select("scan_id", "low_zone").distinct().withColumn("near", F.lit(True))
-    ground = both.join(reach, ["scan_id", "low_zone"], "left").where(F.col("im_acc") > 0)
+    ground = R.join_pixels(both, reach, ["scan_id", "low_zone"], "left").where(F.col("im_acc") > 0)
     ground = ground.withColumn("is_ground", F.col("base") | F.coalesce("near", F.lit(False))).withColumn("im_delta", F.when(F.col("base"), F.lit(4.0)).otherwise(F.lit(1.0)))
     return R.back_project_ground(px, ground, floor_z, res_z, delta).select(*points.columns, "ground")
 

@@ -20,7 +20,7 @@ def zones(raster: DataFrame, label: str, neighbours: int = 6, background: int |
     fore = raster.where(F.col(label).isNotNull() if background is None else F.col(label) != background)
     found = G.flat_zones(fore, label, 0.0, WIDTH, neighbours).withColumnRenamed("cc", "zone")
     number = (F.col("row") * WIDTH + F.col("col")).cast("long")
-    return fore.withColumn("node_id", number).join(found, ["scan_id", "node_id"]).drop("node_id")
+    return R.join_pixels(fore.withColumn("node_id", number), found, ["scan_id", "node_id"]).drop("node_id")
 
 
 def zone_measure(raster: DataFrame, label: str, value: str, measure: str, neighbours: int = 6, background: int | None = 0) -> DataFrame:
@@ -30,5 +30,5 @@ def zone_measure(raster: DataFrame, label: str, value: str, measure: str, neighb
     touch are measured apart.  Measures are those of `region_measure`.
     """
     measured = R.region_measure(zones(raster, label, neighbours, background), "zone", value, measure)
-    back = raster.join(measured.select(*R.PIXEL, "measure"), R.PIXEL, "left")
+    back = R.join_pixels(raster, measured.select(*R.PIXEL, "measure"), R.PIXEL, "left")
     return back.withColumn("measure", F.coalesce("measure", F.lit(0.0)))
