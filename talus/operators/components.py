@@ -27,6 +27,8 @@ def star_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], mos
     or a stored table): each round starts from there.  Loops and repeated edges
     are harmless, an empty input gives no row.
     """
+    # Read twice: edges may be the result of long work.
+    edges = cut(edges.select("u", "v"))
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     now = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(now)
