@@ -109,9 +109,11 @@ def plane_inliers(points: DataFrame, candidates: DataFrame, max_dist: float, gro
     return counted.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, group)], "t").agg(F.sum("n").alias("n_inliers"))
 
 
-def ransac_plane(points: DataFrame, max_dist: float, iterations: int, stop_at: int | None = None, group: tuple[str, ...] = ("scan_id",)) -> DataFrame:
+def ransac_plane(points: DataFrame, max_dist: float, iterations: int, stop_at: int | None = None, group: tuple[str, ...] = ("scan_id",), cut=None) -> DataFrame:
     """The plane with most points nearer than `max_dist` in each group; ties, and the first to reach `stop_at`, by round."""
     candidates = planes(points, iterations, group)
+    if cut is not None:
+        candidates = cut(candidates)
     counted = plane_inliers(points, candidates, max_dist, group)
     if stop_at is not None:
         counted = counted.withColumn("place", F.struct(F.when(F.col("n_inliers") >= stop_at, 0).otherwise(1).alias("late"), F.when(F.col("n_inliers") >= stop_at, F.lit(0)).otherwise(-F.col("n_inliers")).alias("fewer"), F.col("t")))
@@ -130,21 +132,22 @@ def ransac_ground(points: DataFrame, min_height: float, max_height: float, max_d
     return joined.withColumn("ground", F.coalesce(low & (_off_plane() < max_dist), F.lit(False))).select(*points.columns, "ground")
 
 
-def merge_labels(points: DataFrame, labels: DataFrame, min_size: int, max_dist: float, iterations: int, share: float) -> DataFrame:
+def merge_labels(points: DataFrame, labels: DataFrame, min_size: int, max_dist: float, iterations: int, share: float, cut=None) -> DataFrame:
     """`scan_id, point_id, ground`: the largest component and those that lie on a plane with it.
 
     Every component above a size is compared with the largest one alone, so all comparisons of
     all scans run at once: a plane is fitted to both together, and the component joins if more
-    than `share` of its points are inliers.
+    than `share` of its points are inliers.  `cut` stores the pairs' points and planes, which are read several times.
     """
+    cut = cut or (lambda df: df)
     sizes = G.component_sizes(labels)
     first = sizes.where(F.col("rank") == 1).select("scan_id", F.col("cc").alias("big"))
     others = sizes.where((F.col("rank") > 1) & (F.col("n") > min_size)).select("scan_id", F.col("cc").alias("other"))
     pairs = first.join(others, "scan_id")
     at = points.join(labels.select("scan_id", F.col("node_id").alias("point_id"), "cc"), ["scan_id", "point_id"])
-    both = at.join(pairs.withColumn("cc", F.explode(F.array("big", "other"))), ["scan_id", "cc"])
+    both = cut(at.join(pairs.withColumn("cc", F.explode(F.array("big", "other"))), ["scan_id", "cc"]))
     # The smaller component names its pair with the largest one of the scan.
-    best = ransac_plane(both, max_dist, iterations, group=("scan_id", "other")).drop("t", "n_inliers")
+    best = ransac_plane(both, max_dist, iterations, group=("scan_id", "other"), cut=cut).drop("t", "n_inliers")
     inside = both.where(F.col("cc") == F.col("other")).join(best, ["scan_id", "other"])
     joins = inside.groupBy("scan_id", "other").agg(F.avg((_off_plane() < max_dist).cast("double")).alias("inlier_share")).where(F.col("inlier_share") > share)
     ground = first.select("scan_id", F.col("big").alias("cc")).unionByName(joins.select("scan_id", F.col("other").alias("cc"))).withColumn("ground", F.lit(True))
@@ -195,12 +198,13 @@ def eigenentropy(e0, total):
     return -part(F.lit(1.0) - e) - part(e)
 
 
-def hybrid_ground(points: DataFrame, edges: DataFrame, threshold: float, k_normals: int, min_size: int, max_dist: float, iterations: int, share: float) -> DataFrame:
-    """Flat zones of height weights on a graph, merged by planes."""
+def hybrid_ground(points: DataFrame, edges: DataFrame, threshold: float, k_normals: int, min_size: int, max_dist: float, iterations: int, share: float, cut=None) -> DataFrame:
+    """Flat zones of height weights on a graph, merged by planes; `cut` stores what is read several times."""
+    store = cut or (lambda df: df)
     normals = pca_normals(points, k_normals)
     weighted = G.height_weights(edges, points, normals)
-    labels = G.quasi_flat_zones(weighted, threshold, points.select("scan_id", F.col("point_id").alias("node_id")))
-    return merge_labels(points, labels, min_size, max_dist, iterations, share)
+    labels = store(G.quasi_flat_zones(weighted, threshold, points.select("scan_id", F.col("point_id").alias("node_id"))))
+    return merge_labels(points, labels, min_size, max_dist, iterations, share, cut)
 
 
 def iterative_step(points: DataFrame, edges: DataFrame, threshold: float, cut, k: int, k_normals: int) -> DataFrame:

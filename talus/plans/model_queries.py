@@ -506,7 +506,7 @@ from lp a join cs on cs.scan_id = a.scan_id and cs.cc = a.cc left join js on js.
 
 @register("merge_labels", _pts(MERGE))
 def merge_labels(spark, d):
-    return D.merge_labels(points(spark, d), near_labels(spark, d), 3, 0.3, MERGE_ROUNDS, 0.5)
+    return D.merge_labels(points(spark, d), stored(near_labels(spark, d)), 3, 0.3, MERGE_ROUNDS, 0.5, stored)
 
 
 @register("pca_normals")
@@ -525,7 +525,7 @@ def hybrid_ground(spark, d):
     """Flat zones on the range image's graph and the neighbour graph together."""
     p = points(spark, d)
     graph = stored(G.merge_graphs(sphere_edges(spark, d), G.knn_graph(p, 8)))
-    return D.hybrid_ground(p, graph, 0.5, 10, 3, 0.3, MERGE_ROUNDS, 0.5)
+    return D.hybrid_ground(p, graph, 0.5, 10, 3, 0.3, MERGE_ROUNDS, 0.5, stored)
 
 
 @register("iterative_ground")
