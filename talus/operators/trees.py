@@ -52,6 +52,7 @@ def renumber(tree: DataFrame, cut: Cut, levels: bool = False) -> DataFrame:
     Nodes keep the order of their old ids; with `levels` they go by depth first, so a root is 0 and every level follows
     the one above.  Other columns stay.  An id that occurs twice in a tree is an error.
     """
+    tree = cut(tree)
     if not tree.groupBy("tree_id", "node_id").count().where("count > 1").isEmpty():
         raise ValueError("an id occurs twice in a tree")
     deep = tree.drop("depth").join(tree_depths(tree, cut), ["tree_id", "node_id"])

@@ -173,8 +173,8 @@ def dart_board(spark, d):
 
 
 def neighbour_pairs(spark, d):
-    """The 4-NN graph of every scan, one row a pair."""
-    return G.symmetric(near_edges(spark, d)).where("src < dst").select(F.col("scan_id").alias("tree_id"), F.col("src").alias("a"), F.col("dst").alias("b"), "w")
+    """The 4-NN graph of every scan, one row a pair, stored: trees and edges both come from it."""
+    return stored(G.symmetric(near_edges(spark, d)).where("src < dst").select(F.col("scan_id").alias("tree_id"), F.col("src").alias("a"), F.col("dst").alias("b"), "w"))
 
 
 @register("partition_tree")
@@ -236,6 +236,6 @@ def renumber_tree(spark, d):
 @register("grow_tree", "with recursive " + COMB + GROWN + STEPS.format(order="depth, g.node_id"))
 def grow_tree(spark, d):
     """A node more below the last of every tree, then ids level by level."""
-    tree = comb(spark, d)
+    tree = stored(comb(spark, d))
     new = tree.groupBy("tree_id").agg(F.max("node_id").alias("parent"))
     return trees.renumber(trees.add_nodes(tree, new, stored), stored, levels=True).select("tree_id", "node_id", "parent", "depth")
