@@ -213,6 +213,24 @@ class Cells:
         return self._dealt(visits, load).groupBy(*CELL, "part").applyInArrow(run, "grp long, src long, dst long, d double")
 
 
+#: Points aimed at in a part of a cloud; four times as many are cut by hash.
+PART = 1 << 15
+
+
+def cloud_parts(points: DataFrame, coords=("x", "y"), node: str = "point_id") -> DataFrame:
+    """`node, part`: the points of one cloud in squares of about `PART` over two axes, so near points share a part."""
+    rows = points.select(F.col(node).cast("long").alias("node"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(coords)])
+    ends = [f(f"c{i}").alias(f"{name}{i}") for i in range(2) for f, name in ((F.min, "low"), (F.max, "high"))]
+    box = rows.agg(F.count("*").alias("n"), *ends)
+    wide = F.greatest(F.col("high0") - F.col("low0"), F.col("high1") - F.col("low1"))
+    side = F.when(wide > 0, wide * F.sqrt(F.lit(float(PART)) / F.col("n"))).otherwise(F.lit(1.0))
+    box = box.select("low0", "low1", side.alias("side"))
+    at = rows.crossJoin(F.broadcast(box)).select("node", *[F.floor((F.col(f"c{i}") - F.col(f"low{i}")) / F.col("side")).cast("long").alias(name) for i, name in enumerate(("ix", "iy"))])
+    split = at.groupBy("ix", "iy").agg(F.ceil(F.count("*") / (4 * PART)).cast("int").alias("split"))
+    part = F.xxhash64("ix", "iy", F.when(F.col("split") > 1, F.pmod(F.xxhash64("node"), "split")).otherwise(F.lit(0).cast("long")))
+    return at.join(split, ["ix", "iy"]).select("node", part.alias("part"))
+
+
 def knn_cells(
     points: DataFrame, k: int, cut: Callable[[DataFrame], DataFrame], coords=("x", "y", "z"), group: str | None = "scan_id", node: str = "point_id", fill: int = FILL
 ) -> DataFrame:

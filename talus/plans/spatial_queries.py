@@ -10,7 +10,7 @@ from talus.operators import hierarchy as T
 from talus.operators import kernels
 from talus.operators import raster as R
 from talus.operators import trees
-from talus.operators.cells import knn_cells
+from talus.operators.cells import cloud_parts, knn_cells
 from talus.operators.components import global_spanning_forest
 from talus.plans.fixtures import points, r6, supply
 from talus.plans.graph_queries import DIST, knn_sql, near_edges
@@ -85,8 +85,9 @@ def spanning_forest_global(spark, d):
 @register("spanning_forest_neighbours")
 def spanning_forest_neighbours(spark, d):
     """The forest of the neighbour graph of all scans as one cloud."""
-    near = knn_cells(points(spark, d), 4, stored, group=None)
-    return global_spanning_forest(near.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("d").alias("w")), stored)
+    cloud = points(spark, d)
+    near = knn_cells(cloud, 4, stored, group=None)
+    return global_spanning_forest(near.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("d").alias("w")), stored, cloud_parts(cloud))
 
 
 # ---- zones and elements --------------------------------------------------------------------------
