@@ -154,8 +154,11 @@ def merge_labels(points: DataFrame, labels: DataFrame, min_size: int, max_dist:
     return at.join(ground, ["scan_id", "cc"], "left").select("scan_id", "point_id", F.coalesce("ground", F.lit(False)).alias("ground"))
 
 
-def pca_normals(points: DataFrame, k: int) -> DataFrame:
-    """`scan_id, point_id, nx, ny, nz, e0, e1, e2`: smallest eigenvector and eigenvalues over the k nearest and the point itself."""
+def pca_normals(points: DataFrame, k: int, keep: bool = False) -> DataFrame:
+    """`scan_id, point_id, nx, ny, nz, e0, e1, e2`: smallest eigenvector and eigenvalues over the k nearest and the point itself.
+
+    With `keep` also x, y and z.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         ids = np.asarray(table.column("point_id"))
@@ -168,9 +171,13 @@ def pca_normals(points: DataFrame, k: int) -> DataFrame:
         columns = {"scan_id": pa.array(np.full(len(ids), np.asarray(table.column("scan_id"))[0]), pa.int64()), "point_id": pa.array(ids[order], pa.int64())}
         columns |= {n: pa.array(np.ascontiguousarray(normals[:, i])) for i, n in enumerate(("nx", "ny", "nz"))}
         columns |= {n: pa.array(np.ascontiguousarray(values[:, i])) for i, n in enumerate(("e0", "e1", "e2"))}
+        if keep:
+            columns |= {n: pa.array(p[:, i].astype(float)) for i, n in enumerate("xyz")}
         return pa.table(columns)
 
     schema = "scan_id long, point_id long, nx double, ny double, nz double, e0 double, e1 double, e2 double"
+    if keep:
+        schema += ", x double, y double, z double"
     return points.select("scan_id", "point_id", "x", "y", "z").groupBy("scan_id").applyInArrow(run, schema)
 
 
@@ -210,14 +217,32 @@ def hybrid_ground(points: DataFrame, edges: DataFrame, threshold: float, k_norma
 def iterative_step(points: DataFrame, edges: DataFrame, threshold: float, cut, k: int, k_normals: int) -> DataFrame:
     """Flat zones of height weights on the k-NN graph and `edges`, whose separate parts are linked to their nearest ones.
 
-    `cut` after each step: the graph is used three times, and the plan of all steps together is too large for a driver.
+    Normals come in one task a scan, all of the graph in a second one, so no table of edges is shuffled between its steps.
     """
-    nodes = points.select("scan_id", F.col("point_id").alias("node_id"))
-    normals = cut(pca_normals(points, k_normals))
-    graph = cut(G.merge_graphs(edges, G.knn_graph(points, k)))
-    parts = cut(G.connected_components(graph, nodes).join(points.select("scan_id", F.col("point_id").alias("node_id"), "x", "y", "z"), ["scan_id", "node_id"]))
-    every = cut(graph.select(*G.EDGE).unionByName(G.connect_components(parts).select(*G.EDGE)).distinct())
-    return cut(G.quasi_flat_zones(G.height_weights(every, points, normals), threshold, nodes))
+    normals = pca_normals(points, k_normals, keep=True)
+    low = F.min("z").over(Window.partitionBy("scan_id"))
+    rows = normals.select("scan_id", "point_id", *"xyz", G.height_ratio(low).alias("r"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left.column("point_id").to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        p = np.stack([left.column(c).to_numpy() for c in "xyz"], axis=1)[order]
+        ratio = left.column("r").to_numpy()[order]
+        ends = [right.column(c).to_numpy() for c in ("src", "dst")]
+        ends = [e[np.isin(ends[0], ids) & np.isin(ends[1], ids)] for e in ends]
+        who, _ = kernels.nearest(p, k)
+        src = np.concatenate([np.searchsorted(ids, ends[0]), np.repeat(np.arange(len(ids)), who.shape[1])])
+        dst = np.concatenate([np.searchsorted(ids, ends[1]), who.ravel()])
+        parts = kernels.components(len(ids), src, dst)
+        more = G.connecting_edges(parts, np.arange(len(ids)), p, 3, 30, 12.0)
+        src, dst = np.concatenate([src, more[0]]), np.concatenate([dst, more[1]])
+        flat = np.abs(ratio[src] - ratio[dst]) < threshold
+        cc = ids[kernels.components(len(ids), src[flat], dst[flat])]
+        scan = left.column("scan_id")[0].as_py() if len(ids) else 0
+        return pa.table({"scan_id": pa.array(np.full(len(ids), scan), pa.int64()), "node_id": pa.array(ids, pa.int64()), "cc": pa.array(cc, pa.int64())})
+
+    return cut(rows.groupBy("scan_id").cogroup(edges.select(*G.EDGE).groupBy("scan_id")).applyInArrow(run, "scan_id long, node_id long, cc long"))
 
 
 def iterative_ground(points: DataFrame, edges: DataFrame, threshold: float, min_size: int, most: int, cut, rounds: int = 10, enough: int = 20, k: int = 10, k_normals: int = 30) -> DataFrame:
@@ -238,14 +263,14 @@ def iterative_ground(points: DataFrame, edges: DataFrame, threshold: float, min_
             break
         low = G.lowest_components(labels, points, min_size, most)
         nodes = cut(labels.join(low, ["scan_id", "cc"], "left_semi").select("scan_id", "node_id"))
-        some = cut(points.join(nodes.withColumnRenamed("node_id", "point_id"), ["scan_id", "point_id"], "left_semi"))
+        some = cut(points.join(nodes.withColumnRenamed("node_id", "point_id").hint("merge"), ["scan_id", "point_id"], "left_semi"))
         labels = iterative_step(some, cut(G.subgraph(edges, nodes)), threshold, cut, k, k_normals)
     left.append(labels.select("scan_id", "node_id"))
     stay = left[0]
     for other in left[1:]:
         stay = stay.unionByName(other)
-    ground = first.join(stay, ["scan_id", "node_id"], "left_semi").select("scan_id", "cc").distinct().withColumn("ground", F.lit(True))
-    return first.join(ground, ["scan_id", "cc"], "left").select("scan_id", F.col("node_id").alias("point_id"), F.coalesce("ground", F.lit(False)).alias("ground"))
+    ground = first.join(stay.hint("merge"), ["scan_id", "node_id"], "left_semi").select("scan_id", "cc").distinct().withColumn("ground", F.lit(True))
+    return first.join(ground.hint("merge"), ["scan_id", "cc"], "left").select("scan_id", F.col("node_id").alias("point_id"), F.coalesce("ground", F.lit(False)).alias("ground"))
 
 
 def cloth_ground(
