@@ -47,3 +47,16 @@ def test_zones_as_by_edges(spark, neighbours):
     ]:
         want = G.pixel_components(edges, df, 100)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+@pytest.mark.parametrize("name", ["dart_ground", "lambda_flat_zones", "zone_measure_8", "image_graph_metric"])
+def test_registered_queries_broadcast_no_image(spark, sf_dir, capsys, name):
+    """Only tables of a row a scan pass as small sides: what `explode` or a grouped function makes is not among them."""
+    from talus.plans import catalogue
+
+    plan = _plan(catalogue.queries()[name](spark, sf_dir), capsys).splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(plan)) if depth(plan[j]) <= depth(line)), len(plan))
+            assert not [x for x in plan[i:end] if "Generate" in x or "InArrow" in x], line
