@@ -114,7 +114,7 @@ def _lists(m: np.ndarray) -> pa.Array:
 
 def nodes_of(points: DataFrame, features: list[str]) -> DataFrame:
     """`scan_id, point_id, h`: the features of every point; points with a null or a value that is not finite are left out."""
-    whole = F.lit(True)
+    whole = F.col("scan_id").isNotNull() & F.col("point_id").isNotNull()
     for f in features:
         v = F.col(f).cast("double")
         whole &= v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
@@ -134,7 +134,7 @@ def knn_features(nodes: DataFrame, k: int, loop: bool = True, block_rows: int =
     another and returns at most k a node, so no task holds a whole scan.  A scan of up to `block_rows` is one tile.
     """
     sizes = nodes.groupBy("scan_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("__blocks"))
-    placed = nodes.join(sizes, "scan_id").withColumn("__own", F.pmod(F.xxhash64("point_id"), F.col("__blocks")).cast("int"))
+    placed = nodes.join(sizes.hint("merge"), "scan_id").withColumn("__own", F.pmod(F.xxhash64("point_id"), F.col("__blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
     asked = placed.select("scan_id", "point_id", "h", F.col("__own").alias("q"), every.alias("c"))
     known = _renewed(placed, "scan_id", "point_id", "h", "__own", "__blocks").select("scan_id", "point_id", "h", F.col("__own").alias("c"), every.alias("q"))
@@ -158,21 +158,36 @@ def knn_features(nodes: DataFrame, k: int, loop: bool = True, block_rows: int =
 REDUCE = {"max": np.maximum, "min": np.minimum, "add": np.add, "mean": np.add}
 
 
+def _checked(layers: list[Layer], how: str) -> None:
+    if how not in REDUCE:
+        raise ValueError(f"how is one of {', '.join(REDUCE)}")
+    if not layers:
+        raise ValueError("no layers")
+
+
+def _aggregate(layers: list[Layer], here: np.ndarray, there: np.ndarray, node: np.ndarray, how: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where messages of another node begin, and every node's aggregate; messages are sorted by node and rank."""
+    first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.empty(0, np.int64)
+    out = _run(layers, np.concatenate([here, there - here], axis=1))
+    out = REDUCE[how].reduceat(out, first, axis=0) if len(first) else out
+    if how == "mean":
+        out = out / np.diff(np.append(first, len(node)))[:, None]
+    return first, out
+
+
 def edge_layers(edges: DataFrame, nodes: DataFrame, layers: list[Layer], how: str = "max", message_rows: int = MESSAGE_ROWS) -> DataFrame:
     """`scan_id, point_id, h`: for every node with edges (scan_id, src, dst, rank) the aggregate of layers on (x_i, x_j - x_i).
 
     Edges get their neighbour's features by a join; messages of one node meet in one task, which holds a part
     of a scan.  They are added in the order of their ranks, so that runs agree to the last digit.
     """
-    if how not in REDUCE:
-        raise ValueError(f"how is one of {', '.join(REDUCE)}")
-    if not layers:
-        raise ValueError("no layers")
+    _checked(layers, how)
     sizes = edges.groupBy("scan_id").agg(F.ceil(F.count(F.lit(1)) / message_rows).cast("int").alias("__parts"))
     part = lambda node: F.pmod(F.xxhash64(node), F.col("__parts")).cast("int").alias("part")
     far = nodes.select("scan_id", F.col("point_id").alias("dst"), F.col("h").alias("far"))
-    left = edges.select("scan_id", "src", "dst", "rank").join(far, ["scan_id", "dst"]).join(sizes, "scan_id").select("scan_id", part("src"), "src", "rank", "far")
-    right = _renewed(nodes.join(sizes, "scan_id"), "scan_id", "point_id", "h", "__parts").select("scan_id", part("point_id"), "point_id", "h")
+    # Files of nodes are small beside their rows: sorted, not broadcast.
+    left = edges.select("scan_id", "src", "dst", "rank").join(far.hint("merge"), ["scan_id", "dst"]).join(sizes.hint("merge"), "scan_id").select("scan_id", part("src"), "src", "rank", "far")
+    right = _renewed(nodes.join(sizes.hint("merge"), "scan_id"), "scan_id", "point_id", "h", "__parts").select("scan_id", part("point_id"), "point_id", "h")
 
     def run(messages: pa.Table, own: pa.Table) -> pa.Table:
         if not messages.num_rows or not own.num_rows:
@@ -184,11 +199,7 @@ def edge_layers(edges: DataFrame, nodes: DataFrame, layers: list[Layer], how: st
         held = ids[at] == src
         src, at = src[held], at[held]
         here, there = _matrix(own.column("h"))[at], _matrix(messages.column("far"))[order][held]
-        first = np.flatnonzero(np.append(True, src[1:] != src[:-1])) if len(src) else np.empty(0, np.int64)
-        out = _run(layers, np.concatenate([here, there - here], axis=1))
-        out = REDUCE[how].reduceat(out, first, axis=0) if len(first) else out
-        if how == "mean":
-            out = out / np.diff(np.append(first, len(src)))[:, None]
+        first, out = _aggregate(layers, here, there, src, how)
         scan = np.full(len(first), own.column("scan_id")[0].as_py())
         return pa.table({"scan_id": pa.array(scan, pa.int64()), "point_id": pa.array(src[first], pa.int64()), "h": _lists(out)})
 
@@ -196,6 +207,30 @@ def edge_layers(edges: DataFrame, nodes: DataFrame, layers: list[Layer], how: st
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "scan_id long, point_id long, h array<double>")
 
 
+def scan_edge_layers(nodes: DataFrame, layers: list[Layer], k: int, how: str = "max", message_rows: int = MESSAGE_ROWS) -> DataFrame:
+    """`edge_layers` over `knn_features` where one task may hold any scan: edges and neighbours' features are not shuffled.
+
+    Messages are passed in stretches of nodes with at most `message_rows`; point ids are unique in a scan.
+    """
+    _checked(layers, how)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("point_id")
+        ids, h = table.column("point_id").to_numpy(), _matrix(table.column("h"))
+        row, dst, _ = kernels.nearest_features(h, ids, h, ids, k)
+        dst, step = np.searchsorted(ids, dst), max(1, message_rows // k)
+        nodes, out = [], []
+        for a in range(0, len(ids), step):
+            some = slice(*np.searchsorted(row, [a, a + step]))
+            first, found = _aggregate(layers, h[row[some]], h[dst[some]], row[some], how)
+            nodes.append(row[some][first])
+            out.append(found)
+        held = ids[np.concatenate(nodes)]
+        return pa.table({"scan_id": pa.array(np.full(len(held), table.column("scan_id")[0].as_py()), pa.int64()), "point_id": pa.array(held, pa.int64()), "h": _lists(np.concatenate(out))})
+
+    return nodes.select("scan_id", "point_id", "h").groupBy("scan_id").applyInArrow(run, "scan_id long, point_id long, h array<double>")
+
+
 def dense_layers(nodes: DataFrame, layers: list[Layer], log_softmax: bool = False) -> DataFrame:
     """Layers on every node's features alone, in batches; with `log_softmax` the logarithms of the classes' shares."""
 
@@ -234,9 +269,17 @@ def pooled(nodes: DataFrame) -> DataFrame:
     return nodes.select("scan_id", "h").mapInArrow(some, schema).groupBy("scan_id").applyInArrow(last, schema)
 
 
-def scan_matrices(nodes: DataFrame, layers: dict[str, Layer], k: int = 3) -> DataFrame:
-    """`scan_id, h`: a matrix of every scan, row by row, from edge layers over k neighbours, node layers, the greatest, and layers on it."""
-    found = edge_layers(knn_features(nodes, k), nodes, _of(layers, "turn.edge."))
+def _near_layers(nodes: DataFrame, layers: list[Layer], k: int, how: str, whole: bool) -> DataFrame:
+    """Edge layers over the k nearest: of a `whole` scan in one task, or by tiles."""
+    return scan_edge_layers(nodes, layers, k, how) if whole else edge_layers(knn_features(nodes, k), nodes, layers, how)
+
+
+def scan_matrices(nodes: DataFrame, layers: dict[str, Layer], k: int = 3, whole: bool = False) -> DataFrame:
+    """`scan_id, h`: a matrix of every scan, row by row, from edge layers over k neighbours, node layers, the greatest, and layers on it.
+
+    With `whole` a task holds any scan.
+    """
+    found = _near_layers(nodes, _of(layers, "turn.edge."), k, "max", whole)
     scans = pooled(dense_layers(found, _of(layers, "turn.node."))).withColumn("point_id", F.lit(0).cast("long"))
     return dense_layers(scans, _of(layers, "turn.scan.")).select("scan_id", "h")
 
@@ -251,30 +294,41 @@ def turned(nodes: DataFrame, matrices: DataFrame) -> DataFrame:
                 m = _matrix(batch.column("m")).reshape(len(h), h.shape[1], h.shape[1])
                 yield pa.RecordBatch.from_arrays([batch.column("scan_id"), batch.column("point_id"), _lists((h[:, None, :] @ m)[:, 0])], ["scan_id", "point_id", "h"])
 
-    joined = nodes.join(matrices.select("scan_id", F.col("h").alias("m")), "scan_id")
+    joined = nodes.join(matrices.select("scan_id", F.col("h").alias("m")).hint("merge"), "scan_id")
     return joined.select("scan_id", "point_id", "h", "m").mapInArrow(run, "scan_id long, point_id long, h array<double>")
 
 
-def dynamic_network(points: DataFrame, layers: dict[str, Layer], k: int, cut, features: tuple[str, ...] = ("x", "y", "z"), how: str = "max", turn_k: int = 3) -> DataFrame:
-    """`scan_id, point_id, h`: logarithms of the classes' shares of every point by a dynamic graph network.
-
-    Every edge layer finds the k nearest nodes (each node is one of its own) among the features of the layer before;
-    the head works on the features of all edge layers together.  `layers` are named `conv<layer>.<step>` and `head.<step>`;
-    with `turn.edge.<step>`, `turn.node.<step>` and `turn.scan.<step>` each scan is first multiplied by a matrix that
-    these make of it: edge layers over `turn_k` neighbours, node layers, the greatest over the scan, and layers on that.
-    Points with a null or a value that is not finite take no part.  `cut` stores each layer's nodes where all
-    executors can read them, as the next one uses them three times.
-    """
-    nodes = cut(nodes_of(points, list(features)))
+def _forward(nodes: DataFrame, layers: dict[str, Layer], k: int, cut, how: str, turn_k: int, whole: bool) -> DataFrame:
     if _of(layers, "turn.scan."):
-        nodes = cut(turned(nodes, scan_matrices(nodes, layers, turn_k)))
+        nodes = cut(turned(nodes, scan_matrices(nodes, layers, turn_k, whole)))
     past, number = [], 0
     while steps := _of(layers, f"conv{number}."):
-        nodes = cut(edge_layers(knn_features(nodes, k), nodes, steps, how))
+        nodes = cut(_near_layers(nodes, steps, k, how, whole))
         past.append(nodes.withColumnRenamed("h", f"h{number}"))
         number += 1
     every = past[0]
     for other in past[1:]:
-        every = every.join(other, ["scan_id", "point_id"])
+        every = every.join(other.hint("merge"), ["scan_id", "point_id"])
     every = every.withColumn("h", F.concat(*[f"h{i}" for i in range(number)]))
     return dense_layers(every, _of(layers, "head."), log_softmax=True)
+
+
+def dynamic_network(
+    points: DataFrame, layers: dict[str, Layer], k: int, cut, features: tuple[str, ...] = ("x", "y", "z"), how: str = "max", turn_k: int = 3, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """`scan_id, point_id, h`: logarithms of the classes' shares of every point by a dynamic graph network.
+
+    Every edge layer finds the k nearest nodes (each node is one of its own) among the features of the layer before;
+    the head works on the features of all edge layers together.  `layers` are named `conv<layer>.<step>` and `head.<step>`;
+    with `turn.edge.<step>`, `turn.node.<step>` and `turn.scan.<step>` each scan is first multiplied by a matrix that
+    these make of it: edge layers over `turn_k` neighbours, node layers, the greatest over the scan, and layers on that.
+    Points with a null or a value that is not finite take no part.  A scan of up to `block_rows` points takes one task a
+    layer, larger ones go by tiles.  `cut` stores each layer's nodes where all executors can read them, as they are read several times.
+    """
+    nodes = cut(nodes_of(points, list(features)))
+    large = cut(nodes.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).select("scan_id"))
+    if large.isEmpty():
+        return _forward(nodes, layers, k, cut, how, turn_k, True)
+    parts = [(nodes.join(large, "scan_id", "left_anti"), True), (nodes.join(large, "scan_id", "left_semi"), False)]
+    small, tiled = (_forward(cut(part), layers, k, cut, how, turn_k, whole) for part, whole in parts)
+    return small.unionByName(tiled)

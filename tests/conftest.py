@@ -25,3 +25,20 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture
+def executed(spark):
+    """Runs a function of Spark jobs and returns the trees of the plans that it ended with, stored steps among them."""
+
+    def run(work):
+        bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+        bus.waitUntilEmpty()
+        known = store.executionsCount()
+        work()
+        bus.waitUntilEmpty()
+        every = store.executionsList()
+        texts = [every.apply(i).physicalPlanDescription() for i in range(known, every.size())]
+        return [t.split("+- == Initial Plan ==")[0].split("\n\n")[0] for t in texts]
+
+    return run

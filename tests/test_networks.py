@@ -100,6 +100,45 @@ def test_network_over_many_blocks(spark, how):
     assert edges(nodes, 3, False).where("src = dst").count() == 0
 
 
+@pytest.mark.parametrize("how", ["max", "min", "add", "mean"])
+def test_layers_of_whole_scans_equal_loops(spark, how):
+    """Ids out of order, copies, stretches of messages that end within a scan, a scan of fewer nodes than neighbours."""
+    rng = np.random.default_rng(8)
+    rows = [(s, int(i), *map(float, rng.integers(0, 6, 3)), "text", 7) for s in (-1, 5) for i in rng.permutation(200)[:60] - 50]
+    rows += [(9, 4, 1.0, 2.0, 3.0, "a", 1), (9, 3, 1.0, 2.0, 3.0, "a", 1)]
+    odd = [(None, 500, 1.0, 1.0, 1.0, "a", 1), (5, None, 1.0, 1.0, 1.0, "a", 1)]
+    nodes = N.nodes_of(spark.createDataFrame(rows + odd, POINTS), ["x", "y", "z"])
+    for message_rows in (3, 50, 1000):
+        found = N.scan_edge_layers(nodes, [Q.GRAPH["conv0.0"]], 4, how, message_rows).collect()
+        got = {(r["scan_id"], r["point_id"]): r["h"] for r in found}
+        assert len(got) == len(found) == 122
+        for scan in (-1, 5, 9):
+            here = [r for r in rows if r[0] == scan]
+            for r, w in zip(here, _edge(Q.GRAPH, "conv0.", [list(r[2:5]) for r in here], [r[1] for r in here], 4, how)):
+                assert np.allclose(got[scan, r[1]], w)
+
+
+def test_network_of_small_and_large_scans(spark):
+    """Tiled and whole scans side by side; values are exact, so both ways agree on ties."""
+    rng = np.random.default_rng(9)
+    rows = [(s, i, *map(float, rng.integers(0, 9, 3)), "text", 7) for s, n in ((1, 70), (2, 20), (3, 50), (4, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, POINTS)
+    results = []
+    for block_rows in (10, 30, 1000):
+        found = sorted(N.dynamic_network(df, Q.GRAPH, 4, stored, block_rows=block_rows).collect())
+        assert [tuple(r[:2]) for r in found] == [r[:2] for r in rows]
+        results.append(np.array([r["h"] for r in found]))
+    assert np.allclose(results[0], results[1]) and np.allclose(results[0], results[2])
+
+
+@pytest.mark.parametrize("name", ["dynamic_network", "dynamic_network_turned"])
+def test_networks_of_small_scans_shuffle_no_edges(spark, executed, name):
+    """A layer is one grouped function of a scan: no edges meet nodes again, no nodes are broadcast."""
+    plans = executed(lambda: catalogue.queries()[name](spark, "/root/testdata/sf0.001").collect())
+    assert any("FlatMapGroupsInArrow" in p for p in plans)
+    assert not [p for p in plans if "FlatMapCoGroups" in p or "BroadcastExchange" in p]
+
+
 def test_network_of_nothing(spark):
     df = spark.createDataFrame([], POINTS)
     assert N.dynamic_network(df, Q.TURNED, 4, stored).count() == 0
