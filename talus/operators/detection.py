@@ -312,7 +312,7 @@ def cloth_ground(
 def histogram_floor(points: DataFrame, step: float, more_than: int = 100) -> DataFrame:
     """Left edge of the lowest height bin with more than `more_than` points of each scan."""
     low = points.groupBy("scan_id").agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
-    bins = points.join(low, "scan_id").withColumn("bin", F.floor((F.col("z") - F.col("z0")) / step).cast("long"))
+    bins = points.join(low.hint("merge"), "scan_id").withColumn("bin", F.floor((F.col("z") - F.col("z0")) / step).cast("long"))
     bins = bins.where(F.col("bin") < F.ceil((F.col("z1") - F.col("z0")) / step) - 1)
     counted = bins.groupBy("scan_id", "z0", "bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
     return counted.groupBy("scan_id", "z0").agg(F.min("bin").alias("bin")).select("scan_id", (F.col("z0") + F.col("bin") * F.lit(step)).alias("min_z"))
@@ -370,9 +370,9 @@ def dart_ground(
     where all executors can read them.
     """
     if min_z is None:
-        lowest = points.groupBy("scan_id").agg(F.min("z").alias("__lowest")).join(histogram_floor(points, 0.2), "scan_id", "left")
+        lowest = points.groupBy("scan_id").agg(F.min("z").alias("__lowest")).join(histogram_floor(points, 0.2).hint("merge"), "scan_id", "left")
         floors = lowest.select("scan_id", F.coalesce("min_z", "__lowest").alias("__floor"))
-        based = points.join(floors, "scan_id")
+        based = points.join(floors.hint("merge"), "scan_id")
     else:
         based = points.withColumn("__floor", F.lit(float(min_z)))
     px, floor_z = P.linear_pixels(based, res, res), F.col("__floor")
@@ -380,7 +380,7 @@ def dart_ground(
     sizes = P.bounding_box(points, res, res)
     full = R.dense(images.select(*R.PIXEL, "im_min", "im_max", "im_acc"), sizes, im_min=0, im_max=0, im_acc=0)
     box = sizes.select("scan_id", "height", "width", F.floor(-F.col("xmin") * res).cast("long").alias("r0"), F.floor(-F.col("ymin") * res).cast("long").alias("c0"))
-    full = cut(full.join(box, "scan_id"))
+    full = cut(full.join(box.hint("merge"), "scan_id"))
     circle = scanner_circle(full, int(5.5 * res), neighbours)
     around = R.spread(circle, "scan_id").withColumn("wide", F.col("inside"))
     reach = max(1, int(res))
@@ -389,7 +389,7 @@ def dart_ground(
     least = wide.where(F.col("around")).groupBy("scan_id").agg(F.min("im_max").alias("m"))
     top = F.least(F.lit(255), F.col("m") + int(delta_circle * res_z))
     low = F.col("around") & (F.col("im_max") <= top) & (F.col("im_max") - F.col("im_min") <= round(0.3 * res_z))
-    seeds = wide.join(least, "scan_id").withColumn("seed", low.cast("int"))
+    seeds = wide.join(least.hint("merge"), "scan_id").withColumn("seed", low.cast("int"))
     if res > 1:
         seeds = R.opened_square(seeds, "seed")
     seeds = seeds.where(F.col("seed") == 1).select(*R.PIXEL, F.lit(True).alias("seed"))
